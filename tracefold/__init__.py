@@ -1 +1,8 @@
 """Session-ledger analytics and training-data operators on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their job: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
