@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .language import op3_language_id
+from .quality import op10_quality
 from .secrets import op7_secret_scan
+from .url_filter import op4_url_filter
 
-QUERIES = {"op7_secret_scan": op7_secret_scan}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_url_filter, op7_secret_scan, op10_quality)}
 SQL: dict[str, str] = {}
