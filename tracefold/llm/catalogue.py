@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .html_text import op8_html_text
+from .jaccard_join import op1_jaccard_join
 from .language import op3_language_id
 from .neighbours import op2_neighbours
 from .quality import op10_quality
 from .secrets import op7_secret_scan
 from .url_filter import op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op2_neighbours, op3_language_id, op4_url_filter, op7_secret_scan, op8_html_text, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_neighbours, op3_language_id, op4_url_filter, op7_secret_scan, op8_html_text, op10_quality)}
 SQL: dict[str, str] = {}
