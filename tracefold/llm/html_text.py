@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import listed, materialise, table
 from .url_filter import host_of
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -223,7 +223,7 @@ def templates(pages: DataFrame, least: int = 5, share: float = 0.1) -> DataFrame
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [(h, *judged_subtrees(p)) for h, p in zip(frame["host"], frame["html"], strict=True)]
-            yield pd.DataFrame({"host": [r[0] for r in rows], "body": [r[1] for r in rows], "hashes": [r[2] for r in rows]})
+            yield pd.DataFrame({"host": listed(r[0] for r in rows), "body": listed(r[1] for r in rows), "hashes": listed(r[2] for r in rows)})
 
     bodies = pages.where("length(html) > 0").mapInPandas(run, "host string, body bigint, hashes array<bigint>")
     bodies = materialise(bodies.dropDuplicates(["host", "body"]))

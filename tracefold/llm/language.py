@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, listed, table
 
 DIM = 1024
 UNIT = 10_000
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, text: Column, lang: Column, dim: int = DIM) -> dict[str
                 tongue = part["l"].to_numpy()
                 for name in pd.unique(tongue[has]):
                     total[name] = total.get(name, 0) + whole[has & (tongue == name)].sum(axis=0)
-        yield pd.DataFrame({"lang": list(total), "v": [x.tolist() for x in total.values()]})
+        yield pd.DataFrame({"lang": listed(total), "v": listed(x.tolist() for x in total.values())})
 
     some = docs.select(text.alias("t"), lang.alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
     added = some.mapInPandas(sums, "lang string, v array<bigint>").select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))

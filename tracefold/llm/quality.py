@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, listed, table
 
 BUCKETS, DIM, NONZERO = 1 << 14, 32, 4
 SAMPLE = 20_000
@@ -85,7 +85,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             add(chunk)
         rows = total.reshape(BUCKETS, DIM)
         used = np.flatnonzero(rows.any(axis=1))
-        yield pd.DataFrame({"b": used, "v": [x.tolist() for x in rows[used]]})
+        yield pd.DataFrame({"b": used, "v": listed(x.tolist() for x in rows[used])})
 
     parts = docs.select(F.col(text_col).alias("t")).where(F.col("t").isNotNull()).mapInPandas(count, "b int, v array<bigint>")
     added = parts.groupBy("b").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)]).toPandas()  # BUCKETS rows at most
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = S
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = Hashed()
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "x": list(pooled(frame["t"].tolist(), vectors, seen))})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "x": listed(pooled(frame["t"].tolist(), vectors, seen))})
 
     got = rows.mapInPandas(run, "doc_id bigint, y double, x array<float>").toPandas()  # sample rows at most (more only where doc_id repeats)
     got = got.sort_values(["doc_id", "y"], kind="stable")
