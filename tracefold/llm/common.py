@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,9 +25,11 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared checkpoint folder; later jobs, and lost executors, read it from there."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df once as a table in the shared checkpoint folder; later jobs, and lost executors, read it from there."""
+    spark = ready(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def listed(values) -> pd.Series:
