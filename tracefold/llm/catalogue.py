@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontaminate
 from .html_text import op8_html_text
 from .jaccard_join import op1_jaccard_join
+from .katz import op5_katz
 from .language import op3_language_id
+from .mixing import op6_mixing
 from .neighbours import op2_neighbours
 from .quality import op10_quality
 from .secrets import op7_secret_scan
 from .url_filter import op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_neighbours, op3_language_id, op4_url_filter, op7_secret_scan, op8_html_text, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_jaccard_join, op2_neighbours, op3_language_id, op4_url_filter, op5_katz,
+        op6_mixing, op7_secret_scan, op8_html_text, op9_decontaminate, op10_quality,
+    )
+}
 SQL: dict[str, str] = {}

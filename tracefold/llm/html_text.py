@@ -234,35 +234,30 @@ def templates(pages: DataFrame, least: int = 5, share: float = 0.1) -> DataFrame
     return one.join(often, ["host", "hash"]).groupBy("host", "body").agg(F.collect_list("hash").alias("hashes"))
 
 
-def extract_text(pages: DataFrame, keep: list[str], url_col: str = "url", html_col: str = "html", least: int = 5, share: float = 0.1) -> DataFrame:
-    """The columns keep of pages, with text."""
-    wide = pages.select(*keep, host_of(F.col(url_col)).alias("__host"), F.col(html_col).alias("__html"))
+def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = 5, share: float = 0.1) -> DataFrame:
+    """pages with __text."""
+    wide = pages.withColumns({"__host": host_of(F.col(url_col)), "__html": F.col(html_col)})
     bad = materialise(templates(wide.select(F.col("__host").alias("host"), F.col("__html").alias("html")), least, share))
     some = bad.limit(BROADCAST_ROWS + 1).count()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.select(*keep).schema)
 
-    def plain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[keep].copy()
-            out["text"] = [extract(p, () if t is None else t) for p, t in zip(frame["__html"], frame["__bad"], strict=True)]
-            yield out
+    def plain(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for page, hashes in series:
+            yield listed(extract(p, () if t is None else t) for p, t in zip(page, hashes, strict=True))
 
-    def body(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["__body"] = [judged_subtrees(p)[0] if p else None for p in frame["__html"]]
-            frame["__body"] = frame["__body"].astype("Int64")
-            yield frame
+    def body(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for page in series:
+            yield pd.Series([judged_subtrees(p)[0] if p else 0 for p in page], dtype="int64")
 
     if some:
-        inner = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema)
-        keyed = wide.mapInPandas(body, f"{inner}, __body bigint")
+        wide = wide.withColumn("__body", F.pandas_udf(body, "bigint").asNondeterministic()("__html"))
         bad = bad.select(F.col("host").alias("__h"), F.col("body").alias("__b"), F.col("hashes").alias("__bad"))
-        wide = keyed.join(F.broadcast(bad) if some <= BROADCAST_ROWS else bad, (F.col("__host") == F.col("__h")) & (F.col("__body") == F.col("__b")), "left").drop("__h", "__b", "__body")
+        wide = wide.join(F.broadcast(bad) if some <= BROADCAST_ROWS else bad, (F.col("__host") == F.col("__h")) & (F.col("__body") == F.col("__b")), "left").drop("__h", "__b", "__body")
     else:
         wide = wide.withColumn("__bad", F.lit(None).cast("array<bigint>"))
-    return wide.mapInPandas(plain, f"{schema}, text string")
+    wide = wide.withColumn("__text", F.pandas_udf(plain, "string").asNondeterministic()("__html", "__bad"))
+    return wide.drop("__host", "__html", "__bad")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return extract_text(pages, ["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+    return extract_text(pages).select("page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -367,5 +367,20 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     return out.unionByName(unlinked.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
+def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each class, that of the smallest id; of rows that share an id with others, one stays. Null ids stay."""
+    found = materialise(join(docs, n, num, den, id_col, text_col).where("doc_id is not null").select(F.col("doc_id").alias("__id"), "component_id"))
+    drop = materialise(found.where("__id <> component_id").select("__id").distinct())
+    small = drop.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
+    kept = docs.join(F.broadcast(drop) if small else drop, F.col(id_col) == F.col("__id"), "left_anti")
+    again = materialise(found.groupBy("__id").count().where("count > 1").select("__id"))
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, F.col(id_col) == F.col("__id"), "left_semi")
+    order = Window.partitionBy(id_col).orderBy(F.length(text_col).desc(), text_col)
+    one = twice.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+    return kept.join(again, F.col(id_col) == F.col("__id"), "left_anti").unionByName(one)
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)

@@ -138,35 +138,31 @@ def fit(docs: DataFrame, text: Column, lang: Column, dim: int = DIM) -> dict[str
     return {k: (v / max(np.linalg.norm(v), 1e-9)).astype(np.float32) for k, v in sorted(out.items())}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns keep of docs, with lang_pred and score."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score."""
     names = list(prototypes)
     matrix = np.stack([prototypes[k] for k in names], axis=1) if names else None
     dim = len(matrix) if names else DIM
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = Encoder(dim)
-        for frame in frames:
-            best, score = np.full(len(frame), "und", object), np.zeros(len(frame))
-            if names:
-                for at, part in zip(range(0, len(frame), 256), slices(frame), strict=False):
-                    unit, has = coder.encode(part["__text"].tolist())
-                    cosine = unit @ matrix
-                    top = cosine.argmax(axis=1)
-                    rows = np.flatnonzero(has)
-                    best[at + rows] = [names[i] for i in top[rows]]
-                    score[at + rows] = np.clip(cosine[rows, top[rows]], 0, 1)
-            out = frame[keep].copy()
-            out["lang_pred"], out["score"] = best, score
-            yield out
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInPandas(run, f"{schema}, lang_pred string, score double")
+        for texts in series:
+            best, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+            for lo in range(0, len(texts) if names else 0, 256):
+                unit, has = coder.encode(texts.iloc[lo : lo + 256].tolist())
+                cosine = unit @ matrix
+                top = cosine.argmax(axis=1)
+                rows = np.flatnonzero(has)
+                best[lo + rows] = [names[i] for i in top[rows]]
+                score[lo + rows] = np.clip(cosine[rows, top[rows]], 0, 1)
+            yield pd.DataFrame({"lang_pred": listed(best), "score": score})
+
+    told = F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()
+    return docs.withColumn("__told", told(F.col(text_col))).withColumns({"lang_pred": F.col("__told.lang_pred"), "score": F.col("__told.score")}).drop("__told")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = crc_mod(F.col("doc_id"), 4) == 2
     prototypes = fit(docs.where(~held), F.col("text"), F.col("lang"))
-    found = predict(docs.select("doc_id", held.alias("held_out"), "text"), prototypes, ["doc_id", "held_out"])
-    return found.select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs.select("doc_id", held.alias("held_out"), "text"), prototypes).select("doc_id", "held_out", "lang_pred", "score")

@@ -69,7 +69,7 @@ def exponent(sources: DataFrame, entropy: float | None, repeat: float | None) ->
 
 
 def plan(slim: DataFrame, entropy: float | None, repeat: float | None, budget: float | None) -> DataFrame:
-    """(src, blk, whole, part, limit, at, span, quota): how often each block comes, and where. slim: src, blk, u, n."""
+    """(src, blk, whole, part, limit, t, quota): how often each block comes, and where. slim: src, blk, u, n."""
     blocks = materialise(slim.groupBy("src", "blk").agg(F.sum("n").alias("n")))
     sources = blocks.groupBy("src").agg(F.sum("n").alias("t"))
     total = sources.agg(F.sum("t")).first()[0] or 0
@@ -94,7 +94,7 @@ def plan(slim: DataFrame, entropy: float | None, repeat: float | None, budget: f
     upto = Window.partitionBy("src", "blk").orderBy("u").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     limit = inside.withColumn("sum", F.sum("n").over(upto)).where("sum <= room").groupBy("src", "blk").agg(F.max("u").alias("limit"))
     wide = wide.join(limit, ["src", "blk"], "left")
-    return materialise(wide.select("src", "blk", "whole", "part", "limit", "at", F.col("n").alias("span"), "t", F.greatest("quota", F.col("whole") * F.col("t"), F.lit(1.0)).alias("quota")))
+    return materialise(wide.select("src", "blk", "whole", "part", "limit", "t", F.greatest("quota", F.col("whole") * F.col("t"), F.lit(1.0)).alias("quota")))
 
 
 def mix(docs: DataFrame, entropy: float | None = None, repeat: float | None = None, budget: float | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -113,9 +113,10 @@ def mix(docs: DataFrame, entropy: float | None = None, repeat: float | None = No
     wide = inner.join(F.broadcast(blocks) if small else blocks, (F.col("__src") == F.col("__src_")) & (F.col("__blk") == F.col("__blk_")))
     copies = F.col("__whole_") + (F.col("__part_") | F.coalesce(F.col("__u") <= F.col("__limit_"), F.lit(False))).cast("int")
     wide = wide.withColumn("epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-    # every epoch turns the circle of blocks by a hash; the last one keeps the order that the quota was spent in
-    turned = F.when(F.col("epoch") == F.col("__whole_"), F.col("__at_")).otherwise(F.pmod(F.col("__at_") + F.floor(uniform(F.col("__src"), F.col("epoch")) * F.col("__t_")), F.greatest(F.col("__t_"), F.lit(1))))
-    key = (F.col("epoch") * F.col("__t_") + turned + F.col("__u") * F.col("__span_")) / F.col("__quota_")
+    # every epoch has its own order of the blocks; the last one lasts as long as what is left of the quota
+    lasts = F.least(F.col("__t_").cast("double"), F.greatest(F.col("__quota_") - F.col("epoch") * F.col("__t_"), F.lit(0.0)))
+    turned = uniform(F.col("__src"), F.col("epoch"), F.col("__blk")) * (1 - 1 / BLOCKS) + F.col("__u") / BLOCKS
+    key = (F.col("epoch") * F.col("__t_") + turned * lasts) / F.col("__quota_")
     mix_key = F.least(F.greatest(key, F.lit(0.0)), F.lit(1 - 2**-52))
     return wide.select(*docs.columns, "epoch", mix_key.alias("mix_key"))
 

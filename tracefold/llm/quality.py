@@ -172,20 +172,18 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = S
     return Network(x, got["y"].to_numpy(np.float64))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, model: Network, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns keep of docs, with score and predicted."""
+def score(docs: DataFrame, vectors: np.ndarray, model: Network, text_col: str = "text") -> DataFrame:
+    """docs with score and predicted."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         seen = Hashed()
-        for frame in frames:
-            out = frame[keep].copy()
-            texts = frame["__text"].tolist()
-            out["score"] = np.concatenate([np.empty(0), *[model.score(pooled(texts[lo : lo + 512], vectors, seen).astype(np.float64)) for lo in range(0, len(texts), 512)]])
-            out["predicted"] = (out["score"] >= 0.5).astype("int32")
-            yield out
+        for texts in series:
+            out = [model.score(pooled(texts.iloc[lo : lo + 512].tolist(), vectors, seen).astype(np.float64)) for lo in range(0, len(texts), 512)]
+            yield pd.Series(np.concatenate([np.empty(0), *out]))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInPandas(run, f"{schema}, score double, predicted int")
+    # not deterministic by declaration only: else a filter on the score would be pushed below and the text scored twice
+    rated = F.pandas_udf(run, "double").asNondeterministic()
+    return docs.withColumn("score", rated(F.col(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,4 +191,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = crc_mod(F.col("doc_id"), 3) == 1
     vectors = word_vectors(docs)
     model = fit(docs, table(spark, sf_dir, "labels").where(~held), vectors)
-    return score(docs.withColumn("held_out", held), vectors, model, ["doc_id", "held_out"])
+    return score(docs, vectors, model).select("doc_id", held.alias("held_out"), "score", "predicted")
