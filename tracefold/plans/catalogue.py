@@ -1,7 +1,536 @@
-"""Queries over the driver's tables by name, and DuckDB SQL for each."""
+"""Queries over the driver's tables by name, and DuckDB SQL for each that SQL can express.
+
+Each runs the library's own operators, over whole tables, through the adapter where they need a ledger.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import commands as cmd
+from ..functions import text as tx
+from ..functions.redact import redact
+from ..operators import analytics as an
+from ..operators import delivery, folds, lookups, order, ranking, render
+from ..operators import edits as life
+from ..sources import ledger
+from .adapter import CMDS, EDITS, LED, TL, events, flat, told
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+FLAGSHIP = "working_files_top8"
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- the ledger
+
+
+@query(f"with {LED} select id, session_id, hook_event from led")
+def ledger_dedupe(spark, sf_dir):
+    """Every third event delivered twice, a few ms apart where a tool call names it; one row of each stays."""
+    once = events(spark, sf_dir)
+    again = once.where("id % 3 = 0").withColumns({"id": F.col("id") + 1_000_000_000, "ts_ms": F.when(F.col("tool_use_id").isNotNull(), F.col("ts_ms") + 3).otherwise(F.col("ts_ms"))})
+    key = ledger.dedupe_key(F.col("hook_event"), F.col("session_id"), F.col("tool_use_id"), F.lit(None), F.col("ts_ms"), F.lit(None))
+    return ledger.first_of_each(once.unionByName(again).withColumn("dedupe_key", key)).select("id", "session_id", "hook_event")
+
+
+@query(f"with {LED} select id, session_id from led where id % 5 <> 0")
+def ledger_append(spark, sf_dir):
+    """What a ledger that holds every fifth event still lacks."""
+    rows = events(spark, sf_dir)
+    return ledger.append(rows.where("id % 5 = 0"), rows).select("id", "session_id")
+
+
+@query(f"with {TL} select id, session_id, anchor, position from tl")
+def logical_order(spark, sf_dir):
+    return order.logical_order(flat(spark, sf_dir)).select("id", "session_id", "anchor", F.col("position").cast("long").alias("position"))
+
+
+@query(f"with {TL} select id, logical_ms, epoch from tl")
+def logical_time_epoch(spark, sf_dir):
+    return told(spark, sf_dir).select("id", "logical_ms", "epoch")
+
+
+@query(f"with {TL} select id, prompt_ordinal from tl where prompt is not null")
+def prompt_ordinal(spark, sf_dir):
+    return told(spark, sf_dir).where(order.is_turn()).select("id", "prompt_ordinal")
+
+
+INTENTS = (
+    TL + ", said as (select session_id, epoch, position, id, logical_ms as created_ms, case when prompt like '/%' then null when prompt like 'task:%' then 'TASK' when prompt like 'subtask:%' then 'SUBTASK' else 'PLAIN' end as kind,"
+    " case when prompt like 'task:%' then trim(substr(prompt, 6)) when prompt like 'subtask:%' then trim(substr(prompt, 9)) else prompt end as text from tl where prompt is not null)"
+    ", firsts as (select *, min(case when kind = 'TASK' or (kind = 'PLAIN' and length(text) >= 20) then position end) over (partition by session_id, epoch) as f from said where kind is not null)"
+    ", lev as (select *, case when position = f then 'ROOT' when kind = 'SUBTASK' then 'SUBTASK' else 'LATEST' end as level from firsts)"
+    ", ints as (select session_id, epoch, position, level, text, id as source_event_id, created_ms, case when level <> 'ROOT' then lead(created_ms) over w end as superseded_ms, case when level <> 'ROOT' then lead(id) over w end as superseded_by"
+    " from lev window w as (partition by session_id, epoch, level order by position))"
+)
+
+
+@query(f"with {INTENTS} select session_id, epoch, level, text, source_event_id, created_ms, superseded_ms, superseded_by from ints")
+def intents(spark, sf_dir):
+    return folds.intents(told(spark, sf_dir)).drop("position")
+
+
+@query(
+    f"with {INTENTS} select session_id, epoch, coalesce(min_by(text, case when level = 'ROOT' then position end), min_by(text, case when length(text) >= 20 then position end)) as objective,"
+    " max_by(text, case when level = 'LATEST' then position end) as latest, max_by(text, case when level = 'SUBTASK' and superseded_ms is null then position end) as subtask from ints group by 1, 2"
+)
+def objectives(spark, sf_dir):
+    return ranking.objective(folds.intents(told(spark, sf_dir)))
+
+
+@query(
+    f"with {TL} select session_id, min_by(project_id, position) as project_id, min(ts_ms) as started_ms, max(logical_ms) as last_event_ms, max(epoch) as epoch, count(*) as events from tl group by 1"
+)
+def session_rollup(spark, sf_dir):
+    return folds.sessions(told(spark, sf_dir)).select("session_id", "project_id", "started_ms", "last_event_ms", "epoch", "events")
+
+
+@query(f"with {LED} select count(*) as events, count(distinct session_id) as sessions, cast(sum(case when id > 500 then 1 else 0 end) as bigint) as backlog, max(ts_ms) as last_ms from led")
+def backlog_counts(spark, sf_dir):
+    return lookups.backlog(events(spark, sf_dir), 500)
+
+
+@query(f"with {EDITS}, g as (select session_id, path, max(event_id) as last_id from eds group by 1, 2) select session_id, path, last_id from g qualify row_number() over (partition by session_id order by last_id desc) <= 5")
+def recent_edit_paths(spark, sf_dir):
+    return folds.recent_edit_paths(told(spark, sf_dir), 5).select("session_id", "path", "last_id")
+
+
+STATS = (
+    CMDS + ", touch as (select session_id, epoch, path, case when tool_name = 'Read' then 1 else 0 end as reads, case when tool_name = 'Read' then 0 else 1 end as edits, false as in_failure, logical_ms as ts from tl where path is not null"
+    " union all select session_id, epoch, m_path, 0, 0, true, ts_ms from cmds where outcome = 'FAIL' and kind <> 'other')"
+    ", stats as (select session_id, epoch, path, cast(sum(reads) as bigint) as reads, cast(sum(edits) as bigint) as edits, bool_or(in_failure) as in_failure, max(ts) as last_touch_ms, min(ts) as first_touch_ms from touch group by 1, 2, 3)"
+)
+
+
+def stats_of(spark, sf_dir) -> DataFrame:
+    timeline = told(spark, sf_dir)
+    return folds.file_stats(timeline, folds.commands(timeline))
+
+
+@query(f"with {STATS} select * from stats")
+def file_stats(spark, sf_dir):
+    return stats_of(spark, sf_dir)
+
+
+@query(
+    f"with {STATS} select session_id, epoch, path, cast(row_number() over (partition by session_id, epoch order by path like '../%', path like 'node_modules/%', 3 * edits + reads + 4 * cast(in_failure as integer) desc, edits desc, reads desc, first_touch_ms, path) as integer) as rank from stats qualify rank <= 8"
+)
+def working_files_top8(spark, sf_dir):
+    return ranking.working_files(stats_of(spark, sf_dir), 8).select("session_id", "epoch", "path", "rank")
+
+
+@query(f"with {CMDS} select session_id, epoch, event_id, kind, signature, command_text, outcome, ts_ms from cmds")
+def commands(spark, sf_dir):
+    return folds.commands(told(spark, sf_dir)).select("session_id", "epoch", "event_id", "kind", "signature", "command_text", "outcome", "ts_ms")
+
+
+@query(
+    f"with {CMDS} select c.event_id, c.signature from cmds c where kind in ('test', 'build', 'lint') and outcome = 'FAIL' and not exists (select 1 from cmds d where d.session_id = c.session_id and d.epoch = c.epoch and d.signature = c.signature and d.outcome = 'PASS' and (d.ts_ms > c.ts_ms or (d.ts_ms = c.ts_ms and d.event_id > c.event_id)))"
+)
+def open_failures(spark, sf_dir):
+    return lookups.open_failures(folds.commands(told(spark, sf_dir))).select("event_id", "signature")
+
+
+@query(
+    f"with {CMDS} select c.event_id, (select min_by(d.event_id, (d.ts_ms, d.event_id)) from cmds d where d.session_id = c.session_id and d.epoch = c.epoch and d.signature = c.signature and d.outcome = 'PASS' and (d.ts_ms > c.ts_ms or (d.ts_ms = c.ts_ms and d.event_id > c.event_id))) as resolved_by from cmds c where outcome = 'FAIL'"
+)
+def resolved_by(spark, sf_dir):
+    return lookups.resolved_by(folds.commands(told(spark, sf_dir))).select("event_id", "resolved_by")
+
+
+def live(spark, sf_dir) -> DataFrame:
+    return folds.edits(told(spark, sf_dir)).withColumn("status", F.lit("ACTIVE"))
+
+
+@query(f"with {EDITS} select session_id, epoch, path, max(event_id) as event_id from eds group by 1, 2, 3")
+def latest_live_edit(spark, sf_dir):
+    return lookups.latest_live_edit(live(spark, sf_dir)).select("session_id", "epoch", "path", "event_id")
+
+
+@query(f"with {EDITS} select event_id, max(event_id) over (partition by session_id, epoch, path order by event_id rows between 1 following and unbounded following) as superseded_by from eds")
+def later_edit(spark, sf_dir):
+    return lookups.later_edit(live(spark, sf_dir)).select("event_id", "superseded_by")
+
+
+CMDS_EDITS = CMDS + ", eds as (select session_id, epoch, position, id as event_id, path, post_hash, logical_ms as ts_ms from tl where post_hash is not null)"
+
+
+@query(
+    f"with {CMDS_EDITS} select e.event_id, (select min_by(c.event_id, (c.ts_ms, c.event_id)) from cmds c where c.session_id = e.session_id and c.epoch = e.epoch and c.kind in ('test', 'build') and c.ts_ms > e.ts_ms) as afterward from eds e"
+)
+def afterward_command(spark, sf_dir):
+    timeline = told(spark, sf_dir)
+    return lookups.afterward(folds.edits(timeline), folds.commands(timeline)).select("event_id", "afterward")
+
+
+@query(
+    f"with {CMDS_EDITS}, sp as (select session_id, event_id as span_id, ts_ms as from_ms, ts_ms + 7200000 as to_ms from eds) select span_id, (select min_by(c.event_id, (c.ts_ms, c.event_id)) from cmds c where c.session_id = s.session_id and c.kind in ('test', 'build') and c.ts_ms between s.from_ms and s.to_ms) as observed_after from sp s"
+)
+def observed_between(spark, sf_dir):
+    timeline = told(spark, sf_dir)
+    spans = folds.edits(timeline).select("session_id", F.col("event_id").alias("span_id"), F.col("ts_ms").alias("from_ms"), (F.col("ts_ms") + 7_200_000).alias("to_ms"))
+    return lookups.observed_between(spans, folds.commands(timeline)).select("span_id", "observed_after")
+
+
+@query(
+    f"with {LED}, m as (select session_id, id as mark_id, ts_ms as at_ms from led where hook_event = 'SessionStart') select mark_id, (select min_by(e.id, (e.ts_ms, e.id)) from led e where e.session_id = m.session_id and e.ts_ms > m.at_ms and e.hook_event in ('PostToolUse', 'PostToolUseFailure', 'Stop')) as evidence from m"
+)
+def confirmation_event(spark, sf_dir):
+    rows = flat(spark, sf_dir)
+    marks = rows.where("hook_event = 'SessionStart'").select("session_id", F.col("id").alias("mark_id"), F.col("ts_ms").alias("at_ms"))
+    return lookups.first_evidence(marks, rows).select("mark_id", "evidence")
+
+
+@query(
+    f"with {LED}, pre as (select session_id, concat('t', cast(id + 2 as varchar)) as tool_use_id, min(id) as pre_id from led where hook_event = 'SessionStart' group by 1, 2)"
+    " select l.id, p.pre_id from led l left join pre p using (session_id, tool_use_id) where l.hook_event in ('PostToolUse', 'PostToolUseFailure')"
+)
+def pre_post_pairing(spark, sf_dir):
+    rows = flat(spark, sf_dir)
+    pre = rows.where("hook_event = 'SessionStart'").withColumns({"hook_event": F.lit("PreToolUse"), "tool_use_id": F.concat(F.lit("t"), (F.col("id") + 2).cast("string"))})
+    return lookups.started_in(rows.unionByName(pre)).select("id", "pre_id")
+
+
+CKPT = TL + ", ck as (select session_id, id as checkpoint_id, logical_ms as created_ms from tl where hook_event = 'PreCompact')"
+
+
+def checkpoints(timeline: DataFrame) -> DataFrame:
+    return timeline.where("hook_event = 'PreCompact'").select("session_id", F.col("id").alias("checkpoint_id"), F.col("logical_ms").alias("created_ms"))
+
+
+@query(f"with {CKPT}, s as (select distinct session_id from tl) select session_id, count(checkpoint_id) as checkpoints, max_by(checkpoint_id, (created_ms, checkpoint_id)) as last_checkpoint from s left join ck using (session_id) group by 1")
+def session_list(spark, sf_dir):
+    timeline = told(spark, sf_dir)
+    return lookups.session_list(folds.sessions(timeline), checkpoints(timeline)).select("session_id", "checkpoints", "last_checkpoint")
+
+
+@query(
+    f"with {TL}, s as (select session_id, max(logical_ms) as last_event_ms from tl group by 1), t as (select concat('s', cast(conv_id as varchar)) as session_id, min_by(text, turn) as title, 1700000000000 + conv_id * 1000 as modified_ms from conversations group by conv_id)"
+    " select coalesce(s.session_id, t.session_id) as session_id, title, coalesce(greatest(last_event_ms, modified_ms), 0) as last_ms, case when s.session_id is null then 'transcript' when t.session_id is null then 'ledger' else 'both' end as known_to from s full join t on s.session_id = t.session_id order by last_ms desc, 1 limit 20"
+)
+def restore_picker(spark, sf_dir):
+    """A report of the twenty sessions of latest activity."""
+    files = docs(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"))
+    files = files.select(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), "title", (F.lit(1_700_000_000_000) + F.col("conv_id") * 1000).alias("modified_ms"))
+    return lookups.restore_picker(folds.sessions(told(spark, sf_dir)), files, 20)
+
+
+@query(f"with {LED} select distinct session_id from led where substr(session_id, 1, 3) = 's12' order by 1 limit 3")
+def session_prefix(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return lookups.resolve_prefix(rows.select("session_id"), rows, "s12")
+
+
+@query(f"with {CKPT}, co as (select *, case when checkpoint_id % 3 = 0 then 'PENDING' when checkpoint_id % 3 = 1 then 'ATTACHED' else 'CONFIRMED' end as state from ck) select session_id, checkpoint_id, state, created_ms from co where state in ('PENDING', 'ATTACHED')")
+def live_continuation(spark, sf_dir):
+    ck = checkpoints(told(spark, sf_dir))
+    state = F.when(F.col("checkpoint_id") % 3 == 0, "PENDING").when(F.col("checkpoint_id") % 3 == 1, "ATTACHED").otherwise("CONFIRMED")
+    return lookups.live_continuations(ck.select("session_id", "checkpoint_id", state.alias("state")), ck).select("session_id", "checkpoint_id", "state", "created_ms")
+
+
+@query(
+    f"with {EDITS}, n as (select *, row_number() over (partition by session_id, epoch, path order by ts_ms desc, event_id desc) as n from eds), p as (select * from n qualify row_number() over (partition by session_id, epoch order by n > 1, ts_ms desc, event_id desc) <= 4)"
+    " select session_id, epoch, path, event_id as id, cast(row_number() over (partition by session_id, epoch order by ts_ms desc, event_id desc) as integer) as rank from p"
+)
+def dead_end_slots(spark, sf_dir):
+    dead = live(spark, sf_dir).select("session_id", "epoch", "path", F.col("event_id").alias("id"), F.col("ts_ms").alias("resolved_ms"))
+    return ranking.dead_end_slots(dead).select("session_id", "epoch", "path", "id", "rank")
+
+
+@query(
+    "with r as (select concat('c', cast(conv_id as varchar)) as session_id, 1 as epoch, turn as ordinal, substr(text, 1, 40) as text, case turn % 3 when 0 then 'requirement' when 1 then 'labelled' else 'prohibition' end as kind from conversations)"
+    ", o as (select * from r qualify row_number() over (partition by session_id, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) order by ordinal) = 1)"
+    " select session_id, ordinal, cast(row_number() over (partition by session_id order by case kind when 'labelled' then 0 when 'prohibition' then 1 else 2 end, ordinal) as integer) as rank from o qualify rank <= 3"
+)
+def rule_pick(spark, sf_dir):
+    said = docs(spark, sf_dir, "conversations")
+    kind = F.when(F.col("turn") % 3 == 0, "requirement").when(F.col("turn") % 3 == 1, "labelled").otherwise("prohibition")
+    rules = said.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.lit(1).alias("epoch"), F.col("turn").alias("ordinal"), F.substring("text", 1, 40).alias("text"), kind.alias("kind"))
+    return ranking.picked_rules(rules).select("session_id", "ordinal", "rank")
+
+
+@query(
+    f"with {CMDS}, f as (select * from cmds where kind = 'test' and outcome = 'FAIL'), p as (select * from cmds where kind = 'test' and outcome = 'PASS')"
+    " select f.event_id as fail_id, min_by(p.event_id, (p.ts_ms, p.event_id)) as covered_by from f left join p on f.session_id = p.session_id and f.epoch = p.epoch and (p.ts_ms > f.ts_ms or (p.ts_ms = f.ts_ms and p.event_id > f.event_id))"
+    " and (p.signature = f.signature or starts_with(concat(substr(f.signature, 13), '::test_a'), substr(p.signature, 13))) group by 1"
+)
+def test_status(spark, sf_dir):
+    runs = folds.commands(told(spark, sf_dir))
+    ids = F.when(F.col("kind") == "test", F.concat(F.substring("signature", 13, 1000), F.lit("::test_a")))
+    return lookups.test_coverage(runs.withColumn("test_id", ids)).select("fail_id", "covered_by")
+
+
+# --- edit lifecycle and delivery: folds, held against plain restatements in the tests
+
+
+@query()
+def edit_lifecycle(spark, sf_dir):
+    return life.lifecycle(life.observations(with_git(told(spark, sf_dir))))[0]
+
+
+@query()
+def dead_ends(spark, sf_dir):
+    timeline = with_git(told(spark, sf_dir))
+    dead = life.lifecycle(life.observations(timeline))[1]
+    spans = dead.select("session_id", F.concat_ws("|", "path", F.col("id").cast("string")).alias("span_id"), "from_ms", F.col("resolved_ms").alias("to_ms"))
+    seen = lookups.observed_between(spans, folds.commands(timeline)).select("session_id", "span_id", "observed_after")
+    return dead.withColumn("span_id", F.concat_ws("|", "path", F.col("id").cast("string"))).join(seen, ["session_id", "span_id"], "left").drop("span_id")
+
+
+def with_git(timeline: DataFrame) -> DataFrame:
+    """Every eleventh command is a restore of a file to its first content, every thirteenth a commit."""
+    path = F.concat(F.lit("src/f"), (F.col("id") * 7 % 23).cast("string"), F.lit(".py"))
+    files = F.array(F.struct(path.alias("path"), F.md5(F.concat(F.lit("f"), (F.col("id") * 7 % 23).cast("string"), F.lit("-0"))).alias("hash"), F.lit(1).cast("bigint").alias("size")))
+    git = F.struct(F.when(F.col("id") % 11 == 0, "checkout").alias("restore"), (F.col("id") % 13 == 0).alias("commit"), files.alias("files"))
+    return timeline.withColumn("git", F.when(F.col("command").isNotNull() & ((F.col("id") % 11 == 0) | (F.col("id") % 13 == 0)), git))
+
+
+@query()
+def delivery_states(spark, sf_dir):
+    return delivery.continuations(delivery.steps_of(told(spark, sf_dir)))
+
+
+@query(
+    "select doc_id, case when doc_id % 2 <> 0 then 'NOT_FOR_SOURCE' when doc_id % 10 = 0 then 'ALREADY_CLAIMED' when doc_id % 6 = 0 then 'DAMAGED' when source = 'src0' then 'OTHER_WORKSPACE' when doc_id % 16 = 0 then 'TOO_OLD' else 'CLAIM' end as outcome from documents"
+)
+def staged_claim(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    good = F.substring(F.sha2("text", 256), 1, 32)
+    staged = F.struct(
+        F.array(F.when(F.col("doc_id") % 2 == 0, F.lit("startup")).otherwise(F.lit("resume"))).alias("deliver_on"), (F.col("doc_id") % 10 == 0).alias("claimed"), F.col("text").alias("capsule"),
+        F.when(F.col("doc_id") % 6 == 0, F.lit("x")).otherwise(good).alias("content_hash"), F.col("source").alias("workspace_id"), F.when(F.col("doc_id") % 16 == 0, F.lit(0)).otherwise(F.lit(900_000_000)).cast("long").alias("created_ms"),
+    )
+    start = rows.select("doc_id", staged.alias("staged"), F.lit("startup").alias("source"), F.when(F.col("source") == "src0", F.lit("other")).otherwise(F.col("source")).alias("workspace_id"))
+    return start.select("doc_id", delivery.claim_outcome("staged", F.lit(1_000_000_000)).alias("outcome"))
+
+
+@query()
+def capsules(spark, sf_dir):
+    """The bounded record of every session's last epoch."""
+    timeline = told(spark, sf_dir)
+    last = timeline.groupBy("session_id").agg(F.max("epoch").alias("epoch"))
+    runs = folds.commands(timeline)
+    asked = ranking.objective(folds.intents(timeline)).join(last, ["session_id", "epoch"]).withColumn("n", F.lit(0))
+    files = ranking.working_files(folds.file_stats(timeline, runs)).join(last, ["session_id", "epoch"])
+    broken = ranking.top(lookups.open_failures(runs).join(last, ["session_id", "epoch"]), ["session_id"], [F.desc("ts_ms"), F.desc("event_id")], 6)
+    touched = F.concat_ws(" ", "path", F.format_string("(%d edits, %d reads)", "edits", "reads"))
+    lines = (
+        render.lines_of(asked, "FIRST_MESSAGE", F.col("objective"), "n").unionByName(render.lines_of(asked, "LATEST", F.col("latest"), "n"))
+        .unionByName(render.lines_of(asked, "SUBTASK", F.col("subtask"), "n")).unionByName(render.lines_of(files, "FILE_ACTIVITY", touched, "rank"))
+        .unionByName(render.lines_of(broken, "TEST_RESULT", F.concat_ws(" ", "command_text", "excerpt"), "rank"))
+    )
+    return render.render(lines, 200)
+
+
+# --- text
+
+
+@query(
+    "with s as (select doc_id, coalesce(text, '') as t from documents), r as (select doc_id, list_sum(list_transform(regexp_extract_all(t, '  +'), lambda x: cast(ceil(length(x) / 2.0) as bigint))) as a, length(t) - length(regexp_replace(t, '[\\n\\r\\t]', '', 'g')) as b,"
+    " list_sum(list_transform(regexp_extract_all(t, '(?:^|[ \\n\\r\\t])([A-Za-z]+)', 1), lambda x: cast(ceil(length(x) / 3.0) - ceil(length(x) / 2.0) as bigint))) as c, list_sum(list_transform(regexp_extract_all(t, '[A-Za-z]+'), lambda x: cast(ceil(length(x) / 2.0) as bigint))) as d,"
+    " list_sum(list_transform(regexp_extract_all(t, '[0-9]+'), lambda x: cast(ceil(length(x) / 3.0) as bigint))) as e, length(t) - length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) as f, length(t) - length(regexp_replace(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F!-/:-@\\[-`{-\\x7F]', '', 'g')) as g from s)"
+    ", w as (select doc_id, coalesce(a, 0) + b + coalesce(c, 0) + coalesce(d, 0) + coalesce(e, 0) + 2 * f + g as raw from r) select doc_id, cast(raw + ceil(raw / 32.0) as bigint) as tokens from w"
+)
+def token_estimate(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", tx.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+@query(
+    "select doc_id, case when length(text) <= 60 then text else concat(substr(text, 1, 57), '...') end as head, case when length(text) <= 60 then text else concat('...', right(text, 57)) end as tail,"
+    " cast(case when text = '' then 0 else length(text) - length(replace(text, chr(10), '')) + case when text like concat('%', chr(10)) then 0 else 1 end end as integer) as lines from documents"
+)
+def text_cuts(spark, sf_dir):
+    t = F.col("text")
+    return docs(spark, sf_dir).select("doc_id", tx.truncate_chars(t, 60).alias("head"), tx.truncate_front(t, 60).alias("tail"), tx.line_count(t).alias("lines"))
+
+
+@query("select doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as collapsed from documents")
+def collapse_whitespace(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.md5(tx.collapse_whitespace(F.col("text"))).alias("collapsed"))
+
+
+@query(
+    "select doc_id, md5(regexp_replace(text, '((?i:(?:api[_-]?key|secret|token|passw(?:or)?d|auth)[\"'']?\\s*[:=]\\s*[\"'']?))[^\\s\"'',;]{8,}', '\\1[REDACTED:generic_secret]', 'g')) as clean from "
+    "(select doc_id, regexp_replace(text, '(^|[^A-Za-z0-9_])AKIA[0-9A-Z]{16}($|[^0-9A-Z])', '\\1[REDACTED:aws_access_key]\\2', 'g') as text from documents)"
+)
+def redact_documents(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.md5(redact(F.col("text"))).alias("clean"))
+
+
+@query(
+    f"with {LED} select id, strftime(make_timestamp((ts_ms - ts_ms % 1000) * 1000), '%Y-%m-%dT%H:%M:%SZ') as rfc3339, strftime(make_timestamp((ts_ms - ts_ms % 1000) * 1000), '%Y%m%dT%H%M%SZ') as compact,"
+    " case when id < 60 then concat(cast(id as varchar), 's') when id < 3600 then concat(cast(id // 60 as varchar), 'm') when id < 86400 then concat(cast(id // 3600 as varchar), 'h') else concat(cast(id // 86400 as varchar), 'd') end as age from led"
+)
+def time_formats(spark, sf_dir):
+    return events(spark, sf_dir).select("id", tx.rfc3339(F.col("ts_ms")).alias("rfc3339"), tx.compact_utc(F.col("ts_ms")).alias("compact"), tx.human_age(F.col("id") * 1000).alias("age"))
+
+
+@query("select page_id, list_distinct(regexp_extract_all(url, '[A-Za-z0-9_-]+\\.html')) <> [] as is_file, regexp_matches(concat(url, '/.env'), '/\\.env') as sensitive from pages")
+def path_predicates(spark, sf_dir):
+    pages = docs(spark, sf_dir, "pages")
+    files = F.filter(cmd.path_tokens(F.col("url")), lambda p: p["path"].endswith(".html"))
+    return pages.select("page_id", (F.size(files) > 0).alias("is_file"), tx.is_sensitive(F.concat("url", F.lit("/.env"))).alias("sensitive"))
+
+
+@query(
+    f"with {LED} select id, case when id % 5 = 0 then 'INTERRUPTED' when hook_event = 'PostToolUseFailure' then 'FAIL' when id % 4 = 3 then 'UNKNOWN' when id % 2 = 0 then 'PASS' else 'FAIL' end as outcome from led where command is not null"
+)
+def command_outcome(spark, sf_dir):
+    rows = flat(spark, sf_dir).where("command is not null").withColumn("d", cmd.described("command"))
+    ended = cmd.outcome(F.col("d.kind"), F.col("hook_event") == "PostToolUseFailure", F.col("exit_code"), F.col("id") % 5 == 0, F.col("stdout_tail"))
+    return rows.select("id", ended.alias("outcome"))
+
+
+@query(f"with {LED} select id, concat('E   assert ', cast(id % 90 as varchar), ' == 0') as excerpt from led where hook_event = 'PostToolUseFailure'")
+def failure_excerpt(spark, sf_dir):
+    rows = flat(spark, sf_dir).where("hook_event = 'PostToolUseFailure'")
+    return rows.select("id", F.array_join(cmd.failure_excerpt(F.col("error")), "\n").alias("excerpt"))
+
+
+@query(f"with {LED} select id, concat('tests/t', cast(id % 5 as varchar), '.py::test_', cast(id % 9 as varchar)) as first, 2 as n from led where command is not null")
+def failing_tests(spark, sf_dir):
+    rows = flat(spark, sf_dir).where("command is not null")
+    name = F.concat(F.lit("tests/t"), (F.col("id") % 5).cast("string"), F.lit(".py::test_"), (F.col("id") % 9).cast("string"))
+    report = F.concat(F.lit("FAILED "), name, F.lit(" - assert 1\nok\n--- FAIL: TestGo (0.00s)\nFAILED "), name)
+    found = cmd.failing_tests(report)
+    return rows.select("id", found[0].alias("first"), F.size(found).alias("n"))
+
+
+# --- evaluation
+
+
+@query(
+    "with s as (select d.source, count(case when quality = 1 and toxic = 0 then 1 end) as a, count(case when quality = 1 and toxic = 1 then 1 end) as b, count(case when quality = 0 and toxic = 0 then 1 end) as c, count(case when quality = 0 and toxic = 1 then 1 end) as d from labels l join documents d using (doc_id) group by 1)"
+    ", e as (select *, a + b as r, a + c as k, a + b + c + d as n from s), x as (select *, unnest(range(a, least(r, k) + 1)) as i from e)"
+    ", p as (select source, a, sum(exp(lgamma(r + 1) - lgamma(i + 1) - lgamma(r - i + 1) + lgamma(n - r + 1) - lgamma(k - i + 1) - lgamma(n - r - k + i + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1))) as p from x group by 1, 2)"
+    " select source, a, round(least(p, 1.0), 8) as p from p"
+)
+def fisher_exact(spark, sf_dir):
+    both = docs(spark, sf_dir, "labels").join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    cell = lambda q, t: F.count(F.when((F.col("quality") == q) & (F.col("toxic") == t), 1))
+    tables = both.groupBy("source").agg(cell(1, 0).alias("a"), cell(1, 1).alias("b"), cell(0, 0).alias("c"), cell(0, 1).alias("d"))
+    return tables.select("source", "a", F.round(an.fisher_one_sided(F.col("a"), F.col("b"), F.col("c"), F.col("d")), 8).alias("p"))
+
+
+@query(
+    "with r as (select event_type, value, row_number() over (partition by event_type order by value) as k, count(*) over (partition by event_type) as n from events)"
+    " select event_type, max(case when k = cast(round_even((n - 1) * 0.95, 0) as bigint) + 1 then value end) as p95, max(case when k = cast(round_even((n - 1) * 0.5, 0) as bigint) + 1 then value end) as p50 from r group by 1"
+)
+def percentiles_nearest_rank(spark, sf_dir):
+    return docs(spark, sf_dir, "events").groupBy("event_type").agg(an.nearest_rank("value", 95).alias("p95"), an.nearest_rank("value", 50).alias("p50"))
+
+
+@query("select o_orderpriority, round(median(o_totalprice), 4) as median_price from orders group by 1")
+def median_price(spark, sf_dir):
+    return docs(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(an.median("o_totalprice"), 4).alias("median_price"))
+
+
+@query("select l_orderkey, case when count(case when l_linenumber <> 6 then l_quantity end) = count(*) then round(sum(l_quantity), 2) end as quantity from lineitem group by 1")
+def all_or_nothing_sum(spark, sf_dir):
+    rows = docs(spark, sf_dir, "lineitem").withColumn("q", F.when(F.col("l_linenumber") != 6, F.col("l_quantity")))
+    return rows.groupBy("l_orderkey").agg(F.round(an.all_or_nothing_sum("q"), 2).alias("quantity"))
+
+
+@query(
+    "with c as (select o_custkey, sum(case when o_orderstatus = 'F' then o_totalprice end) as b, sum(case when o_orderstatus = 'O' then o_totalprice end) as t from orders group by 1) select o_custkey, round(t - b, 2) as diff, round(case when b <> 0 then (t - b) / b * 100 end, 4) as pct from c"
+)
+def percent_change(spark, sf_dir):
+    part = lambda s: F.sum(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
+    sums = docs(spark, sf_dir, "orders").groupBy("o_custkey").agg(part("F").alias("b"), part("O").alias("t"))
+    return sums.select("o_custkey", F.round(an.difference(F.col("t"), F.col("b")), 2).alias("diff"), F.round(an.percent_change(F.col("t"), F.col("b")), 4).alias("pct"))
+
+
+@query(
+    "select o_custkey, o_orderkey, o_orderpriority from (select *, rank() over (partition by o_custkey order by case o_orderpriority when '1-URGENT' then 1 when '2-HIGH' then 2 when '3-MEDIUM' then 3 end) as r from orders where o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM')) where r = 1"
+)
+def class_priority(spark, sf_dir):
+    return an.best_class(docs(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"]).select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+PAIRS = "with b as (select o_custkey as k, count(*) as value, max(o_orderpriority) as g from orders where o_orderkey % 2 = 0 group by 1), t as (select o_custkey as k, count(*) as value, max(o_orderpriority) as g from orders where o_orderkey % 2 = 1 group by 1) "
+
+
+@query(
+    PAIRS + "select coalesce(b.k, t.k) as k, case when b.k is null then 'no baseline' when t.k is null then 'no treatment' when b.g is distinct from t.g then 'g differs' else '' end as dropped, case when b.k is not null and t.k is not null and b.g is not distinct from t.g then t.value - b.value end as delta from b full join t on b.k = t.k"
+)
+def matched_pairs(spark, sf_dir):
+    rows = docs(spark, sf_dir, "orders")
+    half = lambda r: rows.where(F.col("o_orderkey") % 2 == r).groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("value"), F.max("o_orderpriority").alias("g"))
+    return an.matched_pairs(half(0), half(1), "k", ["g"], "value").select("k", F.array_join("dropped", ",").alias("dropped"), "delta")
+
+
+@query(
+    "with s as (select l_orderkey, l_linenumber as ordinal, concat('stage', cast(l_linenumber as varchar)) as stage, l_returnflag <> 'R' as ok from lineitem) select l_orderkey, min_by(stage, case when not ok then ordinal end) as failed_stage, coalesce(min(case when not ok then ordinal end), max(ordinal) + 1) as reached from s group by 1"
+)
+def funnel(spark, sf_dir):
+    rows = docs(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("ordinal"), F.concat(F.lit("stage"), F.col("l_linenumber").cast("string")).alias("stage"), (F.col("l_returnflag") != "R").alias("ok"))
+    return an.first_failed_stage(rows, ["l_orderkey"])
+
+
+@query(
+    "with g as (select l_orderkey, list_distinct(list(l_shipmode)) as f from (select l_orderkey, l_returnflag as l_shipmode from lineitem) group by 1) select l_orderkey, len(list_intersect(['A', 'N', 'R'], f)) as hits, round(len(list_intersect(['A', 'N', 'R'], f)) / 3.0, 6) as ratio, len(list_intersect(['A', 'N', 'R'], f)) = 3 as all_found from g"
+)
+def coverage(spark, sf_dir):
+    found = docs(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("f"))
+    c = an.coverage(F.col("f"), F.array(*[F.lit(x) for x in "ANR"]))
+    return found.select("l_orderkey", F.size(c["hits"]).cast("long").alias("hits"), F.round(c["ratio"], 6).alias("ratio"), c["all_found"].alias("all_found"))
+
+
+@query(
+    "with g as (select conv_id, list_distinct(list(role)) as r from conversations group by 1) select conv_id, round(len(list_intersect(r, ['user', 'tool'])) / cast(len(r) as double), 6) as precision, round(len(list_intersect(['user', 'tool'], r)) / 2.0, 6) as recall from g"
+)
+def precision_recall(spark, sf_dir):
+    seen = docs(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("r"))
+    both = an.precision_recall(F.col("r"), F.array(F.lit("user"), F.lit("tool")))
+    return seen.select("conv_id", F.round(both["precision"], 6).alias("precision"), F.round(both["recall"], 6).alias("recall"))
+
+
+@query("select o_custkey, case when count(case when o_orderstatus <> 'P' then 1 end) > 0 then bool_and(o_orderstatus = 'F') filter (o_orderstatus <> 'P') end as correct from orders group by 1")
+def three_valued_and(spark, sf_dir):
+    rows = docs(spark, sf_dir, "orders").withColumn("c", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F"))
+    return rows.groupBy("o_custkey").agg(an.three_valued_and("c").alias("correct"))
+
+
+@query(
+    "select o_orderkey, case when o_orderkey % 11 = 0 then 'UNUSABLE' when o_orderkey % 7 = 0 then 'BASELINE_INVALID' when o_orderkey % 5 = 0 then 'TREATMENT_INVALID' when o_orderstatus = 'P' then 'CORRECTNESS_UNKNOWN' when o_orderstatus = 'F' and o_orderkey % 3 = 0 then 'WORSE' when o_orderstatus = 'O' and o_orderkey % 3 <> 0 then 'BETTER' when o_orderstatus = 'O' then 'BOTH_WRONG'"
+    " when (o_totalprice - 100000) / 100000 * 100 <= -5 then 'BETTER' when (o_totalprice - 100000) / 100000 * 100 >= 5 then 'WORSE' else 'TIE' end as verdict from orders"
+)
+def verdicts(spark, sf_dir):
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    right = F.when(s != "P", s == "F")
+    ruled = an.verdict(k % 11 != 0, k % 7 != 0, k % 5 != 0, right, F.when(s != "P", k % 3 != 0), F.lit(100000.0), F.col("o_totalprice"), 5.0)
+    return docs(spark, sf_dir, "orders").select("o_orderkey", ruled.alias("verdict"))
+
+
+@query("select lang, count(case when source = 'src0' then 1 end) as src0, count(case when source = 'src1' then 1 end) as src1 from documents where source in ('src0', 'src1') group by 1")
+def status_histogram(spark, sf_dir):
+    return docs(spark, sf_dir).where("source in ('src0', 'src1')").groupBy("lang").pivot("source", ["src0", "src1"]).count().na.fill(0)
+
+
+@query(
+    "with l as (select doc_id, o as ordinal, concat('layer', cast(o as varchar)) as layer, case when (doc_id + o) % 5 = 0 then null else doc_id % (o + 2) <> 0 end as present from documents, range(7) t(o))"
+    ", p as (select *, last_value(present ignore nulls) over (partition by doc_id order by ordinal rows between unbounded preceding and 1 preceding) as before from l)"
+    " select doc_id, min_by(layer, case when not present and coalesce(before, false) then ordinal end) as lost_at, bool_or(coalesce(present, false)) as ever_present from p group by 1"
+)
+def trace_first_loss(spark, sf_dir):
+    o = F.explode(F.sequence(F.lit(0), F.lit(6)))
+    rows = docs(spark, sf_dir).select("doc_id", o.alias("ordinal"))
+    present = F.when((F.col("doc_id") + F.col("ordinal")) % 5 == 0, F.lit(None)).otherwise(F.col("doc_id") % (F.col("ordinal") + 2) != 0)
+    return an.first_loss(rows.select("doc_id", "ordinal", F.concat(F.lit("layer"), F.col("ordinal").cast("string")).alias("layer"), present.alias("present")), ["doc_id"])
