@@ -185,7 +185,11 @@ def signature(command: str | None) -> str | None:
     return f"{classify(command)}:{' '.join(words)}"
 
 
-@F.pandas_udf("kind string, signature string")
-def described(commands: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in commands:
-        yield pd.DataFrame({"kind": [classify(x) for x in batch], "signature": [signature(x) for x in batch]}, dtype=object)
+def described(command: str | Column) -> Column:
+    """struct<kind, signature> of a command."""
+
+    def run(commands: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in commands:
+            yield pd.DataFrame({"kind": [classify(x) for x in batch], "signature": [signature(x) for x in batch]}, dtype=object)
+
+    return F.pandas_udf(run, "kind string, signature string")(command)

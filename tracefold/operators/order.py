@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-by_session = Window.partitionBy("session_id")
-
 
 def logical_order(events: DataFrame) -> DataFrame:
     """events with anchor and position (from 1).
@@ -22,7 +20,7 @@ def logical_order(events: DataFrame) -> DataFrame:
     wide = events.withColumns({
         "__clock": F.max(direct).over(up_to_clock), "__id": F.max(direct).over(before),
         "__back": (~F.col("spooled") & F.coalesce(F.col("ts_ms") < highest, F.lit(False))).cast("int"),
-    }).withColumn("__back", F.max("__back").over(by_session))
+    }).withColumn("__back", F.max("__back").over(Window.partitionBy("session_id")))
     both = F.when(F.col("__clock").isNull() | F.col("__id").isNull(), F.lit(-1)).otherwise(F.least("__clock", "__id"))
     simple = F.when(F.col("spooled"), both).otherwise(F.col("id"))
     steady = wide.where("__back = 0").withColumn("anchor", simple)
