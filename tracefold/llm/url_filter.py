@@ -59,8 +59,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: flo
     """(kind, host, received): what each host receives over edges (kind, src, dst, share) from seeds (kind, host, seed)."""
     rank = seeds.select("kind", "host", F.col("seed").alias("rank"))
     for i in range(rounds):
-        sent = rank.join(edges, (rank["kind"] == edges["kind"]) & (rank["host"] == edges["src"]))
-        got = sent.groupBy(edges["kind"], edges["dst"].alias("host")).agg(F.sum(rank["rank"] * edges["share"] * damping).alias("received"))
+        sent = rank.alias("r").join(edges.alias("e"), F.expr("r.kind = e.kind and r.host = e.src"))
+        got = sent.groupBy(F.col("e.kind").alias("kind"), F.col("e.dst").alias("host")).agg(F.sum(F.col("r.rank") * F.col("e.share") * damping).alias("received"))
         if i == rounds - 1:
             return got
         both = got.select("kind", "host", F.col("received").alias("rank")).unionAll(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank")))
@@ -70,7 +70,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: flo
     return rank.select("kind", "host", F.lit(0.0).alias("received"))
 
 
-def blocked_hosts(pages: DataFrame, rules, rounds: int = 12, threshold: float = 1.0) -> DataFrame | None:
+def blocked_hosts(pages: DataFrame, rules, rounds: int = 12, threshold: float = 0.5) -> DataFrame | None:
     """Hosts that the link graph blocks; None where no host links to another. pages: host, path, html."""
     edges = materialise(host_edges(pages))
     if edges.isEmpty():
@@ -92,7 +92,7 @@ def blocked_hosts(pages: DataFrame, rules, rounds: int = 12, threshold: float =
     return materialise(one.where((F.col("distrust") * hosts > threshold) & (F.col("distrust") > F.col("trust"))).select("host"))
 
 
-def judge(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "html", rounds: int = 12, threshold: float = 1.0) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "html", rounds: int = 12, threshold: float = 0.5) -> DataFrame:
     """pages with __host, __path, __rule and __verdict."""
     wide = pages.withColumns({"__host": host_of(F.col(url_col)), "__path": path_of(F.col(url_col))})
     bad = blocked_hosts(wide.select(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col(html_col).alias("html")), rules, rounds, threshold)
