@@ -37,7 +37,7 @@ COUNTED = 0.2
 HEAVIEST = 1 << 19
 #: Longer lists go to their leader whole, without a test of each pair.
 LIST, HELD = 64, 20_000
-CELL = 1024
+CELL = 512
 #: Documents whose ids may be sent to every executor (some 200 bytes each); more are joined by shuffle.
 BROADCAST_DOCS = 200_000
 U = np.uint64

@@ -31,7 +31,7 @@ from .common import crc_mod, listed, table
 BUCKETS, DIM, NONZERO = 1 << 14, 32, 4
 SAMPLE = 20_000
 WORD = re.compile(r"\w+|[^\w\s]+")
-CACHE = 400_000
+CACHE = 150_000
 
 
 class Hashed(dict):
@@ -78,7 +78,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             for text in frame["t"]:
                 chunk.append(tokens(text, seen))
                 size += len(chunk[-1])
-                if size > 1_000_000:
+                if size > 500_000:
                     add(chunk)
                     chunk, size = [], 0
         if chunk:
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = S
     """docs: doc_id, text; labels: doc_id, quality, of the rows to learn from."""
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("y"))
     chosen = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "y").limit(sample).drop("h")
-    rows = docs.select("doc_id", F.col("text").alias("t")).join(chosen, "doc_id")
+    rows = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of 24 bytes
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = Hashed()
