@@ -268,6 +268,19 @@ def test_katz_small_vocabulary_and_blocks(spark, monkeypatch):
         assert abs(r.base_score - base) < 1e-9 and r.n_known == r.n_tokens == 31 and math.isfinite(r.score)
 
 
+@pytest.mark.parametrize("short", [0, 10, 40])
+def test_katz_pairs_of_rare_words(spark, monkeypatch, short):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 100)
+    rng = random.Random(7)
+    train = [" ".join(words(rng, 30, 60)) for _ in range(15)] + ["once upon a time", "once upon a day", None]
+    texts = [*train, "once upon never a time", "never never once", "w1 time upon w2", " ".join(words(rng, 30, 80))]
+    model, stored = katz.fit(spark.createDataFrame([(t,) for t in train], "t string"), words=short)
+    got = {r.doc_id: r for r in katz.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, t string"), model, stored, ["doc_id"]).collect()}
+    want = brute_katz(train, texts)
+    for i, t in enumerate(texts):
+        assert abs(got[i].score - want[i]) < 1e-9 * max(1, abs(want[i])), (i, t)
+
+
 def test_katz_without_training(spark):
     model, stored = katz.fit(spark.createDataFrame([], "t string"))
     (row,) = katz.score(spark.createDataFrame([(1, "a b")], "doc_id bigint, t string"), model, stored, ["doc_id"]).collect()
