@@ -251,3 +251,11 @@ def test_catalogue_agrees_with_duckdb(spark, name):
     got = flat([r[c] for c in columns] for r in df.collect())
     want = flat(con.sql(f"select {', '.join(columns)} from ({catalogue.SQL[name]})").fetchall())
     assert got == want and got
+
+
+def test_rule_pick_reads_whole_texts(spark, tmp_path):
+    opening = "Please never do the following thing here: "
+    rows = [(1, t, "user", opening + x) for t, x in [(1, "push"), (2, "merge"), (4, "rebase"), (7, "PUSH ")]]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(map(tuple, catalogue.rule_pick(spark, str(tmp_path)).collect()))
+    assert len(opening) > 40 and got == [("c1", 1, 1), ("c1", 2, 3), ("c1", 4, 2)]

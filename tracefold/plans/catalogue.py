@@ -262,7 +262,7 @@ def dead_end_slots(spark, sf_dir):
 def rule_pick(spark, sf_dir):
     said = docs(spark, sf_dir, "conversations")
     kind = F.when(F.col("turn") % 3 == 0, "requirement").when(F.col("turn") % 3 == 1, "labelled").otherwise("prohibition")
-    rules = said.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.lit(1).alias("epoch"), F.col("turn").alias("ordinal"), F.substring("text", 1, 40).alias("text"), kind.alias("kind"))
+    rules = said.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.lit(1).alias("epoch"), F.col("turn").alias("ordinal"), "text", kind.alias("kind"))
     return ranking.picked_rules(rules).select("session_id", "ordinal", "rank")
 
 
