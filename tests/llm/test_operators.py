@@ -342,6 +342,17 @@ def test_secrets(spark):
     assert secrets.scan(docs.where("false")).count() == 0
 
 
+def test_secrets_hex_of_either_case_and_short(spark):
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    keys = [digits(n).upper() for n in (32, 40, 64)] * 4 + ["-".join(digits(n) for n in (8, 4, 4, 4, 12)) for _ in range(12)] + [digits(n) for n in range(24, 32)] * 3
+    plain = ["donaudampfschifffahrtsgesellschaftskapitaen", "getHttpResponseCodeForUserName", "/usr/share/documents/letters-of-2024", "20240131235959000000000", "internationalization-and-localization"] * 20
+    rows = [(i, f"see {x} here") for i, x in enumerate(keys + plain)]
+    got = {r.doc_id: [s.value for s in r.spans if s.kind == 3] for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = sum(got[i] == [x] for i, x in enumerate(keys))
+    assert found >= 0.95 * len(keys) and not any(got[i] for i in range(len(keys), len(rows)))
+
+
 def test_secret_digest(spark, tmp_path):
     spark.createDataFrame([(1, "token=abcdefgh")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     (row,) = secrets.op7_secret_scan(spark, str(tmp_path)).collect()

@@ -4,17 +4,21 @@ Everything is a Spark column expression on the text of one row, so a scan has no
 histogram of a few hundred rows; nothing is collected but those counts.
 
 The battery. A candidate is a maximal run of 20 or more of ``[A-Za-z0-9+/_=-]`` outside the base spans. Its alphabet is
-inferred (hex, base32, lower-case letters with digits, letters, base64). Then:
+inferred (hex of either case, with hyphens or without, base32, lower-case letters with digits, letters, base64). Then:
 
+* likelihood ratio of the token as ordinary text and as random symbols of its alphabet. Text: letters at their mean
+  rates in English, German, French and Spanish, digits at 0.1 each, signs at 1/3 each, and a change between
+  upper case, lower case, digits and signs after a symbol with probability 0.25. Whatever text of that law holds, the
+  ratio is a p-value (Markov's inequality), at every length;
 * chi-squared statistic of its symbols against the uniform alphabet. Its law for ordinary text of the same length is
   a non-central chi-squared one with ``L * (k * coincidence - 1)`` as non-centrality; the lower tail gives a p-value
-  of "this is text", which falls as the token gets longer;
+  of "this is text", which falls as the token gets longer. The smaller of the two p-values, doubled, counts;
 * Wald-Wolfowitz runs test above and below the middle of the alphabet, and lag-1 serial correlation. A token that
   either rejects at 0.001 is not random, and its p-value counts as 1.
 
 The Benjamini-Hochberg rule at ``fdr`` is then applied within each class of lengths, over the candidates of all rows:
-long tokens do not pay for the many short words. P-values are binned by their normal score (steps of 0.05), so the
-rule needs counts only.
+long tokens do not pay for the many short words. P-values are binned by their decimal logarithm (steps of 0.05), so
+the rule needs counts only.
 
 Defined results: a null text is an empty text; no match gives an empty array; repeated rows each get their own result;
 an empty table gives an empty table; other columns are not touched.
@@ -32,6 +36,7 @@ from .common import table
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
+HEXED = r"^(?:[0-9a-f]+(?:-[0-9a-f]+)*|[0-9A-F]+(?:-[0-9A-F]+)*)$"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
@@ -44,7 +49,10 @@ ALPHABETS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 64, 0.058),
 )
 LENGTHS = (20, 28, 40, 64, 128, 512)
-STEP, LOW, HIGH = 0.05, -40.0, 10.0
+STEP, LOW = 0.05, -400.0
+#: Letters a to z in ordinary text, per mille: means of English, German, French and Spanish, accents apart.
+LETTERS = (85, 16, 32, 45, 140, 14, 19, 30, 68, 4, 6, 45, 28, 76, 61, 19, 6, 66, 74, 68, 40, 12, 11, 2, 8, 5)
+CHANGE = 0.25
 
 
 def spans_of(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
@@ -70,17 +78,29 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(spans_of(text, ASSIGN, 0, 1, 8), spans_of(text, ACCESS, 1), spans_of(text, HEX, 2)))
 
 
-def lower_tail(z: Column) -> Column:
-    """Normal distribution function, with the usual expansion in the far tail."""
-    far = F.exp(-z * z / 2) / (F.abs(z) * math.sqrt(2 * math.pi)) * (1 - 1 / (z * z))
-    near = 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
+def log_tail(z: Column) -> Column:
+    """Decimal logarithm of the normal distribution function, with the usual expansion in the far tail."""
+    far = (-z * z / 2 - F.log(F.abs(z) * math.sqrt(2 * math.pi)) + F.log1p(-1 / (z * z))) / math.log(10)
+    near = -F.log10(1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
     return F.when(z < -3, far).otherwise(near)
 
 
+def log_text(body: Column, chars: Column) -> Column:
+    """Decimal logarithm of the probability of body as ordinary text; see the module."""
+    rates = [math.log10(x / sum(LETTERS)) for x in LETTERS] + [-1.0] * 10 + [math.log10(1 / 3)] * 3
+    rate = F.array(*[F.lit(x) for x in rates])
+    symbols = F.lit("abcdefghijklmnopqrstuvwxyz0123456789+/=")
+    by_symbol = F.aggregate(chars, F.lit(0.0), lambda acc, c: acc + F.coalesce(F.get(rate, F.instr(symbols, F.lower(c)) - 1), F.lit(0.0)))
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "[0-9]", "#"), "[A-Z]", "A"), "[a-z]", "b"), "[+/=]", "-")
+    stretches = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1"))
+    changes = (stretches - 1).cast("double")
+    return by_symbol + changes * math.log10(CHANGE / 3) + (F.length(body) - stretches) * math.log10(1 - CHANGE) - math.log10(4)
+
+
 def text_score(token: Column) -> Column:
-    """Normal score of "this token is ordinary text": very negative for random symbols; null where not random at all."""
+    """Decimal logarithm of the p-value of "this token is ordinary text"; null where not random at all."""
     encoding = (
-        F.when(token.rlike(r"^[0-9a-f]+$"), 0)
+        F.when(token.rlike(HEXED), 0)
         .when(token.rlike(r"^[A-Z2-7]+=*$"), 1)
         .when(token.rlike(r"^[a-z]+$"), 2)
         .when(token.rlike(r"^[0-9a-z]+$"), 3)
@@ -88,6 +108,7 @@ def text_score(token: Column) -> Column:
     )
     pick = lambda i: F.element_at(F.array(*[F.lit(a[i]) for a in ALPHABETS]), encoding + 1)
     body = F.translate(F.rtrim(F.regexp_replace(token, "=+$", "")), "-_", "+/")
+    body = F.when(encoding == 0, F.lower(F.replace(body, F.lit("+"), F.lit("")))).otherwise(body)
     k, rate, symbols = pick(2).cast("double"), pick(3), pick(1)
     size = F.length(body).cast("double")
     chars = F.split(body, "")
@@ -107,7 +128,8 @@ def text_score(token: Column) -> Column:
     power = F.aggregate(value, F.lit(0.0), lambda acc, v: acc + (v - total) * (v - total))
     lagged = F.aggregate(F.zip_with(value, F.slice(value, 2, F.greatest(F.size(value) - 1, F.lit(1))), lambda a, b: (a - total) * (b - total)), F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
     by_lag = F.when(power > 0, F.abs(lagged / power) * F.sqrt(size)).otherwise(F.lit(99.0))
-    return F.when((size >= LENGTHS[0]) & (by_runs < 3.29) & (by_lag < 3.29), z)
+    ratio = log_text(body, chars) + size * F.log10(k)
+    return F.when((size >= LENGTHS[0]) & (by_runs < 3.29) & (by_lag < 3.29), F.least(ratio, log_tail(z)) + math.log10(2))
 
 
 def length_class(size: Column) -> Column:
@@ -121,7 +143,7 @@ def candidates(text: Column, base: Column) -> Column:
         free,
         lambda s: F.struct(
             s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["value"].alias("value"),
-            F.floor((F.least(F.greatest(F.coalesce(text_score(s["value"]), F.lit(HIGH)), F.lit(LOW)), F.lit(HIGH)) - LOW) / STEP).cast("int").alias("bin"),
+            F.floor((F.least(F.greatest(F.coalesce(text_score(s["value"]), F.lit(0.0)), F.lit(LOW)), F.lit(0.0)) - LOW) / STEP).cast("int").alias("bin"),
             length_class(s["stop"] - s["start"]).alias("cls"),
         ),
     )
@@ -139,9 +161,7 @@ def thresholds(df: DataFrame, text_col: str, fdr: float) -> dict[int, int]:
         total, seen = sum(bins.values()), 0
         for b in sorted(bins):
             seen += bins[b]
-            z = LOW + (b + 1) * STEP
-            p = 0.5 * math.erfc(-z / math.sqrt(2))
-            if b < (HIGH - LOW) / STEP and p <= fdr * seen / total:
+            if 10 ** (LOW + (b + 1) * STEP) <= fdr * seen / total:
                 best[cls] = b
     return best
 
