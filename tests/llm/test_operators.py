@@ -95,6 +95,40 @@ def test_jaccard_empty_null_ids_and_repeats(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "7", "None"]
 
 
+def brute_kept(rows, n=5, num=80, den=100):
+    comp = {i: c for i, _, c, _ in brute_join(rows, n, num, den)}
+    return {i for i, t in rows if comp[i] == i}
+
+
+@pytest.mark.parametrize("cell", [4, 16])
+def test_keep_first_where_leaders_have_many_blocks(spark, monkeypatch, cell):
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
+    monkeypatch.setattr(jaccard_join, "LIST", 8)
+    monkeypatch.setattr(jaccard_join, "HELD", 20)
+    rng = random.Random(cell)
+    rows = []
+    for c in range(3):
+        shared = words(rng, 40)
+        for g in range(4):  # far variants that share a passage, each with near copies
+            base = shared + words(rng, 30 + 10 * g)
+            for _ in range(12):
+                w = list(base)
+                for _ in range(rng.randrange(4)):
+                    w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+                rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    kept = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id for r in kept.collect()} == brute_kept(rows)
+
+
+def test_keep_first_repeated_ids(spark):
+    long = "one two three four five six seven"
+    rows = [(3, long, 1), (7, long, 2), (7, "q r s t u v", 3), (7, "q r s t u v", 3), (7, "Q R S T U V", 4), (8, None, 5), (8, None, 5), (None, long, 6), (9, "z y x w v u", 7)]
+    kept = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string, key int"))
+    assert kept.columns == ["doc_id", "text", "key"]
+    assert Counter((r.doc_id, r.key) for r in kept.collect()) == Counter([(3, 1), (7, 4), (8, 5), (8, 5), (None, 6), (9, 7)])
+
+
 # --- 2
 
 
@@ -412,6 +446,63 @@ def test_decontaminate(spark):
     assert decontaminate.leaks(frame, bench.where("false")).count() == 0
 
 
+def brute_leaks(rows, items):
+    """Every chunk of every item against every stretch of words that a passage and its surroundings can be, by the checks alone."""
+    terms = sorted({w for _, t in items for w in decontaminate.words_of(t)})
+    known = {w: k for k, w in enumerate(terms)}
+    texts = [(i, [known.get(w, -1) for w in decontaminate.words_of(t)]) for i, t in rows if i is not None]
+    df = Counter(c for _, t in texts for c in set(t))
+    idf = np.array([math.log((len(rows) + 1) / (df[k] + 1)) + 0.05 for k in range(len(terms))])
+    out = set()
+    for item, words, answer in (x for block in decontaminate.blocks_of([(k, t or "") for k, t in items]) for x in block):
+        chunk = decontaminate.Chunk(item, [known[w] for w in words], [known[w] for w in answer], idf)
+        for i, t in texts:
+            if any(chunk.check(t[max(0, at - 64) : at + 96]) for at in range(0, max(1, len(t) - 16), 16)):
+                out.add((i, item))
+    return out
+
+
+def test_decontaminate_paraphrases(spark):
+    """Synonyms that the corpus uses alike, clauses that change places, words put in: recall and precision against the checks on all passages."""
+    rng = random.Random(12)
+    synonyms = {f"s{k}": f"z{k}" for k in range(400)}
+    say = lambda n: [rng.choice(["the", "of", "and", f"s{rng.randrange(400)}", f"c{rng.randrange(2000)}"]) for _ in range(n)]
+    items = [(k, " ".join(say(rng.randrange(30, 60))) + ".") for k in range(60)]
+    rows, planted = [], set()
+    for i in range(400):
+        w = [synonyms.get(x, x) if rng.random() < 0.5 else x for x in say(rng.randrange(60, 300))]
+        if i % 3 == 0:
+            item = rng.randrange(60)
+            x = items[item][1].rstrip(".").split()
+            kind = i // 3 % 3
+            if kind == 0:
+                x = [synonyms.get(y, y) for y in x]
+            elif kind == 1:
+                x = x[len(x) // 2 :] + x[: len(x) // 2]
+            else:
+                x = [z for y in x for z in ([y, "indeed"] if rng.random() < 0.2 else [y])]
+            at = rng.randrange(len(w))
+            w[at:at] = x
+            planted.add((i, item))
+        rows.append((i, " ".join(w)))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    brute = brute_leaks(rows, items)
+    assert got <= brute and len(got & brute) >= 0.95 * len(brute)
+    assert len(got & planted) >= 0.9 * len(planted) and len(got - planted) <= 0.02 * len(planted)
+
+
+def test_decontaminate_blocks_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "TERMS", 80)
+    monkeypatch.setattr(decontaminate, "BATCH", 500)
+    rng = random.Random(13)
+    say = lambda n, v: [f"{v}{rng.randrange(3000)}" for _ in range(n)]
+    items = [(k, " ".join(say(rng.randrange(20, 150), "b"))) for k in range(10)]
+    rows = [(i, " ".join(say(40, "n") + items[i % 10][1].split()[:64] + say(30, "n"))) for i in range(20)] + [(100, " ".join(say(60_000, "n")) + " " + items[3][1])]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = brute_leaks(rows, items)
+    assert {(r.doc_id, r.item_id) for r in found} == want and (100, 3) in want and len(found) == len(want)
+
+
 def test_subsequence():
     rng = random.Random(1)
     for _ in range(50):
