@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracefold.llm import decontaminate, html_text, jaccard_join, katz, language, mixing, neighbours, quality, secrets, url_filter
 from tracefold.llm.graph import components
@@ -175,7 +176,7 @@ def test_language(spark):
     assert list(prototypes) == ["aa", "bb", "cc"]
     ask = [(i, text(k), k, 0.5) for i, k in enumerate(list(syllables) * 5)] + [(100, None, "", 0.0), (101, "123 !?", "", 0.0), (102, "", "", 0.0)]
     got = {r.doc_id: r for r in language.predict(spark.createDataFrame(ask, "doc_id bigint, text string, want string, score double"), prototypes).collect()}
-    assert all(got[i].lang_pred == k for i, _, k, _ in ask[:15])
+    assert all(got[i].lang_pred == k and got[i].in_score == 0.5 for i, _, k, _ in ask[:15])
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (100, 101, 102))
     nothing = language.fit(train.where("false"), train["text"], train["lang"])
     assert nothing == {}
@@ -332,8 +333,11 @@ def test_packed_round_trip():
 
 def test_mixing(spark):
     rows = [(i, "big" if i % 3 else "small", "w " * 20, i) for i in range(900)] + [(9001, None, "q " * 200, 0), (9002, "void", None, 0), (9003, "void", "", 0)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, epoch_ int")
-    got = mixing.mix(docs, repeat=2.0).collect()
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, epoch int")
+    mixed = mixing.mix(docs, repeat=2.0)
+    assert mixed.columns == ["doc_id", "source", "text", "in_epoch", "epoch", "mix_key"]
+    got = mixed.collect()
+    assert all(r.in_epoch == r.doc_id for r in got if r.doc_id < 900)
     times = Counter(r.source for r in got)
     assert times["big"] == 600 and 330 <= times["small"] <= 340 and times["void"] == 2 and times[None] in (1, 2)
     assert {r.doc_id for r in got} == {r[0] for r in rows} and all(0 <= r.mix_key < 1 for r in got)
@@ -365,11 +369,14 @@ def test_secrets(spark):
         f"see {random_token} here", "donaudampfschifffahrtsgesellschaftskapitaen", "a" * 300, "secret=abcdefgh" * 3000, "PASSWD\"='x9.-_=+/zz'",
     ]
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, spans string")
-    got = {r.doc_id: r for r in secrets.scan(docs.drop("spans")).collect()}
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert all(r.in_spans == "s" for r in got.values())
     for i, t in enumerate(texts):
         assert [(s.start, s.kind, s.stop) for s in got[i].base_spans] == plain_spans(t), t
     random_ones = {i for i, r in got.items() for s in r.spans if s.kind == 3}
     assert random_ones == {8}
+    cleaned = secrets.redact(docs.withColumn("base_spans", F.lit(1)))
+    assert cleaned.columns == [*docs.columns, "base_spans"] and {(r.spans, r.base_spans) for r in cleaned.collect()} == {("s", 1)}
     clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert clean[0] is None and clean[1] == "" and clean[8] == "see [SECRET] here" and clean[2] == texts[2]
     assert clean[6] == "é😀 [SECRET]!" and "hunter2" not in clean[3]
@@ -528,7 +535,9 @@ def test_quality(spark):
     model = quality.fit(docs, labels, vectors)
     got = {r.doc_id: r for r in quality.score(docs, vectors, model).collect()}
     assert sum(got[i].predicted == i % 2 for i in range(200, 300)) >= 98
-    assert all(0 <= r.score <= 1 for r in got.values()) and got[1000].score == got[1001].score
+    assert all(0 <= r.score <= 1 and r.in_score == 0.5 for r in got.values()) and got[1000].score == got[1001].score
+    twice = quality.fit(docs.unionAll(docs).unionAll(docs.where("doc_id = 3")), labels, vectors)
+    assert np.allclose(twice.p[2], model.p[2])
     flat = quality.fit(docs, labels.where("quality = 1"), vectors)
     assert quality.score(docs, vectors, flat).first().score == 1.0
     empty = docs.where("false")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Makes sure that checkpoint() has a folder: the cluster's, from spark.checkpoint.dir, else (tests) one of this machine."""
+    """Makes sure that checkpoint() has a folder: the one that spark.checkpoint.dir names. Without it, a local master (tests) gets one of this machine; a cluster is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return spark
 
@@ -32,6 +35,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, *added: str) -> DataFrame:
+    """df whose columns with the name of an added one are called in_<name>, so that both come out."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for c in df.columns:
+        name = c
+        if c.lower() in added:
+            while name.lower() in taken or name.lower() in added:
+                name = f"in_{name}"
+            taken.add(name.lower())
+        names.append(name)
+    return df.toDF(*names)
+
+
 def listed(values) -> pd.Series:
     """A column of Python values; also right where there are none."""
     return pd.Series(list(values), dtype=object)

@@ -9,7 +9,8 @@ Training sums are exact integers per (language, dimension), added up by Spark: t
 or the number of tasks, and what reaches the driver is languages x dimensions.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if there is nothing to learn
-from; equal cosines go to the smaller language name; rows with a null language teach nothing; repeated rows count each.
+from; equal cosines go to the smaller language name; rows with a null language teach nothing; repeated rows count each; an
+empty table gives an empty table; input columns named ``lang_pred`` or ``score`` come out as ``in_lang_pred`` and ``in_score``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, listed, table
+from .common import crc_mod, listed, set_aside, table
 
 DIM = 1024
 UNIT = 10_000
@@ -158,7 +159,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             yield pd.DataFrame({"lang_pred": listed(best), "score": score})
 
     told = F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()
-    return docs.withColumn("__told", told(F.col(text_col))).withColumns({"lang_pred": F.col("__told.lang_pred"), "score": F.col("__told.score")}).drop("__told")
+    return set_aside(docs.withColumn("__told", told(F.col(text_col))), "lang_pred", "score").withColumns({"lang_pred": F.col("__told.lang_pred"), "score": F.col("__told.score")}).drop("__told")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ Only DataFrame expressions: a hot source is dealt over its blocks, and what is j
 block.
 
 Defined results: a null source is a source of its own; null and empty texts have 0 tokens and come with their block; sources without
-a token come once; with one source q is 1; repeated rows repeat; an empty table gives an empty table.
+a token come once; with one source q is 1; repeated rows repeat; an empty table gives an empty table; input columns named ``epoch`` or
+``mix_key`` come out as ``in_epoch`` and ``in_mix_key``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, set_aside, table
 
 BLOCKS, CUTS, ROUNDS = 512, 16, 5
 #: Rows of the table of blocks that may be sent to every executor (some 80 bytes each); more are joined by shuffle.
@@ -101,6 +102,7 @@ def mix(docs: DataFrame, entropy: float | None = None, repeat: float | None = No
     """The rows of docs as often as the mixture takes them, with epoch and mix_key; one of entropy and repeat is given."""
     if (entropy is None) == (repeat is None):
         raise ValueError("give either entropy or repeat")
+    docs = set_aside(docs, "epoch", "mix_key")
     inner = docs.withColumns({
         "__src": F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")),
         "__u": uniform(F.col(id_col), F.lit(1)),

@@ -12,7 +12,9 @@ smallest hash of doc_id; the one bound here, a parameter), with a fifth of them
 divides the logit.
 
 Defined results: a null or empty text has zero features and gets the score that the network gives these; without labelled
-rows of both classes every score is the share of label 1 (0.5 if there is none); several labels of a document all count.
+rows of both classes every score is the share of label 1 (0.5 if there is none); several labels of a document all count; of
+rows that share an id one teaches (that of the smallest features); an empty table gives an empty table; input columns named
+``score`` or ``predicted`` come out as ``in_score`` and ``in_predicted``.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, listed, table
+from .common import crc_mod, listed, set_aside, table
 
 BUCKETS, DIM, NONZERO = 1 << 14, 32, 4
 SAMPLE = 20_000
 WORD = re.compile(r"\w+|[^\w\s]+")
-CACHE = 150_000
+CACHE, PIECE = 150_000, 1 << 16
 
 
 class Hashed(dict):
@@ -101,11 +103,17 @@ def pooled(texts, vectors: np.ndarray, seen: Hashed) -> np.ndarray:
     for i, text in enumerate(texts):
         at = tokens(text, seen)
         if len(at):
-            v = vectors[at]
-            out[i, :DIM] = v.mean(axis=0)
-            out[i, DIM : 2 * DIM] = v.std(axis=0)
-            if len(at) > 1:
-                out[i, 2 * DIM :] = np.abs(v[1:] - v[:-1]).mean(axis=0)
+            one, two, change = np.zeros(DIM), np.zeros(DIM), np.zeros(DIM)
+            for lo in range(0, len(at), PIECE):  # a piece of a long text at a time
+                v = vectors[at[lo : lo + PIECE + 1]]
+                change += np.abs(v[1:] - v[:-1]).sum(axis=0)
+                v = v[:PIECE]
+                one += v.sum(axis=0)
+                two += (v * v).sum(axis=0)
+            mean = one / len(at)
+            out[i, :DIM] = mean
+            out[i, DIM : 2 * DIM] = np.sqrt(np.maximum(two / len(at) - mean * mean, 0))
+            out[i, 2 * DIM :] = change / max(len(at) - 1, 1)
     return out
 
 
@@ -166,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = S
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "x": listed(pooled(frame["t"].tolist(), vectors, seen))})
 
-    got = rows.mapInPandas(run, "doc_id bigint, y double, x array<float>").toPandas()  # sample rows at most (more only where doc_id repeats)
+    one = rows.mapInPandas(run, "doc_id bigint, y double, x array<float>").groupBy("doc_id", "y").agg(F.min("x").alias("x"))
+    got = one.toPandas()  # sample rows at most
     got = got.sort_values(["doc_id", "y"], kind="stable")
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), 3 * DIM)
     return Network(x, got["y"].to_numpy(np.float64))
@@ -183,7 +192,8 @@ def score(docs: DataFrame, vectors: np.ndarray, model: Network, text_col: str =
 
     # not deterministic by declaration only: else a filter on the score would be pushed below and the text scored twice
     rated = F.pandas_udf(run, "double").asNondeterministic()
-    return docs.withColumn("score", rated(F.col(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    wide = set_aside(docs.withColumn("__score", rated(F.col(text_col))), "score", "predicted")
+    return wide.withColumnRenamed("__score", "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ long tokens do not pay for the many short words. P-values are binned by their de
 the rule needs counts only.
 
 Defined results: a null text is an empty text; no match gives an empty array; repeated rows each get their own result;
-an empty table gives an empty table; other columns are not touched.
+an empty table gives an empty table; other columns are not touched, but that scan calls input columns named ``spans`` or
+``base_spans`` ``in_spans`` and ``in_base_spans``.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import set_aside, table
 
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -166,11 +167,11 @@ def thresholds(df: DataFrame, text_col: str, fdr: float) -> dict[int, int]:
     return best
 
 
-def scan(df: DataFrame, text_col: str = "text", fdr: float = 0.01) -> DataFrame:
-    """Adds base_spans and spans (base and random ones) to the rows of df; see the module for the method."""
+def marked(df: DataFrame, text_col: str, fdr: float) -> DataFrame:
+    """df with __base and __spans."""
     best = thresholds(df, text_col, fdr)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.withColumn("base_spans", base_spans(text))
+    base = df.withColumn("__base", base_spans(text))
 
     def accepted(c: Column) -> Column:
         rule = F.lit(False)
@@ -178,10 +179,16 @@ def scan(df: DataFrame, text_col: str = "text", fdr: float = 0.01) -> DataFrame:
             rule = rule | ((c["cls"] == cls) & (c["bin"] <= b))
         return rule
 
-    found = F.filter(candidates(text, F.col("base_spans")), accepted)
+    found = F.filter(candidates(text, F.col("__base")), accepted)
     slim = F.transform(found, lambda c: F.struct(c["start"], c["kind"], c["stop"], c["value"])).cast(SPAN)
     added = F.when(text.rlike(CANDIDATE), slim).otherwise(F.array().cast(SPAN)) if best else F.array().cast(SPAN)
-    return base.withColumn("spans", F.array_sort(F.concat(F.col("base_spans"), added)))
+    return base.withColumn("__spans", F.array_sort(F.concat(F.col("__base"), added)))
+
+
+def scan(df: DataFrame, text_col: str = "text", fdr: float = 0.01) -> DataFrame:
+    """Adds base_spans and spans (base and random ones) to the rows of df; see the module for the method."""
+    found = marked(df.withColumn("__text", F.col(text_col)), "__text", fdr)
+    return set_aside(found.drop("__text"), "base_spans", "spans").withColumnsRenamed({"__base": "base_spans", "__spans": "spans"})
 
 
 def as_string(spans: Column) -> Column:
@@ -191,7 +198,7 @@ def as_string(spans: Column) -> Column:
 
 def redact(df: DataFrame, text_col: str = "text", fdr: float = 0.01) -> DataFrame:
     """df with each span's characters, merged where spans overlap, replaced by ``[SECRET]``; same columns, same rows."""
-    found = scan(df.withColumnRenamed(text_col, "__text"), "__text", fdr)
+    found = marked(df.withColumnRenamed(text_col, "__text"), "__text", fdr)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -200,8 +207,8 @@ def redact(df: DataFrame, text_col: str = "text", fdr: float = 0.01) -> DataFram
         inside = F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))
         return F.when((s["start"] < acc["at"]), inside).otherwise(fresh)
 
-    clean = F.aggregate(F.col("spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, F.length(F.col("__text")))))
-    text = F.when(F.size("spans") > 0, clean).otherwise(F.col("__text"))
+    clean = F.aggregate(F.col("__spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, F.length(F.col("__text")))))
+    text = F.when(F.size("__spans") > 0, clean).otherwise(F.col("__text"))
     return found.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns])
 
 
