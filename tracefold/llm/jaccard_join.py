@@ -3,9 +3,10 @@
 A document's set: the distinct n-word shingles of its whole text (words are what lies between ASCII white space, A-Z lower-
 cased), as 64-bit hashes. Two sets link when ``den * intersection >= num * union``.
 
-1. Order. Shingles are ordered by how many documents hold them, rare first, ties and uncounted ones by hash. Counts are
-   taken over all documents for the part of the hash space (``COUNTED``) that prefixes come from. The ``HEAVIEST`` most
-   frequent enter the order; that bounds what is broadcast and touches speed only: any order gives the same links.
+1. Order. Shingles are ordered by how many documents hold them, rare first, ties by hash. Counts are taken over all shingles
+   of all documents: whole ones for the part of the hash space (``COUNTED``) that most of a prefix comes from, elsewhere a chunk of
+   ``CHUNK_SHINGLES`` sends what it holds more than once. The ``HEAVIEST`` most frequent enter the order; that bounds what is broadcast. All
+   this touches speed only: any order gives the same links.
 2. Index. Every distinct set posts the shingles of its prefix (those that a partner must share one of) with its size and
    position; equal sets post once per task and count as one. Lists are read in blocks of equal size and position: a
    block whose length or remaining positions rule out the overlap is skipped whole.
@@ -13,7 +14,8 @@ cased), as 64-bit hashes. Two sets link when ``den * intersection >= num * union
    Sets under one leader are compared in cells of bounded size through their differences from the leader: the overlap of y and
    z follows from what each changes of the leader's set, so answers of highly similar sets are derived and not computed anew.
    A pair under several leaders counts under the smallest. Cells return a row per set, never pairs.
-4. Classes. Connected components over the cells' stars.
+4. Classes. Connected components over the cells' stars. Where classes alone are asked for (``keep_first``), blocks of one
+   leader meet through the leader's set, and only sets that this leaves outside its class meet the other blocks.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; with fewer words than n the whole
 sequence is the one shingle; rows with a null id are returned unlinked, with a null component; equal texts are each
@@ -33,11 +35,11 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 from .graph import components
 
-COUNTED = 0.2
-HEAVIEST = 1 << 19
+COUNTED, HEAVIEST, CHUNK_SHINGLES = 0.2, 1 << 19, 1_000_000
 #: Longer lists go to their leader whole, without a test of each pair.
 LIST, HELD = 64, 20_000
-CELL = 512
+#: Sets and shingles in a block of a leader's sets.
+CELL, CELL_SHINGLES = 512, 1 << 20
 #: Documents whose ids may be sent to every executor (some 200 bytes each); more are joined by shuffle.
 BROADCAST_DOCS = 200_000
 U = np.uint64
@@ -71,24 +73,25 @@ def least_overlap(a, b, num: int, den: int):
 
 
 def heavy_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (sorted uint64) among the counted part, and their counts."""
+    """The most frequent shingles (sorted uint64), and their counts."""
     cut = U(int(COUNTED * 2**64))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, size = [], 0
         for frame in frames:
-            parts, size = [], 0
             for text in frame["t"]:
-                s = shingles(text, n)
-                parts.append(s[: np.searchsorted(s, cut)])
+                parts.append(shingles(text, n))
                 size += len(parts[-1])
-                if size > 400_000:
+                if size > CHUNK_SHINGLES:
                     yield counted(parts)
                     parts, size = [], 0
-            if parts:
-                yield counted(parts)
+        if parts:
+            yield counted(parts)
 
     def counted(parts: list[np.ndarray]) -> pd.DataFrame:
         tokens, c = np.unique(np.concatenate(parts), return_counts=True)
+        sent = (tokens < cut) | (c > 1)
+        tokens, c = tokens[sent], c[sent]
         return pd.DataFrame({"token": tokens.view(np.int64), "c": c})
 
     rows = docs.where(F.col("t").isNotNull()).mapInPandas(count, "token bigint, c bigint")
@@ -113,18 +116,15 @@ def prefix(tokens: np.ndarray, heavy: np.ndarray, count: np.ndarray, num: int, d
     """The prefix of a set in the global order, and its share of frequent shingles in thousandths."""
     n = len(tokens)
     p = n - -(-num * n // den) + 1
-    known = tokens[: np.searchsorted(tokens, U(int(COUNTED * 2**64)))]
-    if not len(heavy) or not len(known):
+    if not len(heavy) or not n:
         return tokens[:p], 0
-    at = np.minimum(np.searchsorted(heavy, known), len(heavy) - 1)
-    hit = heavy[at] == known
+    at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
+    hit = heavy[at] == tokens
     share = int(1000 * hit.mean())
-    if not hit.any():
-        return tokens[:p], share
-    light = np.concatenate((known[~hit], tokens[len(known) :]))
+    light = tokens[~hit]
     if len(light) >= p:
         return light[:p], share
-    frequent = known[hit][np.argsort(count[at[hit]], kind="stable")]
+    frequent = tokens[hit][np.argsort(count[at[hit]], kind="stable")]
     return np.concatenate((light, frequent))[:p], share
 
 
@@ -270,8 +270,21 @@ def overlaps(sets: list[np.ndarray], leader: np.ndarray) -> np.ndarray:
     return common_counts(sets)
 
 
-def compare_cell(num: int, den: int):
-    """A function for applyInPandas over (leader, bi, bj): rows (key, root, links) for the sets of the cell."""
+def roots_of(link: np.ndarray) -> np.ndarray:
+    """The smallest index that each index of a symmetric matrix of links reaches."""
+    root = np.full(len(link), -1)
+    for i in range(len(link)):
+        if root[i] >= 0:
+            continue
+        root[i], front = i, np.array([i])
+        while len(front):
+            front = np.flatnonzero(link[front].any(axis=0) & (root < 0))
+            root[front] = i
+    return root
+
+
+def compare_cell(num: int, den: int, counts: bool = True):
+    """A function for applyInPandas over (leader, bi, bj): rows (key, root, links) for the sets of the cell; links are 0 without counts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("key").sort_values(["share", "key"], ascending=[False, True])
@@ -283,103 +296,187 @@ def compare_cell(num: int, den: int):
         link = den * both.astype(np.int64) >= num * (n[:, None] + n[None, :] - both)
         if bi != bj:
             link &= block[:, None] != block[None, :]
-        a, b = np.nonzero(np.triu(link, 1))
-        parent = list(range(len(sets)))
+        links = np.zeros(len(sets), np.int64)
+        if counts:
+            mine = np.ones(link.shape, bool)  # whether a pair counts under this leader
+            many = [i for i, x in enumerate(rows["leaders"]) if len(x) > 1]
+            sorted_leaders = [frozenset(rows["leaders"].iloc[i].tolist()) for i in many]
+            for x, i in enumerate(many):
+                for y, j in enumerate(many[:x]):
+                    if link[i, j]:
+                        mine[i, j] = mine[j, i] = min(sorted_leaders[x] & sorted_leaders[y]) == leader
+            link_others = link & mine
+            link_others[np.diag_indices(len(n))] = False
+            links = link_others.astype(np.int64) @ times
+        return pd.DataFrame({"key": key, "root": key[roots_of(link)], "links": links})
 
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
+    return run
 
-        leaders = [frozenset(x.tolist()) for x in rows["leaders"]]
-        links = np.zeros(len(sets), np.int64)
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            if (x := find(i)) != (y := find(j)):
-                parent[max(x, y)] = min(x, y)
-            one, other = leaders[i], leaders[j]
-            if len(one) == 1 or len(other) == 1 or min(one & other) == leader:
-                links[i] += times[j]
-                links[j] += times[i]
-        root = key[[find(i) for i in range(len(sets))]]
-        return pd.DataFrame({"key": key, "root": root, "links": links})
+
+def compare_strays(num: int, den: int):
+    """A function for applyInPandas over (leader, bi, bj): rows (key, root) for the links that strays (block 0) have."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["block", "key"]).drop_duplicates("key")
+        sets, key = [np.frombuffer(b, U) for b in rows["tokens"]], rows["key"].to_numpy()
+        both, n = overlaps(sets, sets[0]).astype(np.int64), np.array([len(s) for s in sets], np.int64)
+        link = den * both >= num * (n[:, None] + n[None, :] - both)
+        stray = rows["block"].to_numpy() == 0
+        return pd.DataFrame({"key": key, "root": key[roots_of(link & (stray[:, None] | stray[None, :]))]})
 
     return run
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links), a row per row of docs; see the module."""
-    text = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    heavy, count = heavy_shingles(text, n)
-    sorted_lists = postings(text, n, num, den, heavy, count).repartition("token").sortWithinPartitions("token", F.desc("pack"), "key")
-    read = materialise(sorted_lists.mapInPandas(read_lists(num, den), "kind int, a bigint, b bigint, n bigint"))
-    of_doc = read.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), "n")
-    keys = of_doc.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("times"))
-    under = read.where("kind = 1").select(F.col("a").alias("leader"), F.col("b").alias("key")).distinct()
-    sizes = under.groupBy("leader").agg(F.count("*").alias("g")).where("g > 1")
-    member = under.join(sizes, "leader").groupBy("key").agg(F.collect_list(F.struct("leader", F.ceil(F.col("g") / CELL).cast("int").alias("blocks"))).alias("under"))
-    ask = materialise(member.join(keys, "key").select("key", "rep", "times", "under"))
-    small = ask.count() <= BROADCAST_DOCS
-    fetch = text.join(F.broadcast(ask) if small else ask, text["i"] == ask["rep"]).select("key", "times", "under", "t")
-
-    def ship(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out: list[tuple] = []
-            for key, times, places, t in zip(frame["key"].tolist(), frame["times"].tolist(), frame["under"], frame["t"], strict=True):
-                s = shingles(t, n)
-                if set_key(s) != key:  # another row of a repeated id
-                    continue
-                share = prefix(s, heavy, count, num, den)[1]
-                leaders, tokens = [p["leader"] for p in places], s.tobytes()
-                for p in places:
-                    mine = key % p["blocks"]
-                    for j in range(p["blocks"]):
-                        out.append((p["leader"], min(mine, j), max(mine, j), mine, key, times, share, leaders, tokens))
-                if len(out) > 500:
+class Lists:
+    """The index read once: documents with their sets, sets with their smallest document, and the leaders that sets are under."""
+
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> None:
+        self.text = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+        self.n, self.num, self.den = n, num, den
+        self.heavy, self.count = heavy_shingles(self.text, n)
+        lists = postings(self.text, n, num, den, self.heavy, self.count).repartition("token").sortWithinPartitions("token", F.desc("pack"), "key")
+        read = materialise(lists.mapInPandas(read_lists(num, den), "kind int, a bigint, b bigint, n bigint"))
+        self.of_doc = read.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), "n")
+        self.keys = self.of_doc.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("times"), F.max("n").alias("n"))
+        under = read.where("kind = 1").select(F.col("a").alias("leader"), F.col("b").alias("key")).distinct().join(self.keys.select("key", "n"), "key")
+        sizes = under.groupBy("leader").agg(F.count("*").alias("g"), F.sum("n").alias("s")).where("g > 1")
+        blocks = F.ceil(F.greatest(F.col("g") / CELL, F.col("s") / CELL_SHINGLES)).cast("int")
+        self.under = materialise(under.join(sizes, "leader").select("key", "leader", blocks.alias("blocks")))
+
+    def shipped(self, member: DataFrame, places) -> DataFrame:
+        """Whole sets of the cells they are compared in. member: key, under; places: a set's rows (leader, bi, bj, block) for an entry of under."""
+        n, heavy, count, num, den = self.n, self.heavy, self.count, self.num, self.den
+        columns = ["leader", "bi", "bj", "block", "key", "times", "share", "leaders", "tokens"]
+        ask = materialise(member.join(self.keys, "key").select("key", "rep", "times", "under"))
+        small = ask.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
+        fetch = self.text.join(F.broadcast(ask) if small else ask, self.text["i"] == ask["rep"]).select("key", "times", "under", "t")
+
+        def ship(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out: list[tuple] = []
+                size = 0
+                for key, times, under, t in zip(frame["key"].tolist(), frame["times"].tolist(), frame["under"], frame["t"], strict=True):
+                    s = shingles(t, n)
+                    if set_key(s) != key:  # another row of a repeated id
+                        continue
+                    share = prefix(s, heavy, count, num, den)[1]
+                    leaders, tokens = [p["leader"] for p in under], s.tobytes()
+                    for p in under:
+                        for leader, bi, bj, block in places(key, p):
+                            out.append((leader, bi, bj, block, key, times, share, leaders, tokens))
+                            size += len(tokens) + 200
+                            if size > 8_000_000:
+                                yield pd.DataFrame(out, columns=columns)
+                                out, size = [], 0
+                if out:
                     yield pd.DataFrame(out, columns=columns)
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=columns)
 
-    columns = ["leader", "bi", "bj", "block", "key", "times", "share", "leaders", "tokens"]
-    shipped = fetch.mapInPandas(ship, "leader bigint, bi int, bj int, block int, key bigint, times bigint, share int, leaders array<bigint>, tokens binary")
+        return fetch.mapInPandas(ship, "leader bigint, bi int, bj int, block int, key bigint, times bigint, share int, leaders array<bigint>, tokens binary")
+
+    def classes(self, found: DataFrame) -> DataFrame:
+        """(key, rep, times, component_id): found (node, root) turned into the smallest document of each class; sets without a link are their own."""
+        known = self.keys.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        return known.join(known.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "rep", "times", "component_id")
+
+
+def gathered(member: DataFrame, *fields: str) -> DataFrame:
+    return member.groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("under"))
+
+
+def all_cells(key: int, p) -> list[tuple[int, int, int, int]]:
+    mine = key % p["blocks"]
+    return [(p["leader"], min(mine, j), max(mine, j), mine) for j in range(p["blocks"])]
+
+
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links), a row per row of docs; see the module."""
+    lists = Lists(docs, n, num, den, id_col, text_col)
+    shipped = lists.shipped(gathered(lists.under, "leader", "blocks"), all_cells)
     cells = materialise(shipped.groupBy("leader", "bi", "bj").applyInPandas(compare_cell(num, den), "key bigint, root bigint, links bigint"))
-    found = components(cells.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    known = lists.classes(components(cells.select(F.col("key").alias("a"), F.col("root").alias("b"))))
     links = cells.groupBy("key").agg(F.sum("links").alias("links"))
-    known = keys.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).join(links, "key", "left")
-    of_root = known.groupBy("root").agg(F.min("rep").alias("component_id"))
     special = materialise(
-        known.join(of_root, "root").where("times > 1 or links > 0").select("key", "component_id", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        known.join(links, "key", "left").where("times > 1 or links > 0").select("key", "component_id", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
-    small = special.count() <= BROADCAST_DOCS
-    out = of_doc.join(F.broadcast(special) if small else special, "key", "left").select(
+    small = special.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
+    out = lists.of_doc.join(F.broadcast(special) if small else special, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
     )
-    lost = text.where("i is null")
 
     def sizes_only(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"n_shingles": [len(shingles(t, n)) for t in frame["t"]]}, dtype="int64")
 
-    unlinked = lost.select("t").mapInPandas(sizes_only, "n_shingles bigint")
+    unlinked = lists.text.where("i is null").select("t").mapInPandas(sizes_only, "n_shingles bigint")
     return out.unionByName(unlinked.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
+def connected(lists: Lists) -> DataFrame:
+    """(node, root) of the classes alone, without the comparison of all blocks of a leader with each other.
+
+    Star. Every block of a leader gets the leader's set besides its own, so a set goes to one cell per leader, and what is shipped
+    grows with the sets. Rest. Whatever is in the leader's class by then needs no comparison with what else is; the others meet every block
+    of their leader, and nothing else is shipped twice. No link that could join two classes goes unseen.
+    """
+    num, den = lists.num, lists.den
+
+    def star(key: int, p) -> list[tuple[int, int, int, int]]:
+        if key == p["leader"]:
+            return [(key, j, j, 0) for j in range(p["blocks"])]
+        mine = key % p["blocks"]
+        return [(p["leader"], mine, mine, 0)]
+
+    def rest(key: int, p) -> list[tuple[int, int, int, int]]:
+        sides = [(p["leader"], r, key % p["blocks"], 1) for r in range(p["strays"])]
+        return sides + ([(p["leader"], key % p["strays"], j, 0) for j in range(p["blocks"])] if p["stray"] else [])
+
+    shape = "key bigint, root bigint, links bigint"
+    first = lists.shipped(gathered(lists.under, "leader", "blocks"), star).groupBy("leader", "bi", "bj").applyInPandas(compare_cell(num, den, counts=False), shape)
+    edges = materialise(first.select(F.col("key").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
+    found = materialise(components(edges))
+    wide = lists.under.where("blocks > 1")
+    if wide.isEmpty():
+        return found
+    root = found.select(F.col("node").alias("key"), "root")
+    wide = wide.join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    home = root.select(F.col("key").alias("leader"), F.col("root").alias("home"))
+    wide = wide.join(home, "leader", "left").withColumn("stray", F.col("root") != F.coalesce("home", "leader"))
+    strays = wide.where("stray").groupBy("leader").agg(F.ceil(F.count("*") / CELL).cast("int").alias("strays"))
+    again = materialise(wide.join(strays, "leader").select("key", "leader", "blocks", "strays", "stray"))
+    if again.isEmpty():
+        return found
+    second = lists.shipped(gathered(again, "leader", "blocks", "strays", "stray"), rest).groupBy("leader", "bi", "bj").applyInPandas(compare_strays(num, den), "key bigint, root bigint")
+    more = second.select(F.col("key").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
+    return components(edges.unionByName(more))
+
+
 def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, that of the smallest id; of rows that share an id with others, one stays. Null ids stay."""
-    found = materialise(join(docs, n, num, den, id_col, text_col).where("doc_id is not null").select(F.col("doc_id").alias("__id"), "component_id"))
-    drop = materialise(found.where("__id <> component_id").select("__id").distinct())
+    """docs with one document of each class, that of the smallest id. Rows without a word or an id stay; of rows that share an id, those
+    with different sets of different classes all stay, and of those in one class the longest text, the smallest of these."""
+    lists = Lists(docs, n, num, den, id_col, text_col)
+    known = lists.classes(connected(lists))
+    found = lists.of_doc.where("n > 0").join(known.where("rep <> component_id or times > 1").select("key", "component_id"), "key", "left")
+    drop = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct())
+    again = materialise(lists.of_doc.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")))
     small = drop.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    kept = docs.join(F.broadcast(drop) if small else drop, F.col(id_col) == F.col("__id"), "left_anti")
-    again = materialise(found.groupBy("__id").count().where("count > 1").select("__id"))
+    ids = drop.select("__id").distinct()
     if again.isEmpty():
-        return kept
-    twice = kept.join(again, F.col(id_col) == F.col("__id"), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.length(text_col).desc(), text_col)
-    one = twice.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
-    return kept.join(again, F.col(id_col) == F.col("__id"), "left_anti").unionByName(one)
+        return docs.join(F.broadcast(ids) if small else ids, F.col(id_col) == F.col("__id"), "left_anti")
+    once = docs.join(again, F.col(id_col) == F.col("__again"), "left_anti")
+    once = once.join(F.broadcast(ids) if small else ids, F.col(id_col) == F.col("__id"), "left_anti")
+
+    def keyed(texts: pd.Series) -> pd.Series:
+        sets = (shingles(t, n) for t in texts)
+        return pd.Series([set_key(s) if len(s) else None for s in sets], dtype="Int64")
+
+    twice = docs.join(again, F.col(id_col) == F.col("__again"), "left_semi").withColumn("__of", F.pandas_udf(keyed, "bigint").asNondeterministic()(F.col(text_col)))
+    twice = twice.join(drop, (F.col(id_col) == F.col("__id")) & (F.col("__of") == F.col("__key")), "left_anti")
+    twice = twice.join(known.select(F.col("key").alias("__known"), F.col("component_id").alias("__class")), F.col("__of") == F.col("__known"), "left")
+    order = Window.partitionBy(id_col, "__class").orderBy(F.length(text_col).desc(), text_col)
+    one = twice.where("__of is not null").withColumn("__r", F.row_number().over(order)).where("__r = 1")
+    return once.unionByName(one.select(*docs.columns)).unionByName(twice.where("__of is null").select(*docs.columns))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
