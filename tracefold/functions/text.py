@@ -21,6 +21,35 @@ def truncate_front(s: Column, n: int) -> Column:
     return F.when(F.char_length(s) <= n, s).otherwise(F.concat(F.lit("..."), tail(n - 3)))
 
 
+def _continues(b: Column, at: Column) -> Column:
+    """Whether the byte at a place (from 1) of a binary is inside a character."""
+    return F.hex(F.substring(b, at, F.lit(1))).rlike("^[89AB]")
+
+
+def prefix_bytes(s: Column, n: int) -> Column:
+    """The longest prefix of at most n bytes of UTF-8."""
+    b = F.encode(s, "UTF-8")
+    at = F.coalesce(*[F.when(~_continues(b, F.lit(n - k + 1)), F.lit(n - k)) for k in range(min(n, 3) + 1)], F.lit(0))
+    return F.when(F.octet_length(s) <= n, s).otherwise(F.decode(F.substring(b, F.lit(1), at), "UTF-8"))
+
+
+def suffix_bytes(s: Column, n: int) -> Column:
+    """The longest suffix of at most n bytes of UTF-8."""
+    b, size = F.encode(s, "UTF-8"), F.octet_length(s)
+    if n == 0:
+        return F.when(s.isNotNull(), F.lit(""))
+    at = F.coalesce(*[F.when(~_continues(b, size - n + 1 + k), size - n + 1 + k) for k in range(4)])
+    return F.when(size <= n, s).otherwise(F.decode(F.substring(b, at, F.lit(n)), "UTF-8"))
+
+
+def truncate_middle(s: Column, n: int, joint: str = " ... ") -> Column:
+    """At most n characters that keep both ends; the end gets the larger share."""
+    room = max(n - len(joint), 0)
+    head = room // 3
+    cut = F.concat(F.rtrim(F.substring(s, 1, head)), F.lit(joint), F.ltrim(F.right(s, F.lit(room - head))))
+    return F.when(F.char_length(s) <= n, s).otherwise(cut if room else F.substring(s, 1, n))
+
+
 def collapse_whitespace(s: Column) -> Column:
     """Trimmed, every run of Unicode white space one blank."""
     return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))

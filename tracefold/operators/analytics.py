@@ -29,13 +29,32 @@ def best_p(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.exp(log_choose(row, x) + log_choose(n - row, col - x) - log_choose(n, col))
 
 
-def nearest_rank(value: str | Column, p: float, half_even: bool = True) -> Column:
-    """An aggregate: the value at index round(p / 100 * (n - 1)) in ascending order."""
-    v = F.col(value) if isinstance(value, str) else value
-    sorted_ = F.array_sort(F.collect_list(v))
-    at = (F.size(sorted_) - 1) * F.lit(p / 100)
-    rounded = F.bround(at) if half_even else F.round(at)
-    return F.element_at(sorted_, rounded.cast("int") + 1)
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float], half_even: bool = True) -> DataFrame:
+    """Per keys the values at index round(p / 100 * (n - 1)) in ascending order, nulls apart. Equal values are counted before they are sorted, and no group is gathered."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wide = counted.withColumn("__upto", F.sum("__c").over(order)).withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
+    turn = F.bround if half_even else F.round
+    at = {name: turn((F.col("__n") - 1) * F.lit(p / 100)) for name, p in ranks.items()}
+    return wide.groupBy(*keys).agg(*[F.min(F.when(F.col("__upto") > i, F.col(value))).alias(name) for name, i in at.items()])
+
+
+def paired_latency(starts: DataFrame, responses: DataFrame, key: str, at: str) -> DataFrame:
+    """Responses with the time since the first start of the same key; null where no start is known."""
+    first = starts.groupBy(key).agg(F.min(at).alias("started_at"))
+    return responses.join(first, key, "left").withColumn("latency", F.col(at) - F.col("started_at"))
+
+
+def summary(df: DataFrame, keys: list[str], values: list[str], cost: Column | None = None) -> DataFrame:
+    """Per keys the mean of what is known of each value, how many rows know it, and the cost if every row has one."""
+    parts = [x for v in values for x in (F.avg(v).alias(f"mean_{v}"), F.count(v).alias(f"n_{v}"))]
+    return df.groupBy(*keys).agg(F.count("*").alias("runs"), *parts, *([all_or_nothing_sum(cost).alias("cost")] if cost is not None else []))
+
+
+def validity(gates: dict[str, Column]) -> dict[str, Column]:
+    """Whether a run counts, and the names of the gates that it fails, in order; a gate that is unknown is failed."""
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(g, F.lit(False)), F.lit(n)) for n, g in gates.items()]))
+    return {"valid": F.size(failed) == 0, "failed_gates": F.array_join(failed, ",")}
 
 
 def median(value: str | Column) -> Column:

@@ -6,6 +6,8 @@ All the state that a step reads belongs to one (session, path), so that is the g
 from __future__ import annotations
 
 import re
+from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,58 +18,83 @@ HISTORY = 256
 DIGEST = re.compile(r"[0-9a-f]{32}")
 FATES = "session_id string, path string, event_id bigint, status string, mechanism string, resolved_event_id bigint"
 DEAD = "session_id string, path string, id bigint, edit_ids array<bigint>, mechanism string, from_ms bigint, resolved_ms bigint, reapplied boolean"
+BOTH = "session_id string, path string, event_id bigint, status string, mechanism string, resolved_event_id bigint, id bigint, edit_ids array<bigint>, from_ms bigint, resolved_ms bigint, reapplied boolean"
 
 
-def fold_file(rows: list[dict]) -> tuple[list[dict], list[dict]]:
-    """Edits and dead ends of one file. rows in order: event_id, ts_ms (logical), raw_ms, source, hash, tool, restore, commit."""
-    versions: list[tuple[str, str, int, int]] = []  # hash, source, event, ts
-    edits: list[dict] = []
-    dead: list[dict] = []
+class FileFold:
+    """The edits and dead ends of one file, observation by observation; a step costs what it changes, not what has been."""
 
-    def resolve(these: list[dict], status: str, mechanism: str, row: dict) -> None:
+    def __init__(self) -> None:
+        self.versions: deque[tuple[str, str, int, int]] = deque(maxlen=HISTORY)  # hash, source, event, ts
+        self.seen = 0
+        self.last: dict[str, int] = {}  # hash: number of its last version
+        self.edits: dict[int, dict] = {}
+        self.active: dict[int, dict] = {}  # in order of the edits
+        self.committed = -1  # number of the last committed edit
+        self.dead: list[dict] = []
+        self.undone: dict[str, list[dict]] = {}  # hash: dead ends that hold it and are not reapplied
+
+    def resolve(self, these: list[dict], status: str, mechanism: str, event: int, ts: int) -> None:
         for e in these:
-            e.update(status=status, mechanism=mechanism, resolved_event_id=row["event_id"])
-        dead.append({"id": row["event_id"], "edit_ids": [e["event_id"] for e in these], "mechanism": mechanism, "from_ms": min(e["ts"] for e in these), "resolved_ms": row["ts_ms"], "reapplied": False, "hashes": {e["hash"] for e in these}})
-
-    for row in rows:
-        h, source = row["hash"], row["source"]
-        active = [e for e in edits if e["status"] == "ACTIVE"]
-        if source == "git_post" and row["restore"]:
-            since = max((i for i, e in enumerate(edits) if e["status"] == "COMMITTED"), default=-1)
-            loose = [e for e in edits[since + 1 :] if e["status"] == "ACTIVE"]
+            e.update(status=status, mechanism=mechanism, resolved_event_id=event)
+            del self.active[e["event_id"]]
+        end = {"id": event, "edit_ids": [e["event_id"] for e in these], "mechanism": mechanism, "from_ms": min(e["ts"] for e in these), "resolved_ms": ts, "reapplied": False, "n": len(self.dead)}
+        self.dead.append(end)
+        for h in {e["hash"] for e in these}:
+            self.undone.setdefault(h, []).append(end)
+
+    def step(self, event: int, ts: int, raw: int, source: str, h: str, tool: str | None, restore: bool, commit: bool) -> None:
+        if source == "git_post" and restore:
+            loose = [e for e in self.active.values() if e["n"] > self.committed]
             if loose and h != loose[-1]["hash"]:
-                resolve(loose, "DISCARDED", "git_command", row)
-        if source == "git_post" and row["commit"]:
-            last = max((i for i, e in enumerate(edits) if e["status"] == "ACTIVE" and e["hash"] == h), default=-1)
-            for e in edits[: last + 1]:
-                if e["status"] == "ACTIVE":
-                    e.update(status="COMMITTED", resolved_event_id=row["event_id"])
-        before = versions[-HISTORY:]
-        versions.append((h, source, row["event_id"], row["ts_ms"]))
+                self.resolve(loose, "DISCARDED", "git_command", event, ts)
+        if source == "git_post" and commit:
+            upto = max((e["n"] for e in self.active.values() if e["hash"] == h), default=-1)
+            for e in [e for e in self.active.values() if e["n"] <= upto]:
+                e.update(status="COMMITTED", resolved_event_id=event)
+                self.committed = max(self.committed, e["n"])
+                del self.active[e["event_id"]]
+        newest = self.versions[-1] if self.versions else None
+        back = self.last.get(h, -1)
+        between = list(self.versions)[back - self.seen + 1 :] if self.seen - HISTORY <= back < self.seen - 1 and back >= 0 else []
+        known = back >= max(0, self.seen - HISTORY)
+        self.versions.append((h, source, event, ts))
+        self.last[h], self.seen = self.seen, self.seen + 1
+        if len(self.last) > 4 * HISTORY:
+            self.last = {k: v for k, v in self.last.items() if v >= self.seen - HISTORY}
         if source == "post_edit":
-            edits.append({"event_id": row["event_id"], "hash": h, "ts": row["ts_ms"], "status": "ACTIVE", "mechanism": None, "resolved_event_id": None})
-        if before and before[-1][0] == h:
-            continue
-        if any(ts > row["raw_ms"] for *_, ts in before):  # late knowledge must not undo what came after
-            continue
-        again = next((d for d in dead if not d["reapplied"] and source in SETTLED and DIGEST.fullmatch(h) and row["ts_ms"] >= d["resolved_ms"] and h in d["hashes"]), None)
-        if again:
-            again["reapplied"] = True
-            for e in edits:
-                if e["event_id"] in again["edit_ids"]:
-                    e["status"] = "REAPPLIED"
-            continue
-        if not (DIGEST.fullmatch(h) or h == "absent"):
-            continue
-        back = max((i for i, v in enumerate(before) if v[0] == h), default=-1)
-        if back < 0:
-            continue
-        between = {v[2] for v in before[back + 1 :] if v[1] == "post_edit"}
-        undone = [e for e in active if e["event_id"] in between and e["status"] == "ACTIVE"]
+            self.edits[event] = self.active[event] = {"event_id": event, "hash": h, "ts": ts, "status": "ACTIVE", "mechanism": None, "resolved_event_id": None, "n": len(self.edits)}
+        if newest is None or newest[0] == h:
+            return
+        if newest[3] > raw:  # logical times never fall: late knowledge must not undo what came after
+            return
+        if source in SETTLED and DIGEST.fullmatch(h):
+            again = min((d for d in self.undone.get(h, ()) if not d["reapplied"] and ts >= d["resolved_ms"]), key=lambda d: d["n"], default=None)
+            if again:
+                again["reapplied"] = True
+                self.undone[h].remove(again)
+                for i in again["edit_ids"]:
+                    self.edits[i]["status"] = "REAPPLIED"
+                    self.active.pop(i, None)
+                return
+        elif h != "absent":
+            if not DIGEST.fullmatch(h):
+                return
+        if not known:
+            return
+        these = {v[2] for v in between if v[1] == "post_edit"}
+        undone = [self.active[i] for i in sorted(these & self.active.keys(), key=lambda i: self.active[i]["n"]) if i != event]
         if undone:
-            how = "git_command" if source == "git_post" and row["restore"] else "rewrite" if source == "post_edit" and row["tool"] == "Write" else "inverse_edit" if source == "post_edit" else "external"
-            resolve(undone, "REVERTED", how, row)
-    return edits, dead
+            how = "git_command" if source == "git_post" and restore else "rewrite" if source == "post_edit" and tool == "Write" else "inverse_edit" if source == "post_edit" else "external"
+            self.resolve(undone, "REVERTED", how, event, ts)
+
+
+def fold_file(rows: list[dict]) -> tuple[list[dict], list[dict]]:
+    """Edits and dead ends of one file. rows in order: event_id, ts_ms (logical), raw_ms, source, hash, tool, restore, commit."""
+    fold = FileFold()
+    for r in rows:
+        fold.step(r["event_id"], r["ts_ms"], r["raw_ms"], r["source"], r["hash"], r["tool"], r["restore"], r["commit"])
+    return list(fold.edits.values()), fold.dead
 
 
 def observations(timeline: DataFrame) -> DataFrame:
@@ -90,19 +117,58 @@ def observations(timeline: DataFrame) -> DataFrame:
     return out.where("hash is not null and path is not null")
 
 
-def lifecycle(observed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fates of edits, dead ends) from observations."""
-    def run(pdf: pd.DataFrame) -> tuple[list[dict], list[dict]]:
-        return fold_file(pdf.sort_values(["position", "n", "event_id"]).to_dict("records"))
+def folded(observed: DataFrame) -> DataFrame:
+    """Both results in one table: rows with event_id are fates of edits, rows with id dead ends.
+
+    Files are dealt by (session, path) and come sorted; a task streams them and holds one file's fold at a time.
+    """
+    order = ["session_id", "path", "position", "n", "event_id"]
+    columns = [f.split(" ")[0] for f in BOTH.split(", ")]
+    read = [*order, "ts_ms", "raw_ms", "source", "hash", "tool", "restore", "commit"]
+
+    def rows_of(session: str, path: str, fold: FileFold) -> Iterator[tuple]:
+        for e in fold.edits.values():
+            yield session, path, e["event_id"], e["status"], e["mechanism"], e["resolved_event_id"], None, None, None, None, None
+        for d in fold.dead:
+            yield session, path, None, None, d["mechanism"], None, d["id"], d["edit_ids"], d["from_ms"], d["resolved_ms"], d["reapplied"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, fold, out = None, FileFold(), []
 
-    def fates(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*key, e["event_id"], e["status"], e["mechanism"], e["resolved_event_id"]) for e in run(pdf)[0]]
-        out = pd.DataFrame(rows, columns=["session_id", "path", "event_id", "status", "mechanism", "resolved_event_id"])
-        return out.astype({"resolved_event_id": "Int64", "event_id": "int64"})
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            made = pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(columns, zip(*rows, strict=True), strict=True)})
+            return made.astype({c: "Int64" for c in ("event_id", "resolved_event_id", "id", "from_ms", "resolved_ms")})
 
-    def ends(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*key, d["id"], d["edit_ids"], d["mechanism"], d["from_ms"], d["resolved_ms"], d["reapplied"]) for d in run(pdf)[1]]
-        return pd.DataFrame(rows, columns=["session_id", "path", "id", "edit_ids", "mechanism", "from_ms", "resolved_ms", "reapplied"])
+        for part in frames:
+            for session, path, _, _, event, ts, raw, source, h, tool, restore, commit in zip(*(part[c].tolist() for c in read), strict=True):
+                if (session, path) != key:
+                    if key is not None:
+                        out += rows_of(*key, fold)
+                    key, fold = (session, path), FileFold()
+                    if len(out) > 50_000:
+                        yield frame(out)
+                        out = []
+                fold.step(event, ts, raw, source, h, tool, restore, commit)
+        if key is not None:
+            out += rows_of(*key, fold)
+        if out:
+            yield frame(out)
 
-    groups = observed.groupBy("session_id", "path")
-    return groups.applyInPandas(fates, FATES), groups.applyInPandas(ends, DEAD)
+    return observed.select(*read).repartition("session_id", "path").sortWithinPartitions(*order).mapInPandas(run, BOTH)
+
+
+def lifecycle(observed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fates of edits, dead ends) from observations."""
+    both = folded(observed)
+    fates = both.where("event_id is not null").select(*[f.split(" ")[0] for f in FATES.split(", ")])
+    return fates, both.where("id is not null").select(*[f.split(" ")[0] for f in DEAD.split(", ")])
+
+
+def members(dead: DataFrame, edits: DataFrame) -> DataFrame:
+    """Dead ends with their edits looked up by id: any by a subagent, and the excerpts in order of the ids."""
+    one = dead.select("session_id", "id", F.posexplode("edit_ids").alias("n", "event_id"))
+    found = one.join(edits.select("session_id", "event_id", "agent_id", "excerpt"), ["session_id", "event_id"])
+    return found.groupBy("session_id", "id").agg(
+        F.count("*").alias("members"), F.max(F.col("agent_id").isNotNull()).alias("subagent"),
+        F.transform(F.array_sort(F.collect_list(F.struct("n", "excerpt"))), lambda x: x["excerpt"]).alias("excerpts"),
+    )

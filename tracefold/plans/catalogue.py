@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import commands as cmd
@@ -130,10 +130,14 @@ def file_stats(spark, sf_dir):
 
 
 @query(
-    f"with {STATS} select session_id, epoch, path, cast(row_number() over (partition by session_id, epoch order by path like '../%', path like 'node_modules/%', 3 * edits + reads + 4 * cast(in_failure as integer) desc, edits desc, reads desc, first_touch_ms, path) as integer) as rank from stats qualify rank <= 8"
+    f"with {STATS} select session_id, epoch, path, cast(row_number() over (partition by session_id, epoch order by path like '../%', path like 'node_modules/%', case when exists (select 1 from tl d where d.session_id = stats.session_id and d.epoch = stats.epoch and d.path = stats.path and d.post_hash is not null and d.id % 29 = 0) then 6 else 0 end"
+    " + 4 * cast(in_failure as integer) + 3 * least(edits, 3) + case when reads >= 2 then 2 else 0 end + least(reads, 3) desc, edits desc, reads desc, first_touch_ms, path) as integer) as rank from stats qualify rank <= 8"
 )
 def working_files_top8(spark, sf_dir):
-    return ranking.working_files(stats_of(spark, sf_dir), 8).select("session_id", "epoch", "path", "rank")
+    """Paths of every 29th edit stand for those that dead ends name."""
+    timeline = told(spark, sf_dir)
+    named = folds.edits(timeline).where("event_id % 29 = 0")
+    return ranking.working_files(folds.file_stats(timeline, folds.commands(timeline)), 8, named).select("session_id", "epoch", "path", "rank")
 
 
 @query(f"with {CMDS} select session_id, epoch, event_id, kind, signature, command_text, outcome, ts_ms from cmds")
@@ -255,7 +259,59 @@ def dead_end_slots(spark, sf_dir):
 
 
 @query(
-    "with r as (select concat('c', cast(conv_id as varchar)) as session_id, 1 as epoch, turn as ordinal, substr(text, 1, 40) as text, case turn % 3 when 0 then 'requirement' when 1 then 'labelled' else 'prohibition' end as kind from conversations)"
+    f"with {EDITS}, a as (select *, row_number() over (partition by session_id, epoch, path order by event_id desc) as n from eds), dead as (select distinct session_id, epoch, path from eds where event_id % 29 = 0)"
+    " select session_id, epoch, path, event_id, cast(row_number() over (partition by session_id, epoch order by path like '../%', path like 'node_modules/%', ts_ms desc, event_id desc) as integer) as rank"
+    " from a anti join dead using (session_id, epoch, path) where n = 1 qualify rank <= 4"
+)
+def attempts_top4(spark, sf_dir):
+    """Paths of every 29th edit stand for those that dead ends name."""
+    edits = live(spark, sf_dir)
+    return ranking.attempts(edits, edits.where("event_id % 29 = 0")).select("session_id", "epoch", "path", "event_id", "rank")
+
+
+@query(
+    f"with {CMDS}{EDITS[len(TL):]}, open as (select c.* from cmds c where kind in ('test', 'build', 'lint') and outcome = 'FAIL' and not exists (select 1 from cmds d where d.session_id = c.session_id and d.epoch = c.epoch and d.signature = c.signature and d.outcome = 'PASS' and (d.ts_ms > c.ts_ms or (d.ts_ms = c.ts_ms and d.event_id > c.event_id))))"
+    ", f as (select * from open qualify row_number() over (partition by session_id, epoch order by ts_ms desc, event_id desc) = 1), e as (select * from eds qualify row_number() over (partition by session_id, epoch order by path like '../%', path like 'node_modules/%', ts_ms desc, event_id desc) = 1)"
+    ", g as (select * from f where event_id % 2 = 0) select session_id, epoch, case when g.event_id is not null then 'failure-location' else 'last-active-edit' end as rule,"
+    " coalesce(g.m_path || ':' || cast(g.event_id % 90 as varchar), e.path) as target, case when g.event_id is not null then concat('commands:', cast(g.event_id as varchar)) else concat('edits:', cast(e.event_id as varchar)) end as source from g full join e using (session_id, epoch)"
+)
+def next_target(spark, sf_dir):
+    """Every other failure shows the place that it mentions."""
+    timeline = told(spark, sf_dir)
+    shown = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("at "), F.element_at("mentioned", 1)["raw"])).otherwise(F.lit("x"))
+    failures = lookups.open_failures(folds.commands(timeline)).withColumn("excerpt", shown)
+    return ranking.next_target(failures, folds.edits(timeline).withColumn("status", F.lit("ACTIVE")))
+
+
+@query(f"with {EDITS} select session_id, epoch, path, count(*) as edits, max(event_id) as last_id from eds where ts_ms <= 1704100000000 + 86400000 * 10 group by 1, 2, 3")
+def edits_as_of(spark, sf_dir):
+    """A section as of a time: what the log held then."""
+    then = folds.edits(told(spark, sf_dir)).where(F.col("ts_ms") <= 1704100000000 + 86400000 * 10)
+    return then.groupBy("session_id", "epoch", "path").agg(F.count("*").alias("edits"), F.max("event_id").alias("last_id"))
+
+
+@query(
+    f"with {EDITS}, d as (select *, lag(event_id) over (partition by session_id, path order by event_id) as before from eds), k as (select session_id, event_id as id, unnest([before, event_id]) as m from d where event_id % 5 = 0 and before is not null)"
+    " select session_id, k.id, count(*) as members, string_agg(e.tool_name, ',' order by e.event_id) as tools from k join eds e using (session_id) where e.event_id = k.m group by 1, 2"
+)
+def dead_end_members(spark, sf_dir):
+    """Every fifth edit and the one before it on the same file as a dead end whose members are looked up by id."""
+    edits = folds.edits(told(spark, sf_dir)).withColumn("excerpt", F.col("tool_name"))
+    before = F.lag("event_id").over(Window.partitionBy("session_id", "path").orderBy("event_id"))
+    dead = edits.withColumn("before", before).where("event_id % 5 = 0 and before is not null").select("session_id", F.col("event_id").alias("id"), F.array("before", "event_id").alias("edit_ids"))
+    return life.members(dead, edits).select("session_id", "id", "members", F.array_join("excerpts", ",").alias("tools"))
+
+
+@query(
+    "select doc_id, left(text, list_max(list_filter(range(0, 42), lambda k: strlen(left(text, k)) <= 41))) as head, right(text, list_max(list_filter(range(0, 42), lambda k: strlen(right(text, k)) <= 41))) as tail,"
+    " case when length(text) <= 60 then text else concat(rtrim(left(text, 18), ' '), ' ... ', ltrim(right(text, 37), ' ')) end as middle from documents"
+)
+def byte_cuts(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", tx.prefix_bytes(F.col("text"), 41).alias("head"), tx.suffix_bytes(F.col("text"), 41).alias("tail"), tx.truncate_middle(F.col("text"), 60).alias("middle"))
+
+
+@query(
+    "with r as (select concat('c', cast(conv_id as varchar)) as session_id, 1 as epoch, turn as ordinal, text, case turn % 3 when 0 then 'requirement' when 1 then 'labelled' else 'prohibition' end as kind from conversations)"
     ", o as (select * from r qualify row_number() over (partition by session_id, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) order by ordinal) = 1)"
     " select session_id, ordinal, cast(row_number() over (partition by session_id order by case kind when 'labelled' then 0 when 'prohibition' then 1 else 2 end, ordinal) as integer) as rank from o qualify rank <= 3"
 )
@@ -434,7 +490,42 @@ def fisher_exact(spark, sf_dir):
     " select event_type, max(case when k = cast(round_even((n - 1) * 0.95, 0) as bigint) + 1 then value end) as p95, max(case when k = cast(round_even((n - 1) * 0.5, 0) as bigint) + 1 then value end) as p50 from r group by 1"
 )
 def percentiles_nearest_rank(spark, sf_dir):
-    return docs(spark, sf_dir, "events").groupBy("event_type").agg(an.nearest_rank("value", 95).alias("p95"), an.nearest_rank("value", 50).alias("p50"))
+    return an.nearest_ranks(docs(spark, sf_dir, "events"), ["event_type"], "value", {"p95": 95, "p50": 50})
+
+
+@query(
+    "with l as (select l_returnflag, date_diff('day', cast(o_orderdate as date), cast(l_shipdate as date)) as latency from lineitem left join orders on l_orderkey = o_orderkey)"
+    ", r as (select *, row_number() over (partition by l_returnflag order by latency) as k, count(*) over (partition by l_returnflag) as n from l where latency is not null)"
+    " select l_returnflag, max(case when k = cast(round_even((n - 1) * 0.5, 0) as bigint) + 1 then latency end) as p50, max(case when k = cast(round_even((n - 1) * 0.95, 0) as bigint) + 1 then latency end) as p95 from r group by 1"
+)
+def class_latency(spark, sf_dir):
+    """Starts (orders) and responses (their lines) paired by key; percentiles of the days between, per class of response."""
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01"))
+    starts = docs(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), day("o_orderdate").alias("at"))
+    responses = docs(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_returnflag", day("l_shipdate").alias("at"))
+    ranks = an.nearest_ranks(an.paired_latency(starts, responses, "key", "at"), ["l_returnflag"], "latency", {"p50": 50, "p95": 95})
+    return ranks.select("l_returnflag", F.col("p50").cast("long").alias("p50"), F.col("p95").cast("long").alias("p95"))
+
+
+@query(
+    "with r as (select l_returnflag, case when l_linenumber <> 3 then l_quantity end as quantity, l_discount as discount, case when l_returnflag <> 'A' or l_linenumber < 7 then l_extendedprice end as price from lineitem)"
+    " select l_returnflag, count(*) as runs, round(avg(quantity), 6) as mean_quantity, count(quantity) as n_quantity, round(avg(discount), 6) as mean_discount, count(discount) as n_discount, case when count(price) = count(*) then round(sum(price), 2) end as cost from r group by 1"
+)
+def run_summary(spark, sf_dir):
+    """Means of what is known, and a cost that stands only where every row has one."""
+    rows = docs(spark, sf_dir, "lineitem").select("l_returnflag", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("quantity"), F.col("l_discount").alias("discount"), F.when((F.col("l_returnflag") != "A") | (F.col("l_linenumber") < 7), F.col("l_extendedprice")).alias("price"))
+    out = an.summary(rows, ["l_returnflag"], ["quantity", "discount"], F.col("price"))
+    return out.select("l_returnflag", "runs", F.round("mean_quantity", 6).alias("mean_quantity"), "n_quantity", F.round("mean_discount", 6).alias("mean_discount"), "n_discount", F.round("cost", 2).alias("cost"))
+
+
+@query(
+    "select o_orderkey, o_orderstatus <> 'P' and o_totalprice > 1000 and (case when o_orderkey % 9 <> 0 then o_orderkey % 4 <> 0 end) is true as valid,"
+    " concat_ws(',', case when o_orderstatus = 'P' then 'finished' end, case when not o_totalprice > 1000 then 'priced' end, case when (case when o_orderkey % 9 <> 0 then o_orderkey % 4 <> 0 end) is not true then 'measured' end) as failed_gates from orders"
+)
+def validity_gates(spark, sf_dir):
+    k = F.col("o_orderkey")
+    gates = an.validity({"finished": F.col("o_orderstatus") != "P", "priced": F.col("o_totalprice") > 1000, "measured": F.when(k % 9 != 0, k % 4 != 0)})
+    return docs(spark, sf_dir, "orders").select("o_orderkey", *[c.alias(n) for n, c in gates.items()])
 
 
 @query("select o_orderpriority, round(median(o_totalprice), 4) as median_price from orders group by 1")
@@ -485,7 +576,7 @@ def funnel(spark, sf_dir):
 
 
 @query(
-    "with g as (select l_orderkey, list_distinct(list(l_shipmode)) as f from (select l_orderkey, l_returnflag as l_shipmode from lineitem) group by 1) select l_orderkey, len(list_intersect(['A', 'N', 'R'], f)) as hits, round(len(list_intersect(['A', 'N', 'R'], f)) / 3.0, 6) as ratio, len(list_intersect(['A', 'N', 'R'], f)) = 3 as all_found from g"
+    "with g as (select l_orderkey, list_distinct(list(l_returnflag)) as f from (select l_orderkey, l_returnflag as l_returnflag from lineitem) group by 1) select l_orderkey, len(list_intersect(['A', 'N', 'R'], f)) as hits, round(len(list_intersect(['A', 'N', 'R'], f)) / 3.0, 6) as ratio, len(list_intersect(['A', 'N', 'R'], f)) = 3 as all_found from g"
 )
 def coverage(spark, sf_dir):
     found = docs(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("f"))
@@ -519,9 +610,9 @@ def verdicts(spark, sf_dir):
     return docs(spark, sf_dir, "orders").select("o_orderkey", ruled.alias("verdict"))
 
 
-@query("select lang, count(case when source = 'src0' then 1 end) as src0, count(case when source = 'src1' then 1 end) as src1 from documents where source in ('src0', 'src1') group by 1")
+@query("select lang, source, count(*) as n from documents group by 1, 2")
 def status_histogram(spark, sf_dir):
-    return docs(spark, sf_dir).where("source in ('src0', 'src1')").groupBy("lang").pivot("source", ["src0", "src1"]).count().na.fill(0)
+    return docs(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"))
 
 
 @query(
