@@ -155,6 +155,14 @@ def test_neighbours(spark):
     assert {r.query_id for r in got} == set(range(0, 400, 50))
 
 
+def test_neighbours_widens_to_k(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "GRID", (0.02,))
+    monkeypatch.setattr(neighbours, "LEAF", 2)
+    x = np.random.default_rng(2).normal(size=(120, 6))
+    got = neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"), F.col("id") % 50 == 0).collect()
+    assert Counter(r.query_id for r in got) == {0: 5, 50: 5, 100: 5}
+
+
 def test_neighbours_few_and_none(spark):
     from pyspark.sql import functions as F
 
@@ -226,6 +234,29 @@ def test_url_graph(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block"}
 
 
+def test_url_ranks_match_power_iteration(spark):
+    rng = np.random.default_rng(5)
+    n, seeds = 30, {3: 0.25, 7: 0.75}
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (120, 2)) if a != b})
+    out = Counter(a for a, _ in pairs)
+    edges = spark.createDataFrame([("trust", str(a), str(b), 1.0 / out[a]) for a, b in pairs], "kind string, src string, dst string, share double")
+    start = spark.createDataFrame([("trust", str(h), s) for h, s in seeds.items()], "kind string, host string, seed double")
+    m, e = np.zeros((n, n)), np.zeros(n)
+    for a, b in pairs:
+        m[b, a] = 1.0 / out[a]
+    e[list(seeds)] = list(seeds.values())
+    rank = np.linalg.solve(np.eye(n) - 0.85 * m, 0.15 * e)
+    want = rank - 0.15 * e
+    got = {r.host: r.received for r in url_filter.propagate(edges, start).collect()}
+    assert all(abs(got.get(str(h), 0.0) - want[h]) < 1e-5 for h in range(n))
+
+
+def test_url_graph_of_hosts_that_are_only_linked_to(spark):
+    rows = [(1, "http://farm.biz:8080/", '<a href="http://uncrawled.net/x">t</a>'), (2, "http://clean.biz/", '<a href="http://other.biz/x">t</a>')]
+    got = {r.page_id: r["__verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
 # --- 5
 
 

@@ -6,7 +6,8 @@ is not: every vector is put into its leaf of every tree. The number of levels fo
 
 Search. Per query one priority queue holds the branches of all trees, ordered by the largest margin crossed on the way; the
 nearest leaves are taken until the visit budget is spent. The budget, a share of a tree's leaves, is the smallest that reaches
-``TARGET`` recall on the sample, against brute force there. Candidates of the visited leaves are ranked by exact cosine.
+``TARGET`` recall on the sample, against brute force there. Candidates of the visited leaves are ranked by exact cosine. A
+query that has met fewer than k others so searches again in every leaf.
 
 Spark's part. Leaves are grouped into buckets of 64; vectors and queries meet per bucket (queries in chunks), each meeting
 returns at most k rows per query. Equal vectors are one class that carries its k + 1 smallest ids, so a vector held by a
@@ -31,6 +32,8 @@ from .common import materialise, table
 
 TREES, SAMPLE, LEAF, TARGET = 6, 8192, 80, 0.965
 GRID = (0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8, 1.0, 1.25, 1.6, 2.2, 3.0)
+#: A reach (in leaves of one tree) that visits every leaf of every tree.
+GRID_ALL = float(TREES)
 BUCKET_BITS, QUERY_CHUNK = 6, 16_384
 
 
@@ -142,18 +145,21 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
                     for c in range(chunks):
                         yield pd.DataFrame({"bucket": t << high | leaf[t] >> shift, "chunk": c, "leaf": leaf[t] & ((1 << shift) - 1), "ids": f["ids"], "v": f["v"]})
 
-    def visit(frames):
-        for f in frames:
-            if not len(f):
-                continue
-            out = []
-            for qid, v, unit in zip(f["id"], f["v"], normal(f["v"]), strict=True):
-                masks: dict[int, int] = {}
-                for t, leaf in forest.visits(unit, share):
-                    b = t << high | leaf >> shift
-                    masks[b] = masks.get(b, 0) | 1 << (leaf & ((1 << shift) - 1))
-                out += [(b, qid % chunks, qid, m - (m >> 63 << 64), v) for b, m in masks.items()]
-            yield pd.DataFrame(out, columns=["bucket", "chunk", "qid", "mask", "v"])
+    def visit(reach: float):
+        def run(frames):
+            for f in frames:
+                if not len(f):
+                    continue
+                out = []
+                for qid, v, unit in zip(f["id"], f["v"], normal(f["v"]), strict=True):
+                    masks: dict[int, int] = {}
+                    for t, leaf in forest.visits(unit, reach):
+                        b = t << high | leaf >> shift
+                        masks[b] = masks.get(b, 0) | 1 << (leaf & ((1 << shift) - 1))
+                    out += [(b, qid % chunks, qid, m - (m >> 63 << 64), v) for b, m in masks.items()]
+                yield pd.DataFrame(out, columns=["bucket", "chunk", "qid", "mask", "v"])
+
+        return run
 
     def rank(side: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
@@ -175,10 +181,18 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
                 out += [(qid, v, -s) for s, v in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}) if out else none
 
-    left = classes.mapInPandas(index, "bucket bigint, chunk bigint, leaf bigint, ids array<bigint>, v array<double>")
-    right = asked.mapInPandas(visit, "bucket bigint, chunk bigint, qid bigint, mask bigint, v array<double>")
-    met = left.groupBy("bucket", "chunk").cogroup(right.groupBy("bucket", "chunk")).applyInPandas(rank, "query_id bigint, vec_id bigint, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def meet(ask: DataFrame, reach: float) -> DataFrame:
+        left = classes.mapInPandas(index, "bucket bigint, chunk bigint, leaf bigint, ids array<bigint>, v array<double>")
+        right = ask.repartition(F.col("id")).mapInPandas(visit(reach), "bucket bigint, chunk bigint, qid bigint, mask bigint, v array<double>")
+        return left.groupBy("bucket", "chunk").cogroup(right.groupBy("bucket", "chunk")).applyInPandas(rank, "query_id bigint, vec_id bigint, score double")
+
+    met, wide = meet(asked, share), share < GRID_ALL
+    best = materialise(met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+    if wide:  # queries whose leaves held fewer than k others search again, in every leaf
+        full = best.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k).select(F.col("query_id").alias("id"))
+        few = asked.join(full, "id", "left_anti")
+        if not few.isEmpty():
+            best = best.unionByName(meet(few, GRID_ALL)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -11,7 +11,11 @@ host is suspect). What a host receives over links, without its own seed, decides
 a multiple of the mean host's share, exceeds ``threshold`` and its trust. A host without links to or from others
 receives nothing and is allowed.
 
-All of it is joins and sums over (host, host) pairs; each pass over the graph is written to the checkpoint folder.
+Hosts that are only linked to are judged by the rules at the path ``/`` and are seeds like the others. Links name hosts without port
+and user part; a page's host takes part in the graph under the same short name. Passes go on until what a pass still moves is below
+``settled`` of the seeds' mass, at most ``rounds`` of them.
+
+All of it is joins and sums over (host, host) pairs; each fourth pass over the graph is written to the checkpoint folder.
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; null html has
 no links; repeated rows each get a result; an empty table gives an empty table.
 """
@@ -48,29 +52,38 @@ def fitting_rule(host: Column, path: Column, rules) -> Column:
     return out
 
 
+def node_of(host: Column) -> Column:
+    """A host's name in the graph: without user part and port."""
+    return F.regexp_replace(host, r"^[^@]*@|:\d+$", "")
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """Distinct (src, dst, pages that link) between different hosts; pages has host and html."""
     links = pages.where(F.col("html").contains("//")).select("host", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))).alias("dst"))
-    links = links.select(F.col("host").alias("src"), ascii_lower(F.regexp_replace("dst", r"^[^@]*@|:\d+$", "")).alias("dst"))
+    links = links.select(node_of(F.col("host")).alias("src"), ascii_lower(node_of(F.col("dst"))).alias("dst"))
     return links.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85) -> DataFrame:
-    """(kind, host, received): what each host receives over edges (kind, src, dst, share) from seeds (kind, host, seed)."""
-    rank = seeds.select("kind", "host", F.col("seed").alias("rank"))
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 60, damping: float = 0.85, settled: float = 1e-6) -> DataFrame:
+    """(kind, host, received): what each host receives over edges (kind, src, dst, share) from seeds (kind, host, seed).
+
+    The mass that seeds send is followed link by link: a pass moves ``damping`` of what came last, and received sums the passes. That is
+    the personalised PageRank, without the share that a seed keeps; what a pass still moves bounds what is missing.
+    """
+    moving = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
+    total = None
     for i in range(rounds):
-        sent = rank.alias("r").join(edges.alias("e"), F.expr("r.kind = e.kind and r.host = e.src"))
-        got = sent.groupBy(F.col("e.kind").alias("kind"), F.col("e.dst").alias("host")).agg(F.sum(F.col("r.rank") * F.col("e.share") * damping).alias("received"))
-        if i == rounds - 1:
-            return got
-        both = got.select("kind", "host", F.col("received").alias("rank")).unionAll(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank")))
-        rank = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        sent = moving.alias("r").join(edges.alias("e"), F.expr("r.kind = e.kind and r.host = e.src"))
+        moving = sent.groupBy(F.col("e.kind").alias("kind"), F.col("e.dst").alias("host")).agg(F.sum(F.col("r.rank") * F.col("e.share") * damping).alias("rank"))
+        total = moving if total is None else total.unionAll(moving).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if i % 4 == 3:
-            rank = materialise(rank)
-    return rank.select("kind", "host", F.lit(0.0).alias("received"))
+            moving, total = materialise(moving), materialise(total)
+            if (moving.agg(F.sum("rank")).first()[0] or 0.0) <= settled:
+                break
+    return total.withColumnRenamed("rank", "received")
 
 
-def blocked_hosts(pages: DataFrame, rules, rounds: int = 12, threshold: float = 0.5) -> DataFrame | None:
+def blocked_hosts(pages: DataFrame, rules, rounds: int = 60, threshold: float = 0.5) -> DataFrame | None:
     """Hosts that the link graph blocks; None where no host links to another. pages: host, path, html."""
     edges = materialise(host_edges(pages))
     if edges.isEmpty():
@@ -78,7 +91,9 @@ def blocked_hosts(pages: DataFrame, rules, rounds: int = 12, threshold: float =
     turned = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionAll(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = turned.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     shares = materialise(turned.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")))
-    judged = pages.select("host", fitting_rule(F.col("host"), F.col("path"), rules)["verdict"].alias("v")).groupBy("host")
+    linked = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct().join(pages.select(node_of(F.col("host")).alias("host")).distinct(), "host", "left_anti")
+    rows = pages.select("host", "path").unionAll(linked.select("host", F.lit("/").alias("path")))
+    judged = rows.select(node_of(F.col("host")).alias("host"), fitting_rule(F.col("host"), F.col("path"), rules)["verdict"].alias("v")).groupBy("host")
     share = judged.agg(F.avg(F.when(F.col("v") == "allow", 1.0).otherwise(0.0)).alias("trust"), F.avg(F.when(F.col("v") == "block", 1.0).otherwise(0.0)).alias("distrust"))
     seeds = share.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust"), F.lit("distrust"), F.col("distrust"))).alias("kind", "seed")).where("seed > 0")
     total = seeds.groupBy("kind").agg(F.sum("seed").alias("all_seeds"))
@@ -92,7 +107,7 @@ def blocked_hosts(pages: DataFrame, rules, rounds: int = 12, threshold: float =
     return materialise(one.where((F.col("distrust") * hosts > threshold) & (F.col("distrust") > F.col("trust"))).select("host"))
 
 
-def judge(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "html", rounds: int = 12, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "html", rounds: int = 60, threshold: float = 0.5) -> DataFrame:
     """pages with __host, __path, __rule and __verdict."""
     wide = pages.withColumns({"__host": host_of(F.col(url_col)), "__path": path_of(F.col(url_col))})
     bad = blocked_hosts(wide.select(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col(html_col).alias("html")), rules, rounds, threshold)
@@ -102,7 +117,7 @@ def judge(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "
     else:
         small = bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
         bad = bad.select(F.col("host").alias("__bad"))
-        wide = wide.join(F.broadcast(bad) if small else bad, F.col("__host") == F.col("__bad"), "left")
+        wide = wide.join(F.broadcast(bad) if small else bad, node_of(F.col("__host")) == F.col("__bad"), "left")
     verdict = F.coalesce(F.col("__fit.verdict"), F.when(F.col("__bad").isNotNull(), "block").otherwise("allow"))
     return wide.withColumns({"__rule": F.col("__fit.rule"), "__verdict": verdict}).drop("__fit", "__bad")
 
