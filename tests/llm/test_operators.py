@@ -456,6 +456,28 @@ def test_html_templates(spark):
     assert {r["__text"] for r in html_text.extract_text(spark.createDataFrame(copies, "page_id bigint, url string, html string")).collect()} == {"One story"}
 
 
+def test_html_shapes_decide(spark):
+    """Menus and boxes of plain divs, told by what recurs on their host alone; a block whose class says share stays where it is text."""
+    rng = random.Random(21)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(500)) for _ in range(n))
+    rows, want, every = [], {}, {}
+    for i in range(40):
+        texts = [say(60), say(50)]
+        links = "".join(f"<div><a href='/{k}'>{say(1)}</a></div>" for k in range(rng.randrange(4, 7)))
+        tip = rng.choice(["We value your privacy.", "Offer ends soon.", "Call us today."])
+        side = say(5)
+        rows.append((i, f"http://plain{i % 2}.org/{i}", f"<body><div class='top'>{links}</div><div class='tip'>{tip}</div><div class='text'><h1>{say(4)}</h1><p>{texts[0]}</p><p>{texts[1]}</p></div><div class='box'>{side}</div></body>"))
+        want[i], every[i] = texts, side
+        rows.append((100 + i, f"http://marked.org/{i}", f"<body><article><div class='share'><p>{texts[0]}</p></div><div class='more'><a>{say(3)}</a><a>{say(3)}</a></div><p>{texts[1]}</p></article></body>"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r["__text"].split("\n") for r in html_text.extract_text(pages).collect()}
+    off = {r.page_id: r["__text"] for r in html_text.extract_text(pages, use_templates=False).collect()}
+    for i in range(40):
+        assert got[i][1:] == want[i], got[i]
+        assert got[100 + i] == want[i]
+        assert every[i] in off[i] and off[i] != "\n".join(got[i])
+
+
 # --- 9
 
 

@@ -1,20 +1,27 @@
 """HTML extraction by site template removal.
 
-A page becomes a tree. Elements that HTML or their class, id or role mark as something other than the article (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) go; what lies in ``article`` or
-``main`` is kept if there is such an element, else the body.
+A page becomes a tree. Elements that are no article by HTML itself (menus, headers, footers, asides, forms, scripts, styles, their
+roles) go, as do the two kinds that HTML has no element for, adverts and reader comments, where their class or id says so; what lies
+in ``article`` or ``main`` is kept if there is such an element, else the body.
 
-What is left is judged by recurrence: subtrees are hashed, Spark counts on how many different page bodies of a host each
-hash occurs, and subtrees on at least ``least`` bodies and ``share`` of the host's bodies are deleted from that host's
-pages. Inside an article only containers are judged (a passage that authors repeat in paragraphs is text, not template),
-elsewhere paragraphs are as well. Copies of a page count as one body, so a page that a site holds many times is no template.
+What is left is judged by recurrence on its host. Every subtree has two hashes: its content (tags, classes, ids and text) and its
+shape (block elements with classes and ids, equal neighbours as one, no text). Spark counts both over the different page bodies of
+each host, with the characters and the link characters under each shape. Deleted are
+
+* contents on ``share`` of a host's bodies (``least`` at least, ``most`` are always enough);
+* shapes on ``shape_share`` of the bodies whose characters are links for the most part (menus, lists of further pages), or
+  whose texts come from a small pool (rotating notices), or, where the page has no article element, that hold a small share of the
+  host's text over all pages and no heading (boxes beside the text).
+
+Inside an article only containers are judged, and shapes only if they have a class or an id: a passage that authors repeat in
+paragraphs is text, not template. Copies of a page count as one body, so a page that a site holds many times is no template.
 
 Text: character references decoded, white space inside a block made one space, trimmed, blocks joined by one newline. ``br``
 is white space.
 
 Defined results: null or empty html, or a page without text, gives an empty text; broken markup is read as far as it goes
 (open elements end with their parent); pages without a host share the empty host; repeated rows each get a result; an empty
-table gives an empty table.
+table gives an empty table; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -37,39 +44,36 @@ RAW = frozenset("script style textarea title noscript template xmp iframe".split
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea dialog menu iframe svg canvas object audio video input label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar aside menu nav "
-    "navbar navigation breadcrumb breadcrumbs footer footnav comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe "
-    "subscription signup login search widget toolbar pagination pager skip".split()
-)
+#: Classes and ids of adverts and reader comments, for which HTML has no element.
+MARKS = frozenset("ad ads advert adverts advertisement comment comments".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 #: A start tag of the first kind ends an open element of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body article main section div table ul ol dl td th blockquote form nav footer header aside".split())
-CONTENT = ("article", "main")
+CONTENT, HEADINGS = ("article", "main"), frozenset(("h1", "h2", "h3"))
 CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center header".split())
 LEAVES = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre address".split())
 WORDS = re.compile(r"[\s_-]+")
 
 
 class Node:
-    __slots__ = ("children", "drop", "tag")
+    __slots__ = ("children", "drop", "mark", "tag")
 
-    def __init__(self, tag: str, drop: bool = False) -> None:
-        self.tag, self.drop, self.children = tag, drop, []
+    def __init__(self, tag: str, drop: bool = False, mark: str = "") -> None:
+        self.tag, self.drop, self.mark, self.children = tag, drop, mark, []
 
 
-def unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not inside):
-        return True
+def told(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
+    """Whether an element is no article by itself, and its class and id."""
+    drop, mark = tag in DROPPED or (tag == "header" and not inside), []
     for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         value = next((v for v in values if v), "").lower()
         if name.lower() == "role":
-            if value.strip() in ROLES:
-                return True
-        elif tag not in ("html", "body", "main") and not HINTS.isdisjoint(x := WORDS.split(value)) or ("header" in WORDS.split(value) and not inside and tag not in ("html", "body", *CONTENT)):
-            return True
-    return False
+            drop |= value.strip() in ROLES
+        else:
+            mark += sorted(value.split())
+            drop |= tag not in ("html", "body", "main") and not MARKS.isdisjoint(WORDS.split(value))
+    return drop, " ".join(mark)
 
 
 def parse(page: str) -> Node:
@@ -82,8 +86,10 @@ def parse(page: str) -> Node:
         depth -= sum(x.tag in CONTENT for x in stack[i:])
         del stack[i:]
 
+    last = page.rfind(">") + 1
+    end_of_tags = last if page.count("<", last) > 50 else n  # many tags that never end would each be read to the end
     while at < n:
-        m = TAG.search(page, at)
+        m = TAG.search(page, at, end_of_tags)
         if m is None:
             stack[-1].children.append(page[at:])
             break
@@ -108,7 +114,7 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].tag in SCOPE:
                     break
-        node = Node(tag, unwanted(tag, m[3], depth > 0))
+        node = Node(tag, *told(tag, m[3], depth > 0))
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*/?>", re.I).search(page, at)
@@ -133,56 +139,86 @@ def kept_roots(root: Node) -> tuple[list[Node], bool]:
     return (found, True) if found else ([root], False)
 
 
-def digest(node: Node, judged: frozenset[str], out: list[tuple[int, Node]]) -> bytes:
-    """Hash of a subtree; out gets the judged elements below it that hold text, each with its hash. No recursion: pages may be deep."""
-    done: dict[int, tuple[bytes, bool]] = {}
+class Judged:
+    """A subtree that recurrence may delete: hashes of its content and shape (0: not judged by shape), characters, those in links, whether it is a box."""
+
+    __slots__ = ("box", "chars", "content", "links", "node", "shape")
+
+    def __init__(self, node: Node, content: int, shape: int, chars: int, links: int, box: bool) -> None:
+        self.node, self.content, self.shape, self.chars, self.links, self.box = node, content, shape, chars, links, box
+
+
+def number(h) -> int:
+    return int.from_bytes(h.digest(), "big", signed=True)
+
+
+def digest(node: Node, article: bool, out: list[Judged]) -> tuple[bytes, int]:
+    """Hash and characters of a subtree; out gets the judged elements below it that hold text. No recursion: pages may be deep."""
+    judged = CONTAINERS if article else LEAVES
+    done: dict[int, tuple[bytes, bytes, int, int, bool]] = {}  # content, shape, characters, in links, holds a heading
     todo = [(node, False)]
     while todo:
         x, ready = todo.pop()
         if x.drop:
-            done[id(x)] = (b"", False)
+            done[id(x)] = (b"", b"", 0, 0, False)
             continue
         if not ready:
             todo.append((x, True))
             todo.extend((c, False) for c in x.children if isinstance(c, Node))
             continue
-        h, text = hashlib.blake2b(x.tag.encode(), digest_size=8), False
+        name = f"{x.tag} {x.mark}".encode("utf-8", "replace")
+        h, g, before = hashlib.blake2b(name, digest_size=8), hashlib.blake2b(b"A" + name if article else b"O" + name, digest_size=8), None
+        chars, links, heading = 0, 0, x.tag in HEADINGS
         for c in x.children:
             if isinstance(c, Node):
-                part, has = done.pop(id(c))
-                text |= has
+                part, shape, n, m, has = done.pop(id(c))
+                chars, links, heading = chars + n, links + m, heading or has
+                if shape and c.tag not in INLINE and shape != before:
+                    g.update(shape)
+                    before = shape
             else:
                 words = " ".join(c.split())
-                part, text = b"\x01" + words.encode("utf-8", "replace"), text or bool(words)
+                part = b"\x01" + words.encode("utf-8", "replace")
+                chars += len(words)
             h.update(part)
-        done[id(x)] = (h.digest(), text)
-        if text and x.tag in judged and x is not node:
-            out.append((int.from_bytes(h.digest(), "big", signed=True), x))
-    return done[id(node)][0]
+        if x.tag == "a":
+            links = chars
+        done[id(x)] = (h.digest(), g.digest(), chars, links, heading)
+        if chars and x.tag in judged and x is not node:
+            by_shape = x.tag in CONTAINERS and (x.mark or (links and not article))
+            out.append(Judged(x, number(h), number(g) if by_shape else 0, chars, links, bool(x.mark) and not article and not heading))
+    return done[id(node)][0], done[id(node)][2]
 
 
-def judged_subtrees(page: str) -> tuple[int, list[int]]:
-    """A hash of the page's kept body, and those of the subtrees that recurrence may delete."""
+def judged_subtrees(page: str) -> tuple[int, int, list[tuple[int, int]], list[tuple[int, int, int, int, bool]]]:
+    """A hash of the page's kept body, its characters, the different (content, shape) of its subtrees, and (shape, times, characters, in links, box) of its shapes."""
     roots, article = kept_roots(parse(page))
-    out: list[tuple[int, Node]] = []
-    whole = hashlib.blake2b(digest_size=8)
+    out: list[Judged] = []
+    whole, chars = hashlib.blake2b(digest_size=8), 0
     for r in roots:
-        whole.update(digest(r, CONTAINERS if article else LEAVES, out))
-    return int.from_bytes(whole.digest(), "big", signed=True), list({h for h, _ in out})
-
-
-def extract(page: str | None, templates=()) -> str:
-    """The text blocks of a page, without the subtrees whose hashes are in templates."""
+        part, n = digest(r, article, out)
+        whole.update(part)
+        chars += n
+    shapes: dict[int, list] = {}
+    for j in out:
+        if j.shape:
+            one = shapes.setdefault(j.shape, [0, 0, 0, True])
+            one[0], one[1], one[2], one[3] = one[0] + 1, one[1] + j.chars, one[2] + j.links, one[3] and j.box
+    return number(whole), chars, list({(j.content, j.shape) for j in out}), [(k, *v) for k, v in shapes.items()]
+
+
+def extract(page: str | None, contents=(), shapes=()) -> str:
+    """The text blocks of a page, without the subtrees whose hashes are in contents or shapes."""
     if not page:
         return ""
     roots, article = kept_roots(parse(page))
-    if len(templates):
-        bad = set(templates)
-        out: list[tuple[int, Node]] = []
+    if len(contents) or len(shapes):
+        by_content, by_shape = frozenset(contents), frozenset(shapes)
+        out: list[Judged] = []
         for r in roots:
-            digest(r, CONTAINERS if article else LEAVES, out)
-        for h, node in out:
-            node.drop |= h in bad
+            digest(r, article, out)
+        for j in out:
+            j.node.drop |= j.content in by_content or j.shape in by_shape
     blocks: list[str] = []
     line: list[str] = []
 
@@ -213,49 +249,64 @@ def extract(page: str | None, templates=()) -> str:
     return "\n".join(blocks)
 
 
-#: Pages whose template hashes may be sent to every executor (they are counted first); more are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Hosts whose templates may be sent to every executor (they are counted first); more are joined by shuffle.
+BROADCAST_ROWS = 20_000
+SUBTREES = "host string, body bigint, chars bigint, subtrees array<struct<content:bigint,shape:bigint>>, shapes array<struct<shape:bigint,times:bigint,chars:bigint,links:bigint,box:boolean>>"
+
 
+def templates(pages: DataFrame, least: int = 5, share: float = 0.1, shape_share: float = 0.3, most: int = 1000) -> DataFrame:
+    """(host, contents, shapes): hashes of each host's template subtrees. pages: host, html.
 
-def templates(pages: DataFrame, least: int = 5, share: float = 0.1) -> DataFrame:
-    """(host, body, hashes): the template subtrees on each distinct page body. pages: host, html."""
+    A template is on a share of the bodies, or on ``most``, so a host's list is bounded by what a body holds over that share.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(h, *judged_subtrees(p)) for h, p in zip(frame["host"], frame["html"], strict=True)]
-            yield pd.DataFrame({"host": listed(r[0] for r in rows), "body": listed(r[1] for r in rows), "hashes": listed(r[2] for r in rows)})
-
-    bodies = pages.where("length(html) > 0").mapInPandas(run, "host string, body bigint, hashes array<bigint>")
-    bodies = materialise(bodies.dropDuplicates(["host", "body"]))
-    of_host = bodies.groupBy("host").agg(F.count("*").alias("n"))
-    one = bodies.select("host", "body", F.explode("hashes").alias("hash"))
-    often = one.groupBy("host", "hash").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-    often = often.join(of_host, "host").where(F.col("c") >= share * F.col("n")).select("host", "hash")
-    return one.join(often, ["host", "hash"]).groupBy("host", "body").agg(F.collect_list("hash").alias("hashes"))
-
-
-def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = 5, share: float = 0.1) -> DataFrame:
-    """pages with __text."""
+            for lo in range(0, len(frame), 200):
+                part = frame.iloc[lo : lo + 200]
+                rows = [judged_subtrees(p) for p in part["html"]]
+                yield pd.DataFrame({
+                    "host": part["host"].to_numpy(), "body": [r[0] for r in rows], "chars": [r[1] for r in rows],
+                    "subtrees": listed([{"content": c, "shape": s} for c, s in r[2]] for r in rows),
+                    "shapes": listed([dict(zip(("shape", "times", "chars", "links", "box"), x, strict=True)) for x in r[3]] for r in rows),
+                })
+
+    bodies = materialise(pages.where("length(html) > 0").mapInPandas(run, SUBTREES).dropDuplicates(["host", "body"]))
+    of_host = bodies.groupBy("host").agg(F.count("*").alias("n"), F.sum("chars").alias("all_chars"))
+    enough = lambda part: F.greatest(F.lit(least), F.least(F.ceil(part * F.col("n")), F.lit(most)))
+    counted = bodies.select("host", F.explode("subtrees").alias("x")).groupBy("host", "x.shape", "x.content").agg(F.count("*").alias("c"))
+    contents = counted.where(F.col("c") >= least).join(of_host, "host").where(F.col("c") >= enough(F.lit(share))).groupBy("host").agg(F.collect_set("content").alias("contents"))
+    pool = counted.where("shape <> 0").groupBy("host", "shape").agg(F.count("*").alias("texts"))
+    seen = bodies.select("host", F.explode("shapes").alias("x")).groupBy("host", "x.shape").agg(
+        F.count("*").alias("c"), F.sum("x.times").alias("times"), F.sum("x.chars").alias("chars"), F.sum("x.links").alias("links"), F.min("x.box").alias("box")
+    )
+    seen = seen.where(F.col("c") >= least).join(of_host, "host").where(F.col("c") >= enough(F.lit(shape_share))).join(pool, ["host", "shape"])
+    menu, rotating = F.col("links") >= 0.6 * F.col("chars"), (F.col("texts") <= 0.2 * F.col("times")) & (F.col("times") >= 2 * least)
+    beside = F.col("box") & (F.col("chars") < 0.15 * F.col("all_chars"))
+    shapes = seen.where(menu | rotating | beside).groupBy("host").agg(F.collect_set("shape").alias("shapes"))
+    none = F.array().cast("array<bigint>")
+    both = contents.join(shapes, "host", "full_outer")
+    return both.select("host", F.coalesce("contents", none).alias("contents"), F.coalesce("shapes", none).alias("shapes"))
+
+
+def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = 5, share: float = 0.1, use_templates: bool = True) -> DataFrame:
+    """pages with __text; without use_templates nothing is judged by recurrence."""
     wide = pages.withColumns({"__host": host_of(F.col(url_col)), "__html": F.col(html_col)})
-    bad = materialise(templates(wide.select(F.col("__host").alias("host"), F.col("__html").alias("html")), least, share))
-    some = bad.limit(BROADCAST_ROWS + 1).count()
-
-    def plain(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for page, hashes in series:
-            yield listed(extract(p, () if t is None else t) for p, t in zip(page, hashes, strict=True))
+    none = F.lit(None).cast("array<bigint>")
+    if use_templates:
+        bad = materialise(templates(wide.select(F.col("__host").alias("host"), F.col("__html").alias("html")), least, share))
+        small = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        bad = bad.select(F.col("host").alias("__h"), F.col("contents").alias("__contents"), F.col("shapes").alias("__shapes"))
+        wide = wide.join(F.broadcast(bad) if small else bad, F.col("__host") == F.col("__h"), "left").drop("__h")
+    else:
+        wide = wide.withColumns({"__contents": none, "__shapes": none})
 
-    def body(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for page in series:
-            yield pd.Series([judged_subtrees(p)[0] if p else 0 for p in page], dtype="int64")
+    def plain(series: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for page, contents, shapes in series:
+            yield listed(extract(p, () if c is None else c, () if s is None else s) for p, c, s in zip(page, contents, shapes, strict=True))
 
-    if some:
-        wide = wide.withColumn("__body", F.pandas_udf(body, "bigint").asNondeterministic()("__html"))
-        bad = bad.select(F.col("host").alias("__h"), F.col("body").alias("__b"), F.col("hashes").alias("__bad"))
-        wide = wide.join(F.broadcast(bad) if some <= BROADCAST_ROWS else bad, (F.col("__host") == F.col("__h")) & (F.col("__body") == F.col("__b")), "left").drop("__h", "__b", "__body")
-    else:
-        wide = wide.withColumn("__bad", F.lit(None).cast("array<bigint>"))
-    wide = wide.withColumn("__text", F.pandas_udf(plain, "string").asNondeterministic()("__html", "__bad"))
-    return wide.drop("__host", "__html", "__bad")
+    wide = wide.withColumn("__text", F.pandas_udf(plain, "string").asNondeterministic()("__html", "__contents", "__shapes"))
+    return wide.drop("__host", "__html", "__contents", "__shapes")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
