@@ -2,15 +2,17 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.llm import decontaminate, html_text, jaccard_join, katz, language, mixing, neighbours, quality, secrets, url_filter
+from tracefold.llm import catalogue, decontaminate, html_text, jaccard_join, katz, language, mixing, neighbours, quality, secrets, url_filter
 from tracefold.llm.graph import components
 
 
@@ -191,6 +193,33 @@ def test_language(spark):
     assert language.predict(spark.createDataFrame(ask, "doc_id bigint, text string, want string, score double"), nothing).first().lang_pred == "und"
 
 
+def test_language_by_restatement(spark):
+    rng = random.Random(31)
+    say = lambda letters: "".join(rng.choice(letters + " .,1") for _ in range(rng.randrange(20, 200)))
+    tongues = {"aa": "abcdefg", "bb": "efghijkß", "cc": "ijklmnoñ"}
+    train = [(say(x), k) for k, x in tongues.items() for _ in range(8)] + [(None, "aa"), ("abc", None)]
+    ask = [(i, say(x)) for i, x in enumerate([*tongues.values()] * 4)] + [(50, "ABC  abc"), (51, "z"), (52, "..")]
+    coder = language.Encoder()
+
+    def vector(text):
+        line = re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0].isalpha() else " ", (text or "").lower(), flags=re.S)
+        line = re.sub(" +", " ", f" {line} ")
+        out = np.zeros(language.DIM)
+        for a, b, c in zip(line, line[1:], line[2:]):
+            out += np.roll(coder.letter(ord(a)).astype(float), 2) * np.roll(coder.letter(ord(b)).astype(float), 1) * coder.letter(ord(c))
+        return out / max(np.linalg.norm(out), 1e-9), any(x.isalpha() for x in line)
+
+    sums = {k: sum(np.rint(vector(t)[0] * 10_000) for t, x in train if x == k and t and vector(t)[1]) for k in tongues}
+    frame = spark.createDataFrame(train, "text string, lang string")
+    prototypes = language.fit(frame, frame["text"], frame["lang"])
+    got = {r.doc_id: r for r in language.predict(spark.createDataFrame(ask, "doc_id bigint, text string"), prototypes).collect()}
+    for i, t in ask:
+        v, has = vector(t)
+        cosine = {k: float(v @ s / np.linalg.norm(s)) for k, s in sums.items()}
+        best = max(cosine, key=cosine.get) if has else "und"
+        assert got[i].lang_pred == best and abs(got[i].score - (max(cosine[best], 0) if has else 0)) < 1e-3, (i, cosine)
+
+
 def test_trigram_vectors_are_bound_and_permuted():
     coder = language.Encoder(256)
     a, b, c = (coder.letter(ord(x)).astype(int) for x in "abc")
@@ -595,3 +624,37 @@ def test_quality(spark):
     assert quality.score(docs, vectors, flat).first().score == 1.0
     empty = docs.where("false")
     assert quality.score(empty, quality.word_vectors(empty), quality.fit(empty, labels, vectors)).count() == 0
+
+
+# --- the queries
+
+DATA = "/root/testdata/sf0.001"
+SHAPES = {
+    "op1_jaccard_join": ("doc_id bigint, n_shingles bigint, component_id bigint", None, "documents"),
+    "op2_neighbours": ("query_id bigint, rank int, vec_id bigint, score double", None, None),
+    "op3_language_id": ("doc_id bigint, held_out boolean, lang_pred string, score double", (4, 2), "documents"),
+    "op4_url_filter": ("page_id bigint, host string, path string, rule string, verdict string", None, "pages"),
+    "op5_katz": ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double", (7, 2), "documents"),
+    "op7_secret_scan": ("doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string", None, "documents"),
+    "op8_html_text": ("page_id bigint, url string, text string, n_chars bigint", None, "pages"),
+    "op10_quality": ("doc_id bigint, held_out boolean, score double, predicted int", (3, 1), "documents"),
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", SHAPES)
+def test_query_contracts(spark, name):
+    shape, fold, whole = SHAPES[name]
+    df = catalogue.QUERIES[name](spark, DATA)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    assert list(kinds.items())[: shape.count(",") + 1] == [tuple(x.split(" ")) for x in shape.split(", ")]
+    rows = df.collect()
+    if whole:
+        assert len(rows) == spark.read.parquet(f"{DATA}/{whole}.parquet").count()
+    if fold:
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % fold[0] == fold[1]) for r in rows) and {r.held_out for r in rows} == {True, False}
+    if name in catalogue.SQL:
+        import duckdb
+
+        duckdb.sql(f"create or replace view pages as select * from '{DATA}/pages.parquet'")
+        assert sorted(map(str, map(tuple, rows))) == sorted(map(str, duckdb.sql(f"select {', '.join(kinds)} from ({catalogue.SQL[name]})").fetchall()))

