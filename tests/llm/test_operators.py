@@ -581,7 +581,7 @@ def test_decontaminate_paraphrases(spark):
 
 
 def test_decontaminate_blocks_and_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "TERMS", 80)
+    monkeypatch.setattr(decontaminate, "TERMS", 300)
     monkeypatch.setattr(decontaminate, "BATCH", 500)
     rng = random.Random(13)
     say = lambda n, v: [f"{v}{rng.randrange(3000)}" for _ in range(n)]
