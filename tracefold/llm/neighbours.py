@@ -183,7 +183,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
 
     def meet(ask: DataFrame, reach: float) -> DataFrame:
         left = classes.mapInPandas(index, "bucket bigint, chunk bigint, leaf bigint, ids array<bigint>, v array<double>")
-        right = ask.repartition(F.col("id")).mapInPandas(visit(reach), "bucket bigint, chunk bigint, qid bigint, mask bigint, v array<double>")
+        right = ask.repartition(max(1, spark.sparkContext.defaultParallelism), "id").mapInPandas(visit(reach), "bucket bigint, chunk bigint, qid bigint, mask bigint, v array<double>")
         return left.groupBy("bucket", "chunk").cogroup(right.groupBy("bucket", "chunk")).applyInPandas(rank, "query_id bigint, vec_id bigint, score double")
 
     met, wide = meet(asked, share), share < GRID_ALL
