@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def truncate_chars(s: Column, n: int) -> Column:
     """At most n characters; a cut ends in ``...``, which counts."""
     if n <= 3:
@@ -33,21 +40,31 @@ def prefix_bytes(s: Column, n: int) -> Column:
     return F.when(F.octet_length(s) <= n, s).otherwise(F.decode(F.substring(b, F.lit(1), at), "UTF-8"))
 
 
-def suffix_bytes(s: Column, n: int) -> Column:
+def suffix_bytes(s: Column, n: int | Column) -> Column:
     """The longest suffix of at most n bytes of UTF-8."""
+    n = F.lit(n) if isinstance(n, int) else n
     b, size = F.encode(s, "UTF-8"), F.octet_length(s)
-    if n == 0:
-        return F.when(s.isNotNull(), F.lit(""))
     at = F.coalesce(*[F.when(~_continues(b, size - n + 1 + k), size - n + 1 + k) for k in range(4)])
-    return F.when(size <= n, s).otherwise(F.decode(F.substring(b, at, F.lit(n)), "UTF-8"))
+    return F.when(size <= n, s).when(n <= 0, F.lit("")).otherwise(F.decode(F.substring(b, at, n), "UTF-8"))
 
 
 def truncate_middle(s: Column, n: int, joint: str = " ... ") -> Column:
-    """At most n characters that keep both ends; the end gets the larger share."""
-    room = max(n - len(joint), 0)
-    head = room // 3
-    cut = F.concat(F.rtrim(F.substring(s, 1, head)), F.lit(joint), F.ltrim(F.right(s, F.lit(room - head))))
-    return F.when(F.char_length(s) <= n, s).otherwise(cut if room else F.substring(s, 1, n))
+    """At most n characters that keep both ends; the end gets three fifths and begins with a word if one begins within 20 characters."""
+    if n < 24:
+        return truncate_chars(s, n)
+    room = n - len(joint)
+    end = room * 3 // 5
+    tail = F.right(s, F.lit(end))
+    inside = F.substr(s, F.char_length(s) - end, F.lit(1)).rlike(r"\S") & tail.rlike(r"^\S")
+    tail = F.when(inside, F.coalesce(F.nullif(F.regexp_extract(tail, r"(?s)^\S{1,19}(\s.*)$", 1), F.lit("")), tail)).otherwise(tail)
+    cut = F.concat(F.regexp_replace(F.substring(s, 1, room - end), r"\s+$", ""), F.lit(joint), F.regexp_replace(tail, r"^\s+", ""))
+    return F.when(F.char_length(s) <= n, s).otherwise(cut)
+
+
+def compact_rules(line: Column) -> Column:
+    """Runs of four or more of one rule mark become three; a line of nothing but marks and blanks is null."""
+    short = F.regexp_replace(line, r"([=\-_*#~])\1{3,}", "$1$1$1")
+    return F.when(~short.rlike(r"(?U)^[\s=\-_*#~]*$"), short)
 
 
 def collapse_whitespace(s: Column) -> Column:

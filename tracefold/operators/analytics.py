@@ -143,6 +143,13 @@ def verdict(usable: Column, valid_b: Column, valid_t: Column, correct_b: Column,
     )
 
 
+def pooled_verdicts(pairs: DataFrame, keys: list[str], verdicts: list[str]) -> DataFrame:
+    """Per keys how often each verdict fell, how many pairs compare (no reason against them), and the median change of those alone."""
+    counts = [F.count_if(F.col("verdict") == v).alias(v.lower()) for v in verdicts]
+    fair = F.when(F.col("comparable"), F.col("change"))
+    return pairs.groupBy(*keys).agg(*counts, F.count_if(F.col("comparable")).alias("comparable_pairs"), median(fair).alias("median_change"))
+
+
 def first_loss(layers: DataFrame, keys: list[str]) -> DataFrame:
     """layers (keys, ordinal, layer, present: true, false or null for not applicable): where a present fact first goes missing."""
     order = Window.partitionBy(*keys).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import commands as cmd
+from ..functions import ingest
 from ..functions import text as tx
 from ..functions.redact import redact
 from ..operators import analytics as an
+from ..operators import checkpoints as ck
 from ..operators import delivery, folds, lookups, order, ranking, render
 from ..operators import edits as life
 from ..sources import ledger
@@ -304,7 +306,7 @@ def dead_end_members(spark, sf_dir):
 
 @query(
     "select doc_id, left(text, list_max(list_filter(range(0, 42), lambda k: strlen(left(text, k)) <= 41))) as head, right(text, list_max(list_filter(range(0, 42), lambda k: strlen(right(text, k)) <= 41))) as tail,"
-    " case when length(text) <= 60 then text else concat(rtrim(left(text, 18), ' '), ' ... ', ltrim(right(text, 37), ' ')) end as middle from documents"
+    " case when length(text) <= 60 then text else concat(regexp_replace(left(text, 22), '\\s+$', ''), ' ... ', regexp_replace(case when regexp_matches(substr(text, length(text) - 33, 1), '\\S') and regexp_matches(left(right(text, 33), 1), '\\S') and regexp_matches(left(right(text, 33), 20), '\\s') then regexp_replace(right(text, 33), '^\\S+', '') else right(text, 33) end, '^\\s+', '')) end as middle from documents"
 )
 def byte_cuts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", tx.prefix_bytes(F.col("text"), 41).alias("head"), tx.suffix_bytes(F.col("text"), 41).alias("tail"), tx.truncate_middle(F.col("text"), 60).alias("middle"))
@@ -625,3 +627,153 @@ def trace_first_loss(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", o.alias("ordinal"))
     present = F.when((F.col("doc_id") + F.col("ordinal")) % 5 == 0, F.lit(None)).otherwise(F.col("doc_id") % (F.col("ordinal") + 2) != 0)
     return an.first_loss(rows.select("doc_id", "ordinal", F.concat(F.lit("layer"), F.col("ordinal").cast("string")).alias("layer"), present.alias("present")), ["doc_id"])
+
+
+# --- checkpoints and what ingest keeps
+
+
+@query(
+    f"with {CKPT}, rq as (select session_id, id, logical_ms as ts_ms, position from tl where hook_event = 'PostToolUseFailure')"
+    " select session_id, id from rq r where not exists (select 1 from ck c where c.session_id = r.session_id and (c.checkpoint_id = r.id or c.created_ms >= r.ts_ms))"
+    " and not exists (select 1 from tl t where t.session_id = r.session_id and t.position > r.position and ((t.hook_event = 'PreCompact' and t.logical_ms > r.ts_ms) or (t.hook_event = 'SessionStart' and t.source = 'clear')))"
+)
+def current_requests(spark, sf_dir):
+    """Requests at every failed command: which of them no checkpoint has settled and nothing later overtakes."""
+    timeline = told(spark, sf_dir).drop("ts_ms").withColumnRenamed("logical_ms", "ts_ms")
+    requests = timeline.where("hook_event = 'PostToolUseFailure'").select("session_id", "id", "ts_ms")
+    made = checkpoints(told(spark, sf_dir)).withColumn("watermark", F.col("checkpoint_id"))
+    return ck.current_requests(requests, made, timeline).select("session_id", "id")
+
+
+@query(
+    f"with {CKPT} select session_id, checkpoint_id, case when row_number() over (partition by session_id order by created_ms desc, checkpoint_id desc) = 1 then 'PENDING' else 'SUPERSEDED' end as state from ck"
+    " union all select session_id, 0 - min(id) as checkpoint_id, 'SUPERSEDED' as state from tl where session_id in (select session_id from ck) group by 1"
+)
+def checkpoint_freeze(spark, sf_dir):
+    """States after all checkpoints of the ledger are frozen, where every session had a live continuation before."""
+    timeline = told(spark, sf_dir)
+    live = timeline.groupBy("session_id").agg((-F.min("id")).alias("checkpoint_id"))
+    return ck.freeze(checkpoints(timeline).withColumn("text", F.col("session_id")), live)[1]
+
+
+@query(
+    f"with {CKPT} select checkpoint_id, sha256(session_id) as digest, cast(octet_length(encode(session_id)) as integer) as bytes from ck"
+)
+def checkpoint_records(spark, sf_dir):
+    made = checkpoints(told(spark, sf_dir)).withColumn("text", F.col("session_id"))
+    return ck.freeze(made, made.select("session_id", "checkpoint_id").where("false"))[0].select("checkpoint_id", "digest", "bytes")
+
+
+@query(
+    f"with {LED}, d as (select id, left(sha256(concat(hook_event, '|', session_id, '|d', cast(id % 5 as varchar))), 32) as delivery_key from led where hook_event in ('UserPromptSubmit', 'SessionStart'))"
+    " select min(id) as id, delivery_key from d where delivery_key not in (select delivery_key from d where id % 3 = 0) group by 2"
+)
+def deliver_once(spark, sf_dir):
+    """Every third delivery was made before; of the others the first of each key goes out."""
+    due = flat(spark, sf_dir).where("hook_event in ('UserPromptSubmit', 'SessionStart')")
+    due = due.select("id", ck.delivery_key(F.col("hook_event"), F.col("session_id"), F.concat(F.lit("d"), (F.col("id") % 5).cast("string"))).alias("delivery_key"))
+    return ck.undelivered(due, due.where("id % 3 = 0")).select("id", "delivery_key")
+
+
+@query(
+    f"with {CMDS}, e as (select distinct session_id, epoch from tl), s as (select session_id, epoch from tl where prompt like 'task:%' union select session_id, epoch from cmds union select session_id, epoch from tl where post_hash is not null)"
+    " select e.session_id, e.epoch, s.session_id is not null as has_state from e left join s on e.session_id = s.session_id and e.epoch = s.epoch"
+)
+def restorable_epochs(spark, sf_dir):
+    """Epochs that a root, a command or an edit gives something to restore."""
+    timeline = told(spark, sf_dir)
+    intents = timeline.where("prompt like 'task:%'").select("session_id", "epoch", F.lit("ROOT").alias("level"), F.lit(None).cast("bigint").alias("superseded_ms"))
+    none = intents.where("false")
+    return ck.has_state(timeline.select("session_id", "epoch").distinct(), intents, none, folds.commands(timeline), folds.edits(timeline))
+
+
+@query(f"with {LED} select project_id, session_id, max(ts_ms) as last_ms from led where project_id = 'p3' group by 1, 2")
+def workspace_sessions(spark, sf_dir):
+    """Sessions of one workspace: the lookup that a restore makes first."""
+    sessions = flat(spark, sf_dir).groupBy("project_id", "session_id").agg(F.max("ts_ms").alias("last_ms"))
+    return ck.in_workspace(sessions, "p3")
+
+
+@query(
+    f"with {LED}, d as (select *, max(case when not spooled then id end) over (partition by session_id) as d from led)"
+    " select session_id, max(case when id = d then ts_ms end) as last_direct_ts, max(case when spooled and (d is null or id > d) then ts_ms end) as max_spooled_ts_since from d group by 1"
+)
+def ordering_tail(spark, sf_dir):
+    return ck.ordering_tail(flat(spark, sf_dir))
+
+
+@query(
+    f"with {CMDS}, r as (select *, case event_id % 7 when 0 then '' when 1 then 'tests' else concat('tests/t', cast(event_id % 5 as varchar), '.py') end as name from cmds where kind = 'test')"
+    ", fl as (select session_id, epoch, name, ts_ms, event_id, 0 as nth, concat('tests/t', cast(event_id % 5 as varchar), '.py::test_a') as test_id from r where outcome = 'FAIL'"
+    " union all select session_id, epoch, name, ts_ms, event_id, 1, concat('tests/t', cast(event_id % 5 as varchar), '.py::test_', cast(event_id % 8 as varchar)) from r where outcome = 'FAIL')"
+    ", t as (select session_id, epoch, test_id, sum(case when name like '%.py' then 2 else 1 end) as failures, min((ts_ms, event_id, nth)) as seen, min((ts_ms, event_id)) as seen_at, max((ts_ms, event_id)) as last_fail, arg_max(event_id, (ts_ms, event_id)) as last_fail_id, arg_max(ts_ms, (ts_ms, event_id)) as last_fail_ms from fl group by 1, 2, 3)"
+    ", p as (select session_id, epoch, name, ts_ms, event_id, (ts_ms, event_id) as at from r where outcome = 'PASS')"
+    ", j as (select t.session_id, t.epoch, t.test_id, failures, seen, last_fail_id, last_fail_ms, cast(failures + coalesce(sum(case when p.at > seen_at then case when p.name like '%.py' then 2 else 1 end end), 0) as bigint) as focus, arg_max(p.event_id, p.at) filter (where p.at > last_fail) as passed_by"
+    " from t left join p on p.session_id = t.session_id and p.epoch = t.epoch and (p.name = '' or starts_with(t.test_id, concat(p.name, '/')) or starts_with(t.test_id, concat(p.name, '::'))) group by t.session_id, t.epoch, t.test_id, failures, seen, seen_at, last_fail, last_fail_id, last_fail_ms)"
+    " select session_id, epoch, test_id, cast(row_number() over (partition by session_id, epoch order by focus desc, passed_by is null desc, last_fail_ms desc, seen, test_id) as integer) as rank, focus, passed_by is null as failing, last_fail_id, last_fail_ms, passed_by from j qualify rank <= 6"
+)
+def test_statuses_top6(spark, sf_dir):
+    """Runs that name a file, a directory or nothing; two tests fail in each failing one."""
+    runs = folds.commands(told(spark, sf_dir)).where("kind = 'test'")
+    file = F.concat(F.lit("tests/t"), (F.col("event_id") % 5).cast("string"), F.lit(".py"))
+    names = F.when(F.col("event_id") % 7 == 0, F.array().cast("array<string>")).when(F.col("event_id") % 7 == 1, F.array(F.lit("tests"))).otherwise(F.array(file))
+    failed = F.array(F.concat(file, F.lit("::test_a")), F.concat(file, F.lit("::test_"), (F.col("event_id") % 8).cast("string")))
+    return ck.test_statuses(runs.withColumns({"runner": F.lit("pytest"), "names": names, "failed": failed}))
+
+
+@query(
+    "with w as (select p_partkey, string_split(p_name, ' ') as o from part), n as (select p_partkey, o, case when p_partkey % 3 = 0 then o else list_concat(o[:p_partkey % 2 + 1], ['changed'], o[p_partkey % 2 + 3:]) end as n from w)"
+    ", d as (select p_partkey, o, n, list_min(list_filter(range(1, greatest(len(o), len(n)) + 1), lambda i: o[i] is distinct from n[i])) as i from n)"
+    " select p_partkey, case when i is not null then concat_ws(chr(10), '- ' || nullif(o[i], ''), '+ ' || n[i]) end as excerpt, nullif(o[i], '') as removed, n[i] as added from (select p_partkey, o, n, i from d where i is not null) union all select p_partkey, null, null, null from d where i is null"
+)
+def edit_excerpts(spark, sf_dir):
+    """A changed word of each part's name, one word a line."""
+    words = docs(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("o"))
+    at = (F.col("p_partkey") % 2 + 1).cast("int")
+    new = F.when(F.col("p_partkey") % 3 == 0, F.col("o")).otherwise(F.concat(F.slice("o", F.lit(1), at), F.array(F.lit("changed")), F.slice("o", at + 2, F.lit(1000))))
+    joined = words.select("p_partkey", F.array_join("o", "\n").alias("old"), F.array_join(new, "\n").alias("new"))
+    found = joined.withColumn("excerpt", ingest.first_difference(F.col("old"), F.col("new")))
+    return found.select("p_partkey", "excerpt", *[c.alias(n) for n, c in ingest.split_excerpt(F.col("excerpt")).items()])
+
+
+@query(
+    "select p_partkey, case when p_partkey % 4 = 0 then null else concat(repeat('=', case when p_partkey % 7 >= 4 then 3 else p_partkey % 7 end), ' ', p_name, ' ', repeat('-', case when p_partkey % 5 >= 4 then 3 else p_partkey % 5 end)) end as x from part"
+)
+def compact_rules(spark, sf_dir):
+    n = lambda mark, m: F.repeat(F.lit(mark), (F.col("p_partkey") % m).cast("int"))
+    line = F.concat(n("=", 7), F.lit(" "), F.when(F.col("p_partkey") % 4 == 0, F.lit("__")).otherwise(F.col("p_name")), F.lit(" "), n("-", 5))
+    return docs(spark, sf_dir, "part").select("p_partkey", tx.compact_rules(line).alias("x"))
+
+
+@query(
+    "with v as (select o_custkey % 10 as grp, case o_orderkey % 3 when 0 then 'BETTER' when 1 then 'WORSE' else 'TIE' end as verdict, o_orderkey % 4 <> 0 as comparable, o_totalprice as change from orders)"
+    " select grp, count_if(verdict = 'BETTER') as better, count_if(verdict = 'WORSE') as worse, count_if(verdict = 'TIE') as tie, count_if(comparable) as comparable_pairs, round(median(change) filter (where comparable), 4) as median_change from v group by 1"
+)
+def pooled_verdicts(spark, sf_dir):
+    o = docs(spark, sf_dir, "orders")
+    verdict = F.when(F.col("o_orderkey") % 3 == 0, "BETTER").when(F.col("o_orderkey") % 3 == 1, "WORSE").otherwise("TIE")
+    pairs = o.select((F.col("o_custkey") % 10).alias("grp"), verdict.alias("verdict"), (F.col("o_orderkey") % 4 != 0).alias("comparable"), F.col("o_totalprice").alias("change"))
+    return an.pooled_verdicts(pairs, ["grp"], ["BETTER", "WORSE", "TIE"]).withColumn("median_change", F.round("median_change", 4))
+
+
+@query(
+    "with s as (select o_orderkey, o_orderkey % 6 as a, o_custkey % 6 as b from orders), n as (select *, greatest(case when a = 5 then 4 else a end, case when b = 5 then 4 else b end) as w from s)"
+    " select o_orderkey, ['MEASURED', 'DERIVED', 'ESTIMATED', 'INCONCLUSIVE', 'UNAVAILABLE'][w + 1] as status from n"
+)
+def weakest_status(spark, sf_dir):
+    """The status of a figure made from two others; an unknown one counts as unavailable."""
+    of = lambda c: F.get(F.array(*[F.lit(x) for x in an.STATUSES]), (F.col(c) % 6).cast("int"))
+    return docs(spark, sf_dir, "orders").select("o_orderkey", an.weakest_status(of("o_orderkey"), of("o_custkey")).alias("status"))
+
+
+@query(
+    f"with {TL}, m as (select session_id, epoch, position, id, prompt as text from tl where prompt is not null and id % 2 = 0), n as (select * from m qualify row_number() over (partition by session_id, epoch order by position desc) <= 12)"
+    ", c as (select *, case when id % 3 = 0 then concat(text, ' in src/a.py') else text end as said from n)"
+    " select session_id, epoch, id from c where id % 3 = 0 qualify row_number() over (partition by session_id, epoch order by position desc) = 1"
+)
+def earlier_code_message(spark, sf_dir):
+    """Every second prompt counts as superseded, every third of these names a file."""
+    said = told(spark, sf_dir).where("prompt is not null and id % 2 = 0")
+    text = F.when(F.col("id") % 3 == 0, F.concat("prompt", F.lit(" in src/a.py"))).otherwise(F.col("prompt"))
+    intents = said.select("session_id", "epoch", "position", "id", text.alias("text"), F.lit("LATEST").alias("level"), F.col("logical_ms").alias("superseded_ms"))
+    return ranking.earlier_code_message(intents).select("session_id", "epoch", "id")

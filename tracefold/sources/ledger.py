@@ -115,3 +115,37 @@ def read_transcripts(spark: SparkSession, path: str, head: int = 256 * 1024) ->
     by_line = lambda value, keep: F.min_by(value, F.when(keep & value.isNotNull(), F.col("n")))
     title = F.coalesce(by_line(at("aiTitle"), at("type") == "ai-title"), by_line(said, own))
     return lines.groupBy("session_id", "modified", "bytes").agg(F.trim(F.regexp_replace(title, r"\s+", " ")).alias("title"), by_line(at("cwd"), F.lit(True)).alias("cwd"))
+
+
+def write_spool(events: DataFrame, path: str) -> None:
+    """Late events, a file each, marked as spooled; read_spool reads them back."""
+    body = F.regexp_replace(F.regexp_replace(F.coalesce("payload", F.lit("{}")), r'"spooled"\s*:\s*(?:true|false)\s*,?\s*', ""), r"^\s*\{\s*", "")
+    marked = F.concat(F.lit('{"spooled":true'), F.when(F.trim(body) == "}", F.lit("")).otherwise(F.lit(",")), body)
+    rest = F.to_json(F.struct(*[c for c in events.columns if c != "payload"]))
+    line = F.concat(F.regexp_replace(rest, r"\}$", ""), F.lit(',"payload":'), marked, F.lit("}"))
+    events.select(line.alias("value")).write.option("maxRecordsPerFile", 1).mode("append").text(path)
+
+
+def read_staged(spark: SparkSession, path: str) -> DataFrame:
+    """(session_id, generation, record): the newest readable record of each session among files named <anything>-<generation>.json."""
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.json$", 1).try_cast("bigint").alias("generation"), F.trim("value").alias("record"))
+    session = F.get_json_object("record", "$.session_id")
+    good = raw.where(F.try_parse_json("record").isNotNull() & session.isNotNull() & F.col("generation").isNotNull())
+    return good.groupBy(session.alias("session_id")).agg(F.max("generation").alias("generation"), F.max_by("record", "generation").alias("record"))
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, malformed): a JSON object per line by schema; lines that do not parse come back whole with their file, blank ones not at all."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value").where(F.trim("value") != "")
+    whole = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")
+    rows = raw.where(whole).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return rows, raw.where(~F.coalesce(whole, F.lit(False)))
+
+
+def documents(df: DataFrame) -> DataFrame:
+    """(value): a JSON document per row, absent fields as null, for a text sink."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_documents(df: DataFrame, path: str) -> None:
+    documents(df).write.mode("errorifexists").text(path)
