@@ -155,3 +155,15 @@ def test_states_of_tests(spark):
     got = ck.test_statuses(df).orderBy("session_id", "rank").collect()
     for s in ("s0", "s1"):
         assert [(r["test_id"], r["focus"], r["passed_by"]) for r in got if r["session_id"] == s] == plain_statuses([r for r in runs if r["session_id"] == s])
+
+
+def test_hooks_are_stored_redacted(spark, tmp_path):
+    key = "ghp_" + "a1B2" * 10
+    rows = [{"session_id": "s", "hook_event_name": "UserPromptSubmit", "prompt": f"use {key} now"},
+            {"session_id": "s", "hook_event_name": "PostToolUse", "tool_name": "Bash", "tool_input": {"command": f"run {key}"}, "tool_response": {"stdout": key, "stderr": f"no {key}"}, "error": f"Exit code 3 {key}"},
+            {"session_id": "s", "hook_event_name": "UserPromptSubmit", "prompt": "plain"}]
+    (tmp_path / "hooks.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    got = [json.loads(r["payload"]) for r in ledger.read_hooks(spark, str(tmp_path / "hooks.jsonl")).collect()]
+    assert not any("a1B2" in json.dumps(p) for p in got)
+    assert [p.get("prompt") for p in got] == ["use [REDACTED:github_token] now", None, "plain"] and got[1]["exit_code"] == 3
+    assert got[1]["command"] == "run [REDACTED:github_token]" and got[1]["stdout_tail"] == "[REDACTED:github_token]"

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.redact import redact
+from ..functions.text import let
+
 EVENT = "id bigint, dedupe_key string, session_id string, project_id string, agent_id string, hook_event string, tool_name string, tool_use_id string, ts_ms bigint, payload string"
 OBSERVED = "array<struct<path:string,hash:string,size:bigint>>"
 PAYLOAD = (
@@ -50,22 +53,23 @@ def parsed(events: DataFrame) -> DataFrame:
 def read_hooks(spark: SparkSession, path: str) -> DataFrame:
     """Hook payloads, a JSON object per line, as ledger rows without ids; what does not parse becomes a ``malformed`` event.
 
-    Session ids are salvaged from broken text. ``ts_ms`` is the payload's own, else null for the caller to fill.
+    Credentials in prompts, summaries, commands, output and errors are redacted before anything is stored. Session ids are salvaged from broken text. ``ts_ms`` is the payload's own, else null for the caller to fill.
     """
     raw = spark.read.text(path).select(F.regexp_replace("value", "^\\uFEFF", "").alias("raw")).where(F.trim("raw") != "")
     at = lambda *names: F.coalesce(*[F.get_json_object("raw", f"$.{n}") for n in names])
     whole = F.try_parse_json("raw").isNotNull() & F.trim("raw").startswith("{")
     salvaged = F.nullif(F.regexp_extract("raw", r'"session_id"\s*:\s*"([^"]*)"', 1), F.lit(""))
     error = at("error", "error_message")
+    safe = lambda c: let(c, redact)
     response = lambda n: at(f"tool_response.{n}", f"tool_output.{n}")
     payload = F.to_json(
         F.struct(
-            at("prompt").alias("prompt"), at("prompt_id").alias("prompt_id"), at("source").alias("source"), at("model").alias("model"), at("transcript_path").alias("transcript_path"),
-            at("reason").alias("reason"), at("trigger").alias("trigger"), at("compact_summary", "summary").alias("summary"),
+            safe(at("prompt")).alias("prompt"), at("prompt_id").alias("prompt_id"), at("source").alias("source"), at("model").alias("model"), at("transcript_path").alias("transcript_path"),
+            at("reason").alias("reason"), at("trigger").alias("trigger"), safe(at("compact_summary", "summary")).alias("summary"),
             at("tool_input.file_path", "tool_input.path", "tool_input.notebook_path").alias("path"), at("tool_input.pattern").alias("pattern"),
-            at("tool_input.command").alias("command"), at("cwd").alias("cwd"), error.alias("error"),
+            safe(at("tool_input.command")).alias("command"), at("cwd").alias("cwd"), safe(error).alias("error"),
             F.coalesce(at("exit_code", "exitCode", "tool_response.exit_code", "tool_response.exitCode").try_cast("bigint"), F.regexp_extract(error, r"^Exit code (-?\d+)", 1).try_cast("bigint")).alias("exit_code"),
-            response("interrupted").try_cast("boolean").alias("interrupted"), response("stdout").alias("stdout_tail"), response("stderr").alias("stderr_tail"),
+            response("interrupted").try_cast("boolean").alias("interrupted"), safe(response("stdout")).alias("stdout_tail"), safe(response("stderr")).alias("stderr_tail"),
             *[c.alias(n) for n, c in edit_lines().items()],
         )
     )
