@@ -12,13 +12,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows that reach a Python worker at once, where the session sets none: a count of rows alone does not bound long texts.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Has texts travel to Python workers in batches of BATCH_BYTES; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Makes sure that checkpoint() has a folder: the one that spark.checkpoint.dir names. Without it, a local master (tests) gets one of this machine; a cluster is an error."""
-    context = spark.sparkContext
+    context = bounded(spark).sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.match(r"local(\[|$)", context.master):

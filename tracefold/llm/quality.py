@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, listed, set_aside, table
+from .common import bounded, crc_mod, listed, set_aside, table
 
 BUCKETS, DIM, NONZERO = 1 << 14, 32, 4
 SAMPLE = 20_000
@@ -59,6 +59,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Unit vectors of all classes, learnt from every row of docs."""
+    bounded(docs.sparkSession)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, sign = index_vectors()
