@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,20 @@ def listed(values) -> pd.Series:
     return pd.Series(list(values), dtype=object)
 
 
+#: Bytes of a text that are split at once: a very long text never is one list of words.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(data: bytes, gap: re.Pattern[bytes]) -> Iterator[bytes]:
+    """data in pieces of some PIECE_BYTES, cut where gap (one byte that no word holds) matches."""
+    lo = 0
+    while lo < len(data):
+        cut = gap.search(data, lo + PIECE_BYTES)
+        hi = cut.start() if cut else len(data)
+        yield data[lo:hi] if lo or cut else data
+        lo = hi
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
