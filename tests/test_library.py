@@ -13,7 +13,7 @@ from tracefold.functions import commands as cmd
 from tracefold.functions import prompts
 from tracefold.functions import text as tx
 from tracefold.functions.redact import redact
-from tracefold.operators import delivery, edits, folds, order, render
+from tracefold.operators import edits, folds, order, render
 from tracefold.plans import catalogue
 from tracefold.sources import ledger
 from tracefold.streaming import ledger as stream
@@ -191,12 +191,6 @@ def test_lifecycle_over_groups(spark):
     assert got == want and dead.count() > 0
 
 
-def test_delivery(spark):
-    steps = [("s", 1, 1, "checkpoint"), ("s", 2, 2, "deliver"), ("s", 3, 3, "evidence"), ("s", 4, 4, "checkpoint"), ("s", 5, 5, "checkpoint"), ("s", 6, 6, "deliver"), ("s", 7, 7, "deliver"), ("s", 8, 8, "deliver"), ("s", 9, 9, "deliver"), ("t", 1, 1, "deliver"), ("t", 2, 2, "checkpoint"), ("t", 3 + delivery.WEEK_MS, 3, "deliver")]
-    got = {(r.session_id, r.checkpoint_id): (r.state, r.attach_count) for r in delivery.continuations(spark.createDataFrame(steps, "session_id string, ts_ms bigint, id bigint, op string")).collect()}
-    assert got == {("s", 1): ("CONFIRMED", 1), ("s", 4): ("SUPERSEDED", 0), ("s", 5): ("EXPIRED", 3), ("t", 2): ("EXPIRED", 0)}
-
-
 def test_render_keeps_the_budget(spark):
     rng = random.Random(2)
     rows = [(f"s{s}", rng.choice(render.SECTIONS)[0], k, " ".join(["word"] * rng.randrange(1, 60))) for s in range(10) for k in range(40)]

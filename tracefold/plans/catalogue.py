@@ -360,9 +360,36 @@ def with_git(timeline: DataFrame) -> DataFrame:
     return timeline.withColumn("git", F.when(F.col("command").isNotNull() & ((F.col("id") % 11 == 0) | (F.col("id") % 13 == 0)), git))
 
 
-@query()
+DELIVERY = f"""with recursive {LED}, ops as (
+    select session_id, id, ts_ms, spooled as late, case when hook_event = 'PreCompact' then 'checkpoint' when source = 'clear' then 'expire' when source = 'compact' then 'session_start'
+        when hook_event = 'UserPromptSubmit' then 'user_prompt' when hook_event = 'PostToolUse' then 'post_tool' when hook_event = 'PostToolUseFailure' then 'failure' end as op from led),
+    steps as materialized (select *, row_number() over (partition by session_id order by id) as n from ops where op is not null),
+    f as (
+        select distinct session_id, 0::bigint as n, null::bigint as c, null::varchar as st, 0 as k, null::bigint as am, null::varchar as ch, null::bigint as cr, null::bigint as up, null::bigint as sm, null::bigint as si, 0::bigint as newest, 0::bigint as cleared,
+            null::bigint as e_c, null::varchar as e_st, 0 as e_k, null::bigint as e_am, null::varchar as e_ch, null::bigint as e_up, null::bigint as e_cm, null::bigint as e_ce from steps
+        union all
+        select session_id, n, case when fresh then id when ends is null then c end, case when fresh then 'PENDING' when attach then 'ATTACHED' when ends is null then st end, case when fresh then 0 when attach then k + 1 else k end,
+            case when fresh or ends is not null then null when attach then ts_ms else am end, case when fresh or ends is not null then null when attach then op else ch end, case when fresh then ts_ms when ends is null then cr end, case when fresh or attach then ts_ms when ends is null then up end,
+            case when not fresh and not attach and ends is null then xm end, case when not fresh and not attach and ends is null then xi end, case when fresh then greatest(newest, ts_ms) else newest end, case when op = 'expire' then greatest(cleared, ts_ms) else cleared end,
+            case when ends is not null then c end, ends, k, am, ch, case when ends = 'CONFIRMED' then xm when ends = 'EXPIRED' and st = 'PENDING' and op <> 'expire' then cr + 604800001 when ends is not null then ts_ms end, case when ends = 'CONFIRMED' then xm end, case when ends = 'CONFIRMED' then xi end
+        from (
+            select *, coalesce(not late and ends is null and ((st = 'PENDING' and (op in ('session_start', 'user_prompt') or (op = 'post_tool' and ts_ms > cr))) or (st = 'ATTACHED' and op = 'user_prompt' and ch = 'user_prompt')), false) as attach
+            from (
+                select *, case when st is null then null when fresh then 'SUPERSEDED' when late or op = 'checkpoint' then null when op = 'expire' then 'EXPIRED' when st = 'PENDING' then case when ts_ms - cr > 604800000 then 'EXPIRED' end
+                    when xm is not null then 'CONFIRMED' when op in ('session_start', 'user_prompt') and ts_ms - cr > 604800000 then 'EXPIRED' when op = 'user_prompt' and ch = 'user_prompt' and k >= 3 then 'EXPIRED' end as ends
+                from (
+                    select s.*, f.c, f.st, f.k, f.am, f.ch, f.cr, f.up, f.newest, f.cleared, s.op = 'checkpoint' and (not s.late or (s.ts_ms > f.newest and s.ts_ms > f.cleared)) as fresh,
+                        case when f.st = 'ATTACHED' and s.op in ('post_tool', 'failure') and s.ts_ms > f.am and (f.sm is null or (s.ts_ms, s.id) < (f.sm, f.si)) then s.ts_ms else f.sm end as xm,
+                        case when f.st = 'ATTACHED' and s.op in ('post_tool', 'failure') and s.ts_ms > f.am and (f.sm is null or (s.ts_ms, s.id) < (f.sm, f.si)) then s.id else f.si end as xi
+                    from f join steps s on s.session_id = f.session_id and s.n = f.n + 1)))),
+    last as (select * from f qualify row_number() over (partition by session_id order by n desc) = 1)
+    select session_id, e_c as checkpoint_id, e_st as state, e_k as attach_count, e_am as attached_ms, e_ch as attached_channel, e_cm as confirmed_ms, e_ce as confirm_event_id, e_up as updated_ms from f where e_st is not null
+    union all select session_id, c, st, k, am, ch, null, null, up from last where st is not null"""
+
+
+@query(DELIVERY)
 def delivery_states(spark, sf_dir):
-    return delivery.continuations(delivery.steps_of(told(spark, sf_dir)))
+    return delivery.continuations(delivery.steps_of(flat(spark, sf_dir)))
 
 
 @query(
