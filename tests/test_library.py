@@ -253,3 +253,24 @@ def test_rule_pick_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = sorted(map(tuple, catalogue.rule_pick(spark, str(tmp_path)).collect()))
     assert len(opening) > 40 and got == [("c1", 1, 1), ("c1", 2, 3), ("c1", 4, 2)]
+
+
+def test_anchors_of_a_long_session_whose_clock_runs_back():
+    import time
+
+    rng, began = random.Random(9), time.time()
+    held, rows = order.Anchors(), []
+    for i in range(1_000_000):  # every clock is somewhere in the last hour, now and then a day back
+        ts = i * 1000 - rng.randrange(3_600_000) - (86_400_000 if i % 9973 == 0 else 0)
+        if i % 7 == 3:
+            got = held.of(ts)
+            if i % 49_999 < 7:
+                rows.append((i, ts, got))
+        else:
+            held.direct(i, ts)
+    assert time.time() - began < 30 and rows
+    clocks, rng = {}, random.Random(9)
+    for i in range(1_000_000):
+        clocks[i] = i * 1000 - rng.randrange(3_600_000) - (86_400_000 if i % 9973 == 0 else 0)
+    for i, ts, got in rows:
+        assert got == next((d for d in range(i - 1, -1, -1) if d % 7 != 3 and clocks[d] <= ts), -1)
