@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: What may stand right before a token: a word break (ASCII), or the escape that glues it to other text.
 GLUE = r"(?:(?<![A-Za-z0-9_])|%[0-9A-Fa-f]{2}|\\[nrt]|\\u[0-9A-Fa-f]{4})"
 #: Kind, literals (any case), what precedes the secret, the secret. Without the third part the whole match goes.
@@ -33,11 +35,18 @@ DETECTORS = (
 def redact(s: Column) -> Column:
     """s with what the detectors find replaced by ``[REDACTED:kind]``; texts of fewer than 8 bytes, and marks already there, stay.
 
-    A text without any of the literals skips the chain.
+    The text is lower-cased once and searched for literals; a detector without one of its own does not run.
     """
-    out = s
-    for kind, _, before, secret in DETECTORS:
+    low = F.lower(s)
+    has = lambda literals: reduce(lambda a, b: a | b, [low.contains(x) for x in literals])
+    gates = F.array(*[has(literals) for _, literals, _, _ in DETECTORS])
+
+    def run(gate: Column, text: Column, kind: str, before: str, secret: str) -> Column:
         mark = f"[REDACTED:{kind}]"
-        out = F.regexp_replace(out, f"({before})(?!\\[REDACTED:)(?:{secret})", "$1" + mark) if before else F.regexp_replace(out, secret, mark)
-    some = "|".join(sorted({re.escape(x) for _, literals, _, _ in DETECTORS for x in literals}))
-    return F.when((F.octet_length(s) >= 8) & s.rlike(f"(?i)(?:{some})"), out).otherwise(s)
+        pattern, to = (f"({before})(?!\\[REDACTED:)(?:{secret})", "$1" + mark) if before else (secret, mark)
+        return let(text, lambda x: F.when(gate, F.regexp_replace(x, pattern, to)).otherwise(x))
+
+    def chain(gate: Column) -> Column:
+        return reduce(lambda text, d: run(gate[d[0]], text, d[1][0], *d[1][2:]), enumerate(DETECTORS), s)
+
+    return F.when(F.octet_length(s) >= 8, let(gates, lambda gate: F.when(F.exists(gate, lambda g: g), chain(gate)).otherwise(s))).otherwise(s)

@@ -135,20 +135,29 @@ def is_outside(path: Column) -> Column:
     return path.rlike(r"^(/|[A-Za-z]:|\.\.(/|$))")
 
 
-#: Directories of third-party or generated files.
-THIRD_PARTY = ("node_modules", "site-packages", "vendor", "target", "dist", "build", ".venv", "venv", ".git", "__pycache__")
+#: Directories whose files are installed or generated, as they are spelled.
+THIRD_PARTY = ("node_modules", "bower_components", "site-packages", "dist-packages", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".nox", ".gradle", ".git")
+#: Directories below ``target`` that a build writes.
+BUILD_OUTPUT = ("debug", "release", "doc", "tmp")
+
+
+def is_third_party(path: Column) -> Column:
+    """Some directory or file of the path is named like one of installed or generated files, in any case."""
+    names = F.split(F.lower(to_slash(path)), "/")
+    return F.arrays_overlap(names, F.array(*[F.lit(x) for x in THIRD_PARTY]))
 
 
 def is_incidental(path: Column) -> Column:
-    """Some component of the path is a directory of third-party or generated files."""
-    return path.rlike("(^|/)(" + "|".join(x.replace(".", "\\.") for x in THIRD_PARTY) + ")(/|$)")
+    """Installed, generated or built files: looked up, not worked on."""
+    return is_third_party(path) | to_slash(path).rlike(r"(^|/)(\.venv|target/(" + "|".join(BUILD_OUTPUT) + "))(/|$)")
 
 
 def is_sensitive(path: Column) -> Column:
-    """Files whose content is never quoted: keys, environments, credentials."""
-    p = F.lower(to_slash(path))
+    """Files whose content is never quoted: keys, environments, credentials; in any case."""
+    p = F.regexp_replace(F.lower(to_slash(path)), "/+$", "")
     name = F.regexp_extract(p, r"([^/]*)$", 1)
-    return name.rlike(r"^\.env|\.(pem|key|p12|pfx|kdbx)$|^id_(rsa|ed25519)|^\.(npmrc|pypirc|netrc|pgpass)$|credentials|secret") | p.rlike(r"(^|/)\.(ssh|aws)/")
+    by_name = name.rlike(r"^\.env($|\.)|\.(pem|key|p12|pfx|kdbx)$|^id_(rsa|ed25519)|^\.(npmrc|pypirc|netrc)$|credentials|secret")
+    return by_name | p.rlike(r"(^|/)\.(ssh|aws)/")
 
 
 def is_digest(h: Column) -> Column:

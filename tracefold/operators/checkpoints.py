@@ -18,7 +18,7 @@ def current_requests(requests: DataFrame, checkpoints: DataFrame, timeline: Data
     request of a later time, or by a start or end that clears the session. timeline: session_id, id, position, ts_ms, hook_event, source,
     reason. One window over the session; no request meets another event in a join.
     """
-    later = Window.partitionBy("session_id").orderBy("position").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("session_id").orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, -1)
     boundary = F.max(F.when(F.col("hook_event").isin(*BOUNDARIES), F.col("ts_ms"))).over(later)
     clears = ((F.col("hook_event") == "SessionStart") & (F.col("source") == "clear")) | ((F.col("hook_event") == "SessionEnd") & F.col("reason").isin("clear", "logout"))
     cleared = F.max(F.coalesce(clears, F.lit(False)).cast("int")).over(later)
@@ -147,7 +147,7 @@ def test_statuses(runs: DataFrame, k: int = 6) -> DataFrame:
     each = tests.select(*keys, "runner", F.explode(marks).alias("mark")).select(*keys, "runner", "mark.*", F.explode(selectors(F.col("test_id"))).alias("name"))
     each = each.select("*", F.explode(F.when(closely(F.col("name")), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("close"))
     passes = runs.where("outcome = 'PASS'").select("session_id", "epoch", F.lit(None).cast("string").alias("test_id"), "runner", F.lit(None).cast("boolean").alias("first"), "ts_ms", "event_id", F.inline(asked(F.col("names"))))
-    later = Window.partitionBy("session_id", "epoch", "runner", "name", "close").orderBy("ts_ms", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("session_id", "epoch", "runner", "name", "close").orderBy(F.desc("ts_ms"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     passed = F.when(F.col("test_id").isNull(), at)
     both = each.unionByName(passes).withColumns({"n": F.count(passed).over(later), "last": F.max(passed).over(later)}).where("test_id is not null")
     met = both.groupBy(*keys).agg(

@@ -1,6 +1,7 @@
 """As-of, anti- and interval lookups over the projections; every join has the session among its keys.
 
-Ties and order: commands and edits compare by (ts_ms, event_id).
+Ties and order: commands and edits compare by (ts_ms, event_id). What comes later is a frame that grows over the reversed order: Spark adds a
+row to it, where a frame that shrinks is summed up anew for every row.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from ..functions.commands import RUNNERS
 def open_failures(runs: DataFrame) -> DataFrame:
     """Failed runner commands that no later run of the same signature in the epoch has passed; one window, no self-join."""
     mine = runs.where(F.col("kind").isin(*RUNNERS))
-    order = Window.partitionBy("session_id", "epoch", "signature").orderBy("ts_ms", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    order = Window.partitionBy("session_id", "epoch", "signature").orderBy(F.desc("ts_ms"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     later = F.max((F.col("outcome") == "PASS").cast("int")).over(order)
     return mine.withColumn("__p", F.coalesce(later, F.lit(0))).where("outcome = 'FAIL' and __p = 0").drop("__p")
 
 
 def resolved_by(runs: DataFrame) -> DataFrame:
     """Failed runs with the first later passing run of their signature (null while open)."""
-    order = Window.partitionBy("session_id", "epoch", "signature").orderBy("ts_ms", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    order = Window.partitionBy("session_id", "epoch", "signature").orderBy(F.desc("ts_ms"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     hit = F.min(F.when(F.col("outcome") == "PASS", F.struct("ts_ms", "event_id"))).over(order)
     return runs.withColumn("resolved_by", hit["event_id"]).where("outcome = 'FAIL'")
 
@@ -34,7 +35,7 @@ def latest_live_edit(edits: DataFrame) -> DataFrame:
 
 def later_edit(edits: DataFrame) -> DataFrame:
     """Each edit with the last later edit of the same file, if any."""
-    order = Window.partitionBy("session_id", "epoch", "path").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
+    order = Window.partitionBy("session_id", "epoch", "path").orderBy(F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     return edits.withColumn("superseded_by", F.max("event_id").over(order))
 
 
@@ -42,17 +43,19 @@ def afterward(edits: DataFrame, runs: DataFrame) -> DataFrame:
     """Edits with the first test or build command after them: a forward as-of lookup over one merged timeline."""
     marks = runs.where(F.col("kind").isin("test", "build")).select("session_id", "epoch", "ts_ms", F.col("event_id").alias("cmd"), F.lit(None).cast("bigint").alias("edit"))
     rows = edits.select("session_id", "epoch", "ts_ms", F.lit(None).cast("bigint").alias("cmd"), F.col("event_id").alias("edit")).unionByName(marks)
-    later = Window.partitionBy("session_id", "epoch").orderBy("ts_ms").rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("session_id", "epoch").orderBy(F.desc("ts_ms")).rangeBetween(Window.unboundedPreceding, -1)
     first = F.min(F.when(F.col("cmd").isNotNull(), F.struct("ts_ms", "cmd"))).over(later)
     return rows.withColumn("afterward", first["cmd"]).where("edit is not null").select("session_id", "epoch", F.col("edit").alias("event_id"), "ts_ms", "afterward")
 
 
 def observed_between(spans: DataFrame, runs: DataFrame) -> DataFrame:
-    """spans (session_id, span_id, from_ms, to_ms) with the first test or build command inside: a join within the session."""
-    marks = runs.where(F.col("kind").isin("test", "build")).select("session_id", "ts_ms", F.col("event_id").alias("cmd"))
-    s, c = spans.alias("s"), marks.alias("c")
-    hit = s.join(c, F.expr("s.session_id = c.session_id and c.ts_ms between s.from_ms and s.to_ms"), "left")
-    return hit.groupBy("s.session_id", "s.span_id", "s.from_ms", "s.to_ms").agg(F.min(F.when(F.col("c.cmd").isNotNull(), F.struct("c.ts_ms", "c.cmd")))["cmd"].alias("observed_after"))
+    """spans (session_id, span_id, from_ms, to_ms) with the first test or build command inside: the first one not before from_ms, if it is not after to_ms."""
+    marks = runs.where(F.col("kind").isin("test", "build")).select("session_id", F.col("ts_ms").alias("from_ms"), F.col("event_id").alias("cmd"))
+    both = spans.select("session_id", "span_id", "from_ms", "to_ms", F.lit(False).alias("__mark")).unionByName(marks.withColumn("__mark", F.lit(True)), allowMissingColumns=True)
+    later = Window.partitionBy("session_id").orderBy(F.desc("from_ms")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.min(F.when(F.col("__mark"), F.struct("from_ms", "cmd"))).over(later)
+    met = both.withColumn("__first", first).where("not __mark")
+    return met.select("session_id", "span_id", "from_ms", "to_ms", F.when(F.col("__first.from_ms") <= F.col("to_ms"), F.col("__first.cmd")).alias("observed_after"))
 
 
 def first_evidence(marks: DataFrame, events: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def first_evidence(marks: DataFrame, events: DataFrame) -> DataFrame:
     kinds = ("PostToolUse", "PostToolUseFailure", "Stop")
     rows = events.where(F.col("hook_event").isin(*kinds)).select("session_id", F.col("ts_ms").alias("at_ms"), F.col("id").alias("event"), F.lit(None).cast("bigint").alias("mark_id"))
     both = rows.unionByName(marks.select("session_id", "at_ms", F.lit(None).cast("bigint").alias("event"), "mark_id"))
-    later = Window.partitionBy("session_id").orderBy("at_ms").rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("session_id").orderBy(F.desc("at_ms")).rangeBetween(Window.unboundedPreceding, -1)
     first = F.min(F.when(F.col("event").isNotNull(), F.struct("at_ms", "event"))).over(later)
     return both.withColumn("evidence", first["event"]).where("mark_id is not null").select("session_id", "mark_id", "at_ms", "evidence")
 

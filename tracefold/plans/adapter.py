@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.order import timeline
 from ..sources.ledger import dedupe_key, parsed
+from ..sources.tables import written
 
 #: Expressions both engines read alike; ``ms`` is the clock in milliseconds.
 COLUMNS = {
@@ -66,3 +67,8 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def told(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline(flat(spark, sf_dir))
+
+
+def told_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline as a table, for queries that read it more than once."""
+    return written(told(spark, sf_dir))

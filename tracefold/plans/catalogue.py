@@ -19,7 +19,7 @@ from ..operators import checkpoints as ck
 from ..operators import delivery, folds, lookups, order, ranking, render
 from ..operators import edits as life
 from ..sources import ledger
-from .adapter import CMDS, EDITS, LED, TL, events, flat, told
+from .adapter import CMDS, EDITS, LED, TL, events, flat, told, told_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,7 +122,7 @@ STATS = (
 
 
 def stats_of(spark, sf_dir) -> DataFrame:
-    timeline = told(spark, sf_dir)
+    timeline = told_once(spark, sf_dir)
     return folds.file_stats(timeline, folds.commands(timeline))
 
 
@@ -137,7 +137,7 @@ def file_stats(spark, sf_dir):
 )
 def working_files_top8(spark, sf_dir):
     """Paths of every 29th edit stand for those that dead ends name."""
-    timeline = told(spark, sf_dir)
+    timeline = told_once(spark, sf_dir)
     named = folds.edits(timeline).where("event_id % 29 = 0")
     return ranking.working_files(folds.file_stats(timeline, folds.commands(timeline)), 8, named).select("session_id", "epoch", "path", "rank")
 
@@ -182,7 +182,7 @@ CMDS_EDITS = CMDS + ", eds as (select session_id, epoch, position, id as event_i
     f"with {CMDS_EDITS} select e.event_id, (select min_by(c.event_id, (c.ts_ms, c.event_id)) from cmds c where c.session_id = e.session_id and c.epoch = e.epoch and c.kind in ('test', 'build') and c.ts_ms > e.ts_ms) as afterward from eds e"
 )
 def afterward_command(spark, sf_dir):
-    timeline = told(spark, sf_dir)
+    timeline = told_once(spark, sf_dir)
     return lookups.afterward(folds.edits(timeline), folds.commands(timeline)).select("event_id", "afterward")
 
 
@@ -190,7 +190,7 @@ def afterward_command(spark, sf_dir):
     f"with {CMDS_EDITS}, sp as (select session_id, event_id as span_id, ts_ms as from_ms, ts_ms + 7200000 as to_ms from eds) select span_id, (select min_by(c.event_id, (c.ts_ms, c.event_id)) from cmds c where c.session_id = s.session_id and c.kind in ('test', 'build') and c.ts_ms between s.from_ms and s.to_ms) as observed_after from sp s"
 )
 def observed_between(spark, sf_dir):
-    timeline = told(spark, sf_dir)
+    timeline = told_once(spark, sf_dir)
     spans = folds.edits(timeline).select("session_id", F.col("event_id").alias("span_id"), F.col("ts_ms").alias("from_ms"), (F.col("ts_ms") + 7_200_000).alias("to_ms"))
     return lookups.observed_between(spans, folds.commands(timeline)).select("span_id", "observed_after")
 
@@ -223,7 +223,7 @@ def checkpoints(timeline: DataFrame) -> DataFrame:
 
 @query(f"with {CKPT}, s as (select distinct session_id from tl) select session_id, count(checkpoint_id) as checkpoints, max_by(checkpoint_id, (created_ms, checkpoint_id)) as last_checkpoint from s left join ck using (session_id) group by 1")
 def session_list(spark, sf_dir):
-    timeline = told(spark, sf_dir)
+    timeline = told_once(spark, sf_dir)
     return lookups.session_list(folds.sessions(timeline), checkpoints(timeline)).select("session_id", "checkpoints", "last_checkpoint")
 
 
@@ -279,7 +279,7 @@ def attempts_top4(spark, sf_dir):
 )
 def next_target(spark, sf_dir):
     """Every other failure shows the place that it mentions."""
-    timeline = told(spark, sf_dir)
+    timeline = told_once(spark, sf_dir)
     shown = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("at "), F.element_at("mentioned", 1)["raw"])).otherwise(F.lit("x"))
     failures = lookups.open_failures(folds.commands(timeline)).withColumn("excerpt", shown)
     return ranking.next_target(failures, folds.edits(timeline).withColumn("status", F.lit("ACTIVE")))
@@ -345,7 +345,7 @@ def edit_lifecycle(spark, sf_dir):
 
 @query()
 def dead_ends(spark, sf_dir):
-    timeline = with_git(told(spark, sf_dir))
+    timeline = with_git(told_once(spark, sf_dir))
     dead = life.lifecycle(life.observations(timeline))[1]
     spans = dead.select("session_id", F.concat_ws("|", "path", F.col("id").cast("string")).alias("span_id"), "from_ms", F.col("resolved_ms").alias("to_ms"))
     seen = lookups.observed_between(spans, folds.commands(timeline)).select("session_id", "span_id", "observed_after")
@@ -409,7 +409,7 @@ def staged_claim(spark, sf_dir):
 @query()
 def capsules(spark, sf_dir):
     """The bounded record of every session's last epoch."""
-    timeline = told(spark, sf_dir)
+    timeline = told_once(spark, sf_dir)
     last = timeline.groupBy("session_id").agg(F.max("epoch").alias("epoch"))
     runs = folds.commands(timeline)
     asked = ranking.objective(folds.intents(timeline)).join(last, ["session_id", "epoch"]).withColumn("n", F.lit(0))
@@ -467,11 +467,33 @@ def time_formats(spark, sf_dir):
     return events(spark, sf_dir).select("id", tx.rfc3339(F.col("ts_ms")).alias("rfc3339"), tx.compact_utc(F.col("ts_ms")).alias("compact"), tx.human_age(F.col("id") * 1000).alias("age"))
 
 
-@query("select page_id, list_distinct(regexp_extract_all(url, '[A-Za-z0-9_-]+\\.html')) <> [] as is_file, regexp_matches(concat(url, '/.env'), '/\\.env') as sensitive from pages")
+#: A place for the name of each page's file among directories of all kinds.
+PLACES = (
+    "src/{}", "node_modules/x/{}", "a/Bower_Components/{}", "lib/site-packages/{}", "lib/dist-packages/{}", "__pycache__/{}", ".tox/py3/{}", "x\\.git\\{}", "vendor/{}", "dist/{}", "build/{}", ".venv/lib/{}", ".Venv/{}",
+    "target/debug/{}", "src/target/{}", "target/doc", ".env", ".env.local", "a/.envrc", "b/.ENV", "keys/{}.pem", "k/id_rsa", "k/id_ed25519.pub", ".npmrc", ".pypirc", "home/.netrc", ".pgpass", "my_Credentials_{}", "x/secrets/{}", "a/secret-{}",
+    "u/.ssh/{}", "u/.aws/config", ".ssh", "/abs/{}", "../up/{}", "C:\\w\\{}", "server.key/", "a/b/",
+)
+#: What the rules say of each place, in their order: third-party, incidental, sensitive, outside.
+PLACE_RULES = "".join((
+    "0000 1100 1100 1100 1100 1100 1100 1100 0000 0000 0000 0100 0000 ", "0100 0000 0100 0010 0010 0000 0010 0010 0010 0010 0010 0010 0010 0000 0010 0000 0010 ", "0010 0010 0000 0001 0001 0001 0010 0000",
+)).split()
+
+
+PLACES_SQL = "[" + ", ".join(f"'{x}'" for x in PLACES) + "]"
+
+
+@query(
+    "with f as (select page_id, coalesce(nullif(regexp_extract(url, '([A-Za-z0-9_-]+\\.html)', 1), ''), 'x.html') as f, cast(page_id % " + str(len(PLACES)) + " as integer) + 1 as k from pages)"
+    + ", p as (select page_id, replace(" + PLACES_SQL + "[k], '{}', f) as path, " + str(list(PLACE_RULES)) + "[k] as r from f)"
+    + " select page_id, path, r[1] = '1' as third_party, r[2] = '1' as incidental, r[3] = '1' as sensitive, r[4] = '1' as outside from p"
+)
 def path_predicates(spark, sf_dir):
-    pages = docs(spark, sf_dir, "pages")
-    files = F.filter(cmd.path_tokens(F.col("url")), lambda p: p["path"].endswith(".html"))
-    return pages.select("page_id", (F.size(files) > 0).alias("is_file"), tx.is_sensitive(F.concat("url", F.lit("/.env"))).alias("sensitive"))
+    """Paths of all kinds, made of the pages' file names, under the four rules on paths."""
+    name = F.coalesce(F.nullif(F.regexp_extract("url", r"([A-Za-z0-9_-]+\.html)", 1), F.lit("")), F.lit("x.html"))
+    place = F.element_at(F.array(*[F.lit(x) for x in PLACES]), (F.col("page_id") % len(PLACES)).cast("int") + 1)
+    pages = docs(spark, sf_dir, "pages").select("page_id", F.replace(place, F.lit("{}"), name).alias("path"))
+    p = F.col("path")
+    return pages.select("page_id", "path", tx.is_third_party(p).alias("third_party"), tx.is_incidental(p).alias("incidental"), tx.is_sensitive(p).alias("sensitive"), tx.is_outside(p).alias("outside"))
 
 
 @query(
@@ -666,9 +688,10 @@ def trace_first_loss(spark, sf_dir):
 )
 def current_requests(spark, sf_dir):
     """Requests at every failed command: which of them no checkpoint has settled and nothing later overtakes."""
-    timeline = told(spark, sf_dir).drop("ts_ms").withColumnRenamed("logical_ms", "ts_ms")
+    whole = told_once(spark, sf_dir)
+    timeline = whole.drop("ts_ms").withColumnRenamed("logical_ms", "ts_ms")
     requests = timeline.where("hook_event = 'PostToolUseFailure'").select("session_id", "id", "ts_ms")
-    made = checkpoints(told(spark, sf_dir)).withColumn("watermark", F.col("checkpoint_id"))
+    made = checkpoints(whole).withColumn("watermark", F.col("checkpoint_id"))
     return ck.current_requests(requests, made, timeline).select("session_id", "id")
 
 
@@ -708,7 +731,7 @@ def deliver_once(spark, sf_dir):
 )
 def restorable_epochs(spark, sf_dir):
     """Epochs that a root, a command or an edit gives something to restore."""
-    timeline = told(spark, sf_dir)
+    timeline = told_once(spark, sf_dir)
     intents = timeline.where("prompt like 'task:%'").select("session_id", "epoch", F.lit("ROOT").alias("level"), F.lit(None).cast("bigint").alias("superseded_ms"))
     none = intents.where("false")
     return ck.has_state(timeline.select("session_id", "epoch").distinct(), intents, none, folds.commands(timeline), folds.edits(timeline))
