@@ -205,27 +205,75 @@ def test_render_keeps_the_budget(spark):
 # --- streaming
 
 
+def ledger_files(rows, folder, cuts):
+    names = [f.split(" ")[0] for f in ledger.EVENT.split(", ")]
+    folder.mkdir(exist_ok=True)
+    for k, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
+        (folder / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in rows[lo:hi]))
+        os.utime(folder / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))  # read in this order
+
+
+def folded(spark, folder, files=1):
+    """What a stream makes of the files of a folder: the counts of every batch."""
+    counts = []
+    query = stream.start(spark, str(folder / "src"), str(folder / "out"), str(folder / "ck"), files, lambda version, c: counts.append(c))
+    assert query.awaitTermination(240)
+    return counts
+
+
+def holds_as_batch(spark, folder, rows):
+    told = order.timeline(ledger.parsed(spark.createDataFrame(rows, ledger.EVENT)))
+    names = ["session_id", "id", "anchor", "position", "logical_ms", "epoch", "prompt_ordinal"]
+    flat = lambda df, columns: sorted(map(str, df.select(columns).collect()))
+    assert flat(stream.held_rows(spark, str(folder / "out"), "timeline"), names) == flat(told.withColumn("position", F.col("position").cast("long")), names)
+    for name, fold in (("sessions", folds.sessions), ("file_stats", folds.file_stats), ("intents", folds.intents)):
+        want = fold(told)
+        got = stream.projection(spark, str(folder / "out"), name)
+        assert flat(got.withColumn("position", F.col("position").cast("int")) if "position" in got.columns else got, want.columns) == flat(want, want.columns), name
+
+
+def some_events(rng, n, late=0.3):
+    rows = []
+    for i in range(n):
+        back = rng.random() < late
+        kind = rng.choice(["UserPromptSubmit", "PostToolUse", "PostToolUse", "SessionEnd"])
+        said = rng.choice(["please do the thing now", "task: other thing", "ok"]) if kind == "UserPromptSubmit" else None
+        rows.append(hook(i, f"s{i % 4}", kind, i * 10 - (rng.randrange(200) if back else 0), "Read" if kind == "PostToolUse" else None, spooled=back, prompt=said, path=f"f{i % 3}" if kind == "PostToolUse" else None, reason="exit" if kind == "SessionEnd" else None))
+    return rows
+
+
 def test_stream_equals_batch_in_any_arrival(spark, tmp_path):
     rng = random.Random(3)
-    rows = []
-    for i in range(60):
-        late = rng.random() < 0.3
-        kind = rng.choice(["UserPromptSubmit", "PostToolUse"])
-        rows.append(hook(i, f"s{i % 4}", kind, i * 10 - (rng.randrange(200) if late else 0), "Read" if kind == "PostToolUse" else None, spooled=late, prompt="please do the thing now" if kind == "UserPromptSubmit" else None, path=f"f{i % 3}" if kind == "PostToolUse" else None))
-    names = [f.split(" ")[0] for f in ledger.EVENT.split(", ")]
-    src = tmp_path / "src"
-    src.mkdir()
+    rows = some_events(rng, 60)
     shuffled = rows + rows[:10]
     rng.shuffle(shuffled)
-    for k in range(5):
-        (src / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in shuffled[k::5]))
-    query = stream.start(spark, str(src), str(tmp_path / "ledger"), str(tmp_path / "out"), str(tmp_path / "ck"), files_per_trigger=2)
-    assert query.awaitTermination(180)
-    told = order.timeline(ledger.parsed(spark.createDataFrame(rows, ledger.EVENT)))
-    for name, fold in stream.PROJECTIONS.items():
-        want = fold(told)
-        got = spark.read.parquet(str(tmp_path / "out" / name)).select(want.columns)
-        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+    ledger_files(shuffled, tmp_path / "src", [30, 50])
+    folded(spark, tmp_path)
+    holds_as_batch(spark, tmp_path, rows)
+    (tmp_path / "again").mkdir()
+    stream.compact(spark, str(tmp_path / "out"), str(tmp_path / "again" / "out"))
+    holds_as_batch(spark, tmp_path / "again", rows)
+
+
+def test_only_sessions_with_an_event_out_of_order_are_folded_anew(spark, tmp_path):
+    rng = random.Random(4)
+    rows = some_events(rng, 40, late=0)
+    on_time = hook(40, "s0", "PostToolUse", 395, "Read", spooled=True, path="f1")  # spooled, but nothing direct is later
+    late = hook(41, "s1", "PostToolUse", 15, "Read", spooled=True, path="f2")  # belongs far back
+    more = [hook(50 + k, f"s{k}", "UserPromptSubmit", 600 + k, prompt="go on with all of this") for k in range(4)]
+    ledger_files([*rows, on_time, late, *more], tmp_path / "src", [20, 40, 42])
+    assert folded(spark, tmp_path) == [{"touched": 4, "refolded": 0}, {"touched": 4, "refolded": 0}, {"touched": 2, "refolded": 1}, {"touched": 4, "refolded": 0}]
+    holds_as_batch(spark, tmp_path, [*rows, on_time, late, *more])
+    # a batch that runs again writes the same
+    base = str(tmp_path / "out")
+    before = sorted(map(str, stream.held_rows(spark, base, "timeline").collect()))
+    names = [f.split(" ")[0] for f in stream.PLACED.split(", ")]
+    end = spark.createDataFrame([(*late, None, None, None, None, None, True)], stream.PLACED).select(names)
+    one = spark.createDataFrame([(*on_time, 36, 11, 395, 1, 0, False)], stream.PLACED)
+    place = stream.read(spark, base, "timeline").where("id = 40").first()
+    one = one.select(*names[:10], *[F.lit(place[c]).cast(one.schema[c].dataType).alias(c) for c in names[10:15]], "refold")
+    assert stream.fold_batch(end.unionByName(one), 3, base) == {"touched": 2, "refolded": 1}
+    assert sorted(map(str, stream.held_rows(spark, base, "timeline").collect())) == before
 
 
 # --- catalogue
