@@ -85,8 +85,8 @@ def strip_ansi(s: Column) -> Column:
     return F.regexp_replace(plain, "(?m)^[^\\n]*\\r(?=[^\\n\\r])", "")
 
 
-def token_estimate(s: Column) -> Column:
-    """Estimated model tokens: letters by word position, digits, blanks and marks each at a fixed rate, plus a thirty-second."""
+def token_units(s: Column) -> Column:
+    """Letters by word position, digits, blanks and marks each at a fixed rate. Adds up over lines: a break between two is one more."""
     letters, first = r"[A-Za-z]+", r"(?:^|[ \n\r\t])([A-Za-z]+)"
 
     def units(pattern: str, per: int, group: int = 0) -> Column:
@@ -94,11 +94,19 @@ def token_estimate(s: Column) -> Column:
         return F.aggregate(found, F.lit(0).cast("long"), lambda acc, x: acc + F.ceil(F.char_length(x) / F.lit(float(per))))
 
     kept = lambda pattern: F.char_length(s) - F.char_length(F.regexp_replace(s, pattern, ""))
-    raw = (
+    return (
         units("  +", 2) + kept(r"[\n\r\t]") + units(first, 3, 1) + units(letters, 2) - units(first, 2, 1) + units("[0-9]+", 3)
         + 2 * kept(r"[^\x00-\x7F]") + kept(r"[\x00-\x08\x0B\x0C\x0E-\x1F!-/:-@\[-`{-\x7F]")
     )
-    return (raw + F.ceil(raw / F.lit(32.0))).cast("long")
+
+
+def tokens_of(units: Column) -> Column:
+    return (units + F.ceil(units / F.lit(32.0))).cast("long")
+
+
+def token_estimate(s: Column) -> Column:
+    """Estimated model tokens: the units of a text, plus a thirty-second."""
+    return tokens_of(token_units(s))
 
 
 def human_age(ms: Column) -> Column:

@@ -16,7 +16,7 @@ from ..functions import text as tx
 from ..functions.redact import redact
 from ..operators import analytics as an
 from ..operators import checkpoints as ck
-from ..operators import delivery, folds, lookups, order, ranking, render
+from ..operators import delivery, folds, ladder, lookups, order, ranking, render
 from ..operators import edits as life
 from ..sources import ledger
 from .adapter import CMDS, EDITS, LED, TL, events, flat, told, told_once
@@ -424,6 +424,44 @@ def capsules(spark, sf_dir):
     return render.render(lines, 200)
 
 
+def units_sql(t: str) -> str:
+    """The units of a text's token estimate, in DuckDB's words."""
+    up = lambda found, k: f"coalesce(list_sum(list_transform({found}, lambda x: cast(ceil(length(x) / {k}.0) as bigint))), 0)"
+    first = f"regexp_extract_all({t}, '(?:^|[ \\n\\r\\t])([A-Za-z]+)', 1)"
+    left = lambda pattern: f"length({t}) - length(regexp_replace({t}, '{pattern}', '', 'g'))"
+    return (
+        f"({up(f"regexp_extract_all({t}, '  +')", 2)} + {left('[\\n\\r\\t]')} + {up(first, 3)} - {up(first, 2)} + {up(f"regexp_extract_all({t}, '[A-Za-z]+')", 2)} + {up(f"regexp_extract_all({t}, '[0-9]+')", 3)}"
+        f" + 2 * ({left('[^\\x00-\\x7F]')}) + {left('[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F!-/:-@\\[-`{-\\x7F]')})"
+    )
+
+
+KINDS = [(s, p) for s, p, _, _ in ladder.FULL]
+RUNG_BUDGET = 150
+
+
+@query(
+    "with k as (select unnest(range(0, " + str(len(KINDS)) + ")) as i, unnest([" + ", ".join(f"'{s}'" for s, _ in KINDS) + "]) as section, unnest([" + ", ".join(f"'{p}'" for _, p in KINDS) + "]) as part)"
+    ", lines as (select concat('c', cast(conv_id as varchar)) as session_id, section, part, row_number() over (partition by conv_id, i order by turn, text) as n, text from (select *, unnest([0, 1, 2, 3]) as j from conversations) join k on (turn * 5 + j * 6 + conv_id) % " + str(len(KINDS)) + " = i)"
+    ", lim(rung, section, part, entries, cap, oldest) as (values " + ", ".join(map(str, ladder.limits())) + ")"
+    ", v as (select *, case when cap = 1073741824 or length(text) <= cap then concat('- ', text) else concat('- ', left(text, cap - 3), '...') end as line from lines join (select distinct section, part, cap from lim) using (section, part) where trim(text) <> '')"
+    f", u as (select *, {units_sql('line')} as units, length(line) as chars from v)"
+    ", w as (select a.session_id, a.section, a.part, a.n, a.cap, min((b.units, -b.cap, b.chars)) as best from u a join u b using (session_id, section, part, n) where b.cap >= a.cap group by all)"
+    ", m as (select *, max(n) over (partition by session_id, section, part) as last from w)"
+    ", t as (select session_id, rung, section, sum(best[1] + 1) as units, sum(best[3] + 1) as chars from m join lim using (section, part, cap) where n <= entries and last - n >= oldest group by all)"
+    f", h as (select session_id, rung, sum(units + {units_sql("concat(lower(section), ':')")} + 1) - 1 as units, sum(chars + length(section) + 2) - 1 as chars from t group by all)"
+    f", f as (select session_id, min((rung, units)) filter (units + ceil(units / 32.0) <= {RUNG_BUDGET} and chars <= 9500) as hit, max((rung, units)) as worst, max(rung) as seen from h group by all)"
+    f" select session_id, cast(coalesce(hit[1], case when seen < {len(ladder.RUNGS)} then seen + 1 end, {len(ladder.RUNGS)}) as integer) as rung, cast(case when hit is null and seen < {len(ladder.RUNGS)} then 0 else coalesce(hit[2], worst[2]) + ceil(coalesce(hit[2], worst[2]) / 32.0) end as bigint) as tokens, hit is not null or seen < {len(ladder.RUNGS)} as fits from f"
+)
+def record_rungs(spark, sf_dir):
+    """What each conversation says as lines of a record's sections: the rung at which they fit the budget."""
+    said = docs(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.explode(F.array(*map(F.lit, range(4)))).alias("j"))
+    kind = ((F.col("turn") * 5 + F.col("j") * 6 + F.col("conv_id")) % len(KINDS)).cast("int")
+    of = lambda i: F.get(F.array(*[F.lit(k[i]) for k in KINDS]), F.col("i"))
+    n = F.row_number().over(Window.partitionBy("conv_id", "i").orderBy("turn", "text")).cast("long")
+    lines = said.withColumn("i", kind).withColumn("n", n).select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), of(0).alias("section"), of(1).alias("part"), "n", "text")
+    return ladder.chosen(ladder.weighed(spark, lines), RUNG_BUDGET, lines.where(F.trim("text") != "").select("session_id").distinct())
+
+
 # --- text
 
 
