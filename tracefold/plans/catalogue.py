@@ -16,7 +16,7 @@ from ..functions import text as tx
 from ..functions.redact import redact
 from ..operators import analytics as an
 from ..operators import checkpoints as ck
-from ..operators import delivery, folds, ladder, lookups, order, ranking, render
+from ..operators import delivery, folds, ladder, lineage, lookups, order, ranking, render, views
 from ..operators import edits as life
 from ..sources import ledger
 from .adapter import CMDS, EDITS, LED, TL, events, flat, told, told_once
@@ -462,6 +462,87 @@ def record_rungs(spark, sf_dir):
     return ladder.chosen(ladder.weighed(spark, lines), RUNG_BUDGET, lines.where(F.trim("text") != "").select("session_id").distinct())
 
 
+# --- sections as of a time
+
+THEN = 1704100000000 + 86400000 * 3
+
+
+@query()
+def edits_section_as_of(spark, sf_dir):
+    seen = life.observations(with_git(told(spark, sf_dir)))
+    return views.as_of(views.edit_statuses(seen), THEN).select("session_id", "path", "event_id", "status", "mechanism")
+
+
+@query()
+def dead_ends_section_as_of(spark, sf_dir):
+    seen = life.observations(with_git(told(spark, sf_dir)))
+    return views.as_of(views.dead_end_statuses(seen), THEN).select("session_id", "path", "id", "mechanism", "reapplied", F.size("edit_ids").alias("edits"))
+
+
+@query(
+    f"with {CMDS}, c as (select * from cmds where ts_ms <= {THEN}) select f.event_id, f.signature, case when exists (select 1 from c p where p.session_id = f.session_id and p.epoch = f.epoch and p.signature = f.signature and p.outcome = 'PASS' and (p.ts_ms, p.event_id) > (f.ts_ms, f.event_id)) then 'RESOLVED' else 'OPEN' end as status from c f where f.outcome = 'FAIL'"
+)
+def failures_section_as_of(spark, sf_dir):
+    return views.as_of(views.failure_statuses(folds.commands(told(spark, sf_dir))), THEN).select("event_id", "signature", "status")
+
+
+@query(
+    f"with {STATS.replace('from tl where path is not null', f'from tl where path is not null and logical_ms <= {THEN}').replace('from cmds where outcome', f'from cmds where ts_ms <= {THEN} and outcome')}"
+    " select session_id, epoch, path, edits, reads, in_failure, first_touch_ms, last_touch_ms, cast(4 * cast(in_failure as integer) + 3 * least(edits, 3) + case when reads >= 2 then 2 else 0 end + least(reads, 3) as bigint) as score from stats"
+)
+def files_section_as_of(spark, sf_dir):
+    timeline = told_once(spark, sf_dir)
+    seen = views.as_of(views.file_activity(timeline, folds.commands(timeline)), THEN)
+    return seen.select("session_id", "epoch", "path", "edits", "reads", "in_failure", "first_touch_ms", "last_touch_ms", "score")
+
+
+# --- evidence and lineage
+
+
+@query(
+    f"with recursive {EDITS}, p as (select session_id, min(event_id) over (partition by session_id, path) as id, event_id as n, case when event_id % 7 <> 0 then concat('v', cast(event_id * 3 % 5 as varchar)) end as removed, case when event_id % 11 <> 0 then concat('v', cast(event_id % 5 as varchar)) end as added from eds)"
+    ", q as (select * from p where removed is not null or added is not null), k as (select session_id, id, min(n) as n from q where added is null or not exists (select 1 from q l where l.session_id = q.session_id and l.id = q.id and l.n > q.n and l.removed = q.added) group by 1, 2)"
+    ", w as (select q.session_id, q.id, q.n as event_id, q.n, q.removed, q.added, 0 as step from q join k using (session_id, id, n)"
+    " union all select w.session_id, w.id, w.event_id, b.n, b.removed, w.added, step + 1 from w join q b on b.session_id = w.session_id and b.id = w.id and b.n = (select max(l.n) from q l where l.session_id = w.session_id and l.id = w.id and l.n < w.n and l.added = w.removed))"
+    " select session_id, id, event_id, removed, added from w qualify row_number() over (partition by session_id, id order by step desc) = 1"
+)
+def dead_end_evidence(spark, sf_dir):
+    """The edits of each file as one dead end, with lines that come and go."""
+    edits = folds.edits(told(spark, sf_dir))
+    line = lambda x, none: F.when(F.col("event_id") % none != 0, F.concat(F.lit("v"), (x % 5).cast("string")))
+    group = Window.partitionBy("session_id", "path")
+    parts = edits.select("session_id", F.min("event_id").over(group).alias("id"), F.col("event_id").alias("n"), "event_id", line(F.col("event_id") * 3, 7).alias("removed"), line(F.col("event_id"), 11).alias("added"))
+    return life.evidence(parts)
+
+
+TRACED = ("MODULE number 1", "src/f3.py", "src\\f11", "pytest tests/t1", "build part", "f2", "./", "nowhere", "please change module number 4")
+
+
+@query(
+    f"with {STATS}, ranked as ({SQL['working_files_top8'].removeprefix(f'with {STATS} ')}"
+    + "), texts as (select session_id, 0 as ordinal, concat_ws(' ', path, command, prompt) as text from tl union all select session_id, 1, command_text from cmds union all select session_id, 1, path from stats union all select session_id, 2, path from ranked)"
+    ", m as (select distinct session_id, unnest([" + ", ".join(f"'{x}'" for x in TRACED) + "]) as marker from led)"
+    ", g as (select *, unnest([0, 1, 2, 3]) as ordinal from m), k as (select distinct session_id, ordinal from texts)"
+    ", h as (select session_id, marker, ordinal, count(*) as n from m join texts using (session_id) where contains(lower(text), lower(replace(marker, chr(92), '/'))) group by all)"
+    ", f as (select g.session_id, g.marker, g.ordinal, case when k.ordinal is not null then coalesce(h.n, 0) > 0 end as present from g left join k using (session_id, ordinal) left join h using (session_id, marker, ordinal))"
+    ", b as (select *, last_value(present ignore nulls) over (partition by session_id, marker order by ordinal rows between unbounded preceding and 1 preceding) as before from f)"
+    " select session_id, marker, ['events', 'ledger', 'snapshot', 'staged'][min(case when not present and before then ordinal end) + 1] as lost_at, bool_or(coalesce(present, false)) as ever_present from b group by 1, 2"
+)
+def lineage_trace(spark, sf_dir):
+    """Paths and phrases from the events through the projections to what the record would select; nothing is staged."""
+    timeline = told_once(spark, sf_dir)
+    runs = folds.commands(timeline)
+    stats = folds.file_stats(timeline, runs)
+    named = folds.edits(timeline).where("event_id % 29 = 0")
+    of = lambda df, layer, text: df.select("session_id", F.lit(layer).alias("layer"), F.concat_ws(":", F.lit(layer), text).alias("row"), text.alias("text"))
+    texts = (
+        of(timeline, "events", F.concat_ws(" ", "path", "command", "prompt")).unionByName(of(runs, "ledger", F.col("command_text"))).unionByName(of(stats, "ledger", F.col("path")))
+        .unionByName(of(ranking.working_files(stats, 8, named), "snapshot", F.col("path")))
+    )
+    markers = timeline.select("session_id").distinct().select("session_id", F.explode(F.array(*[F.lit(x) for x in TRACED])).alias("marker"))
+    return lineage.trace(texts, markers, {k: lineage.REASONS[k] for k in ("events", "ledger", "snapshot", "staged")}).select("session_id", "marker", "lost_at", "ever_present")
+
+
 # --- text
 
 
