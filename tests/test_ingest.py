@@ -1,6 +1,7 @@
 """What ingest keeps, spool and staged files, frozen and delivered checkpoints, test states: small cases and plain restatements."""
 
 import json
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tracefold.functions import ingest
 from tracefold.functions import text as tx
 from tracefold.operators import checkpoints as ck
 from tracefold.sources import ledger
+from tracefold.sources.heads import read_heads
 
 
 def one(spark, column, *values):
@@ -78,12 +80,12 @@ def test_rules_and_middles(spark):
 
 
 def test_spool_round_trip_and_files(spark, tmp_path):
-    rows = [(i, f"k{i}", "s1", "p", None, "Stop", None, None, 1000 + i, p) for i, p in enumerate(['{}', '{"source":"x"}', '{"spooled":false,"prompt":"a } b"}', None])]
+    rows = [(i, f"k{i}", "s1", "p", None, "Stop", None, None, 1000 + i, p) for i, p in enumerate(['{}', '{"source":"x"}', '{"spooled":false,"prompt":"a } b"}', None, '{"git":{"spooled":false,"n":1.50},"spooled":1,"x":[1,"}",null]}', "[1]"])]
     ledger.write_spool(spark.createDataFrame(rows, ledger.EVENT), str(tmp_path / "spool"))
-    assert len(list((tmp_path / "spool").glob("part-*"))) == 4
+    assert len(list((tmp_path / "spool").glob("part-*"))) == 6
     events, bad = ledger.read_spool(spark, str(tmp_path / "spool"))
     got = {r["dedupe_key"]: (r["ts_ms"], json.loads(r["payload"])) for r in events.collect()}
-    assert bad.count() == 0 and got == {"k0": (1000, {"spooled": True}), "k1": (1001, {"spooled": True, "source": "x"}), "k2": (1002, {"spooled": True, "prompt": "a } b"}), "k3": (1003, {"spooled": True})}
+    assert bad.count() == 0 and got == {"k0": (1000, {"spooled": True}), "k1": (1001, {"spooled": True, "source": "x"}), "k2": (1002, {"spooled": True, "prompt": "a } b"}), "k3": (1003, {"spooled": True}), "k4": (1004, {"spooled": True, "git": {"spooled": False, "n": 1.5}, "x": [1, "}", None]}), "k5": (1005, {"spooled": True})}
 
     staged = tmp_path / "staged"
     staged.mkdir()
@@ -167,3 +169,62 @@ def test_hooks_are_stored_redacted(spark, tmp_path):
     assert not any("a1B2" in json.dumps(p) for p in got)
     assert [p.get("prompt") for p in got] == ["use [REDACTED:github_token] now", None, "plain"] and got[1]["exit_code"] == 3
     assert got[1]["command"] == "run [REDACTED:github_token]" and got[1]["stdout_tail"] == "[REDACTED:github_token]"
+
+
+def test_a_hook_of_any_size_gives_a_bounded_payload(spark, tmp_path):
+    key = "ghp_" + "a1B2" * 10
+    size = 8 << 20
+    out = ("line of output\n" * (size // 15))[: size - 60] + key + "\nlast line"
+    rows = [
+        {"session_id": "s", "hook_event_name": "PostToolUse", "tool_name": "Bash", "tool_input": {"command": "run " + "x" * 100_000}, "tool_response": {"stdout": out, "stderr": out}},
+        {"session_id": "s", "hook_event_name": "PostCompact", "compact_summary": "é" * 100_000},
+        {"session_id": "s", "hook_event_name": "PostToolUse", "tool_name": "Edit", "tool_input": {"file_path": "a", "old_string": "a\nb", "new_string": "a\n" + key}},
+        {"session_id": "s", "hook_event_name": "PostToolUse", "tool_name": "MultiEdit", "tool_input": {"file_path": "a", "edits": [{"old_string": "x", "new_string": "y"}, {"old_string": "p", "new_string": "q"}]}},
+        {"session_id": "s", "hook_event_name": "PostToolUse", "tool_name": "Write", "tool_input": {"file_path": "a", "content": "new", "old_string": "x"}},
+    ]
+    (tmp_path / "hooks.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    got = [r["payload"] for r in ledger.read_hooks(spark, str(tmp_path / "hooks.jsonl")).collect()]
+    told = [json.loads(p) for p in got]
+    assert len(got[0].encode()) <= 16 * 1024 and 40_000 > len(got[1].encode()) > 30_000 and not any("a1B2" in p for p in got)
+    assert told[0]["stderr_tail"].endswith("[REDACTED:github_token]\nlast line") and told[0]["stdout_tail"].endswith("last line") and told[0]["command"].startswith("run xx")
+    assert [p.get("excerpt") for p in told[2:]] == ["- b\n+ [REDACTED:github_token]", "- x\n+ y", None]
+
+
+def test_heads_read_no_more_than_they_need(spark, tmp_path):
+    first = b'{"type":"user","cwd":"/w","message":{"content":"do it"}}\n'
+    with open(tmp_path / "big.jsonl", "wb") as f:
+        f.write(first + b'{"type":"ai-title","aiTitle":"' + b"x" * 300_000)
+        f.truncate(40 << 30)  # a sparse file that no task could hold
+    (tmp_path / "small.jsonl").write_bytes(first)
+    (tmp_path / "other.txt").write_bytes(first)
+    heads = {r["path"].rsplit("/", 1)[1]: (r["bytes"], len(r["head"])) for r in read_heads(spark, str(tmp_path), 1000, ".jsonl").collect()}
+    assert heads == {"big.jsonl": (40 << 30, 1000), "small.jsonl": (len(first), len(first))}
+    got = {r.session_id: (r.title, r.cwd, r.bytes) for r in ledger.read_transcripts(spark, str(tmp_path)).collect()}
+    assert got == {"big": ("do it", "/w", 40 << 30), "small": ("do it", "/w", len(first))}
+    assert ledger.read_transcripts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_spooled_file_that_is_still_written_waits(spark, tmp_path):
+    spool, out = tmp_path / "spool", str(tmp_path / "out")
+    spool.mkdir()
+    event = json.dumps({"session_id": "a", "hook_event": "Stop", "ts_ms": 5, "dedupe_key": "k", "payload": {"spooled": True}})
+    read = lambda name: sorted(r["file"].rsplit("/", 1)[1] for r in spark.read.parquet(f"{out}/{name}").collect())
+
+    def go(now):
+        query = ledger.stream_spool(spark, str(spool), out, str(tmp_path / "ck"), now_ms=F.lit(now))
+        assert query.awaitTermination(120)
+
+    (spool / "1.jsonl").write_text(event)
+    (spool / "2.jsonl").write_text(event[:30])  # completed later
+    (spool / "3.jsonl").write_text('{"session_id": "a", "payload": "text"}')  # whole, but no event
+    (spool / "4.jsonl").write_text("half {")  # never completed
+    now = int(os.stat(spool / "4.jsonl").st_mtime * 1000)
+    go(now)
+    assert read("events") == ["1.jsonl"] and read("quarantine") == ["3.jsonl"]
+    (spool / "2.jsonl").write_text(event)
+    (spool / "5.jsonl").write_text(event)
+    go(now + 1000)
+    assert read("events") == ["1.jsonl", "2.jsonl", "5.jsonl"] and read("quarantine") == ["3.jsonl"]
+    (spool / "6.jsonl").write_text(event)
+    go(now + 60_000)
+    assert read("events") == ["1.jsonl", "2.jsonl", "5.jsonl", "6.jsonl"] and read("quarantine") == ["3.jsonl", "4.jsonl"]

@@ -100,7 +100,7 @@ def test_spool_and_transcripts(spark, tmp_path):
     (tmp_path / "spool").mkdir()
     (tmp_path / "spool/1.jsonl").write_text(json.dumps({"session_id": "a", "hook_event": "Stop", "ts_ms": 5, "payload": {"spooled": True}}))
     (tmp_path / "spool/2.jsonl").write_text("half {")
-    good, bad = ledger.read_spool(spark, str(tmp_path / "spool"))
+    good, bad = ledger.read_spool(spark, str(tmp_path / "spool"), F.lit(1 << 50))
     assert [(r.session_id, r.ts_ms) for r in good.collect()] == [("a", 5)] and [r.file for r in bad.collect()] == ["2.jsonl"]
     (tmp_path / "tr").mkdir()
     (tmp_path / "tr/s1.jsonl").write_text('garbage\n{"type":"user","isMeta":true,"message":{"content":"meta"}}\n{"type":"user","cwd":"/w","message":{"content":[{"type":"text","text":"do  it"}]}}\n{"type":"ai-t')

@@ -8,10 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .redact import redact
-from .text import let, strip_ansi, suffix_bytes, truncate_chars
+from .text import let, prefix_bytes, strip_ansi, suffix_bytes, truncate_chars
 
 #: Limits of the ledger, and marks that no token holds.
 EXCERPT_CHARS, TAIL_CONTEXT, PAYLOAD_BYTES, LATE_PAYLOAD_BYTES = 160, 4096, 16 * 1024, 48 * 1024
+PROMPT_BYTES, COMMAND_BYTES, TAIL_BYTES, ERROR_BYTES, SUMMARY_BYTES, PATTERN_CHARS = 4 * 1024, 2 * 1024, 8 * 1024, 4 * 1024, 32 * 1024, 200
 TOKEN_DELIMITERS = "\"',;{}[]()<>|&"
 #: Payload fields that may be cut, the first of equally long ones first.
 CUTTABLE = ("stdout_tail", "stderr_tail", "error", "summary", "prompt", "command")
@@ -57,7 +58,12 @@ def redact_tail(s: Column, limit: int, context: int = TAIL_CONTEXT) -> Column:
     return let(cleaned, lambda x: suffix_bytes(x, limit))
 
 
-def within_budget(fields: dict[str, Column], limit: int = PAYLOAD_BYTES, passes: int = 24) -> Column:
+def redact_head(s: Column, limit: int) -> Column:
+    """The first bytes of s, redacted before the cut."""
+    return let(let(s, redact), lambda x: prefix_bytes(x, limit))
+
+
+def within_budget(fields: dict[str, Column], limit: int | Column = PAYLOAD_BYTES, passes: int = 24) -> Column:
     """A struct of fields whose JSON has at most limit bytes: pass by pass the longest of the cuttable ones loses its head, null once empty.
 
     A pass takes what is over, at least a quarter of the field and 64 bytes. Other fields are never cut.
