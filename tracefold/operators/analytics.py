@@ -157,3 +157,44 @@ def first_loss(layers: DataFrame, keys: list[str]) -> DataFrame:
     lost = F.when(F.col("present").isNotNull() & ~F.col("present") & F.coalesce(before, F.lit(False)), F.col("ordinal"))
     marked = layers.withColumn("__l", lost)
     return marked.groupBy(*keys).agg(F.min_by("layer", F.when(F.col("__l").isNotNull(), F.col("__l"))).alias("lost_at"), F.max(F.coalesce("present", F.lit(False))).alias("ever_present"))
+
+
+def first_match(actions: DataFrame, keys: list[str], match: Column, forbidden: Column) -> DataFrame:
+    """(keys, found, steps, position, tool, target, forbidden_first) of actions (keys, index, tool, target): the first that matches, and how many come before it.
+
+    forbidden_first: an action that must not come first did. One window, in which nothing counts any more once an action has matched.
+    """
+    order = Window.partitionBy(*keys).orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
+    hit, bad = F.coalesce(match, F.lit(False)), F.coalesce(forbidden, F.lit(False))
+    over = F.coalesce(F.max(hit).over(order), F.lit(False))
+    marked = actions.withColumns({"__hit": hit, "__bad": bad}).withColumn("__over", over)
+    first = F.when(F.col("__hit") & ~F.col("__over"), F.struct("index", "tool", "target"))
+    out = marked.groupBy(*keys).agg(
+        F.max(first).alias("__f"), F.count_if(~F.col("__over") & ~F.col("__hit")).alias("__n"), F.max(F.col("__bad") & ~F.col("__over") & ~F.col("__hit")).alias("forbidden_first"),
+    )
+    found = F.col("__f").isNotNull()
+    return out.select(*keys, found.alias("found"), F.when(found, F.col("__n")).alias("steps"), F.col("__f.index").alias("position"), F.col("__f.tool").alias("tool"), F.col("__f.target").alias("target"), "forbidden_first")
+
+
+def before_first_edit(actions: DataFrame, keys: list[str], edits: Column, reads: Column, own: Column) -> DataFrame:
+    """(keys, reads, rereads, own_rereads, first_edit): reads before the first edit, those of a target read before, those of them of own files, and what is edited first."""
+    order = Window.partitionBy(*keys).orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
+    over = F.coalesce(F.max(edits).over(order), F.lit(False))
+    again = F.coalesce(F.max(reads).over(Window.partitionBy(*keys, "target").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    marked = actions.withColumns({"__e": edits, "__r": reads, "__own": own, "__again": again}).withColumn("__over", over)
+    read = F.col("__r") & ~F.col("__over") & ~F.col("__e")
+    return marked.groupBy(*keys).agg(
+        F.count_if(read).alias("reads"), F.count_if(read & F.col("__again")).alias("rereads"), F.count_if(read & F.col("__again") & F.col("__own")).alias("own_rereads"),
+        F.max(F.when(F.col("__e") & ~F.col("__over"), F.col("target"))).alias("first_edit"),
+    )
+
+
+def captured(facts: DataFrame, rows: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """(session_id, fact, checkpoint_id, captured, rows): whether the ledger held a fact by the watermark of the session's last checkpoint.
+
+    facts: session_id, fact; rows: session_id, fact, event_id; checkpoints: session_id, checkpoint_id, watermark. Without a checkpoint nothing is captured.
+    """
+    last = checkpoints.groupBy("session_id").agg(F.max(F.struct("checkpoint_id", "watermark")).alias("c")).select("session_id", "c.*")
+    held = rows.join(last.select("session_id", "watermark"), "session_id").where("event_id <= watermark").groupBy("session_id", "fact").agg(F.count("*").alias("n"))
+    full = facts.distinct().join(last, "session_id", "left").join(held, ["session_id", "fact"], "left")
+    return full.select("session_id", "fact", "checkpoint_id", F.coalesce(F.col("n") > 0, F.lit(False)).alias("captured"), F.coalesce("n", F.lit(0).cast("long")).alias("rows"))

@@ -543,6 +543,49 @@ def lineage_trace(spark, sf_dir):
     return lineage.trace(texts, markers, {k: lineage.REASONS[k] for k in ("events", "ledger", "snapshot", "staged")}).select("session_id", "marker", "lost_at", "ever_present")
 
 
+# --- what a session did first
+
+ACTS = LED + ", acts as (select session_id, id as index, tool_name as tool, path as target from led where path is not null)"
+
+
+def actions(spark, sf_dir) -> DataFrame:
+    return flat(spark, sf_dir).where("path is not null").select("session_id", F.col("id").alias("index"), F.col("tool_name").alias("tool"), F.col("path").alias("target"))
+
+
+@query(
+    f"with {ACTS}, m as (select *, tool in ('Edit', 'Write') and target like '%f7.py' as hit, target like 'node_modules/%' as bad from acts), f as (select session_id, min(index) filter (hit) as pos from m group by 1)"
+    " select m.session_id, pos is not null as found, case when pos is not null then count(*) filter (index < pos) end as steps, pos as position, max(tool) filter (index = pos) as tool, max(target) filter (index = pos) as target, coalesce(bool_or(bad and (pos is null or index < pos)), false) as forbidden_first from m join f using (session_id) group by 1, pos"
+)
+def first_correct_action(spark, sf_dir):
+    """The first edit of a file named f7.py; dependencies are not to be touched before it."""
+    right = F.col("tool").isin("Edit", "Write") & F.col("target").endswith("f7.py")
+    return an.first_match(actions(spark, sf_dir), ["session_id"], right, F.col("target").startswith("node_modules/"))
+
+
+@query(
+    f"with {ACTS}, f as (select session_id, min(index) filter (tool <> 'Read') as pos from acts group by 1)"
+    ", r as (select a.*, pos, exists (select 1 from acts b where b.session_id = a.session_id and b.target = a.target and b.tool = 'Read' and b.index < a.index) as again from acts a join f using (session_id))"
+    " select session_id, count(*) filter (tool = 'Read' and (pos is null or index < pos)) as reads, count(*) filter (tool = 'Read' and again and (pos is null or index < pos)) as rereads,"
+    " count(*) filter (tool = 'Read' and again and target like 'src/%' and (pos is null or index < pos)) as own_rereads, max(target) filter (index = pos) as first_edit from r group by 1"
+)
+def reads_before_first_edit(spark, sf_dir):
+    read = F.col("tool") == "Read"
+    return an.before_first_edit(actions(spark, sf_dir), ["session_id"], ~read, read, F.col("target").startswith("src/"))
+
+
+@query(
+    f"with {ACTS}, ck as (select session_id, max(id) as checkpoint_id from led where hook_event = 'PreCompact' group by 1), facts as (select distinct session_id, unnest(['src/f1.py', 'src/f2.py', 'src/f20.py']) as fact from led)"
+    " select f.session_id, f.fact, c.checkpoint_id, count(a.index) > 0 as captured, count(a.index) as rows from facts f left join ck c using (session_id) left join acts a on a.session_id = f.session_id and a.target = f.fact and a.tool <> 'Read' and a.index <= c.checkpoint_id group by all"
+)
+def captured_by_checkpoint(spark, sf_dir):
+    """Edits of three files as facts: did the ledger hold one by the last checkpoint?"""
+    rows = flat(spark, sf_dir)
+    facts = rows.select("session_id").distinct().select("session_id", F.explode(F.array(*[F.lit(f"src/f{k}.py") for k in (1, 2, 20)])).alias("fact"))
+    made = rows.where("hook_event = 'PreCompact'").select("session_id", F.col("id").alias("checkpoint_id"), F.col("id").alias("watermark"))
+    held = rows.where("path is not null and tool_name <> 'Read'").select("session_id", F.col("path").alias("fact"), F.col("id").alias("event_id"))
+    return an.captured(facts, held, made)
+
+
 # --- text
 
 
