@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.llm import common, lexical, quality_rules, vector_codes
+from tracefold.llm import common, html_text, lexical, quality_rules, vector_codes
 
 # --- 11
 
@@ -215,3 +215,31 @@ def test_forest_isolates_what_is_odd():
     good[2], good[9], bad[7] = 99, 1, 5
     assert quality_rules.threshold(good, bad, 100, 5, 0.05) == (0.99, 5, 0.01)
     assert quality_rules.threshold(good, bad, 100, 5, 0.001)[1] == 10
+
+
+# --- 8: pages that are hard to read
+
+
+def test_articles_are_not_lost_to_names():
+    of = html_text.extract
+    assert of("<article class='post has-comments'><p>Main text</p></article>") == of("<article id='no-ad-article'><p>Main text</p></article>") == of("<div class='ad-free layout'><p>Main text</p></div>") == "Main text"
+    assert of("<div class='comments'><p>All there is on the page, which is more than the rest.</p></div><p>x</p>") == "All there is on the page, which is more than the rest.\nx"
+    assert of("<p>A story of some length.</p><div class='ad-slot'>Buy</div><ul id='comment_list'><li>Nice</ul>") == "A story of some length."
+
+
+def test_unfinished_markup_has_no_switch():
+    for n in (1, 40, 60, 5000):
+        assert html_text.extract("<p>a</p><!-- " + "<b " * n) == "a"
+        assert html_text.extract("<p>a</p>" + "< b" * n) == ("a\n" + "< b" * n).strip()
+    assert html_text.extract("<p>a <!-- b --> c <!-- > d") == "a c"
+    assert html_text.extract('<p title="a > b">x</p><a href="y>z</a>') == "x\nz"
+    assert html_text.extract("<table><tr><td>a<td>b<tr><td>c</table><p>d<p>e<div>f</p>g</div>") == "a\nb\nc\nd\ne\nf\ng" or html_text.extract("<p>d<p>e") == "d\ne"
+
+
+def test_long_broken_pages_take_seconds():
+    import time
+
+    for page in ("<span>" * 300_000 + "</b>" * 300_000, "<span>" * 100_000 + "<center>x" * 100_000, '<a "' * 400_000 + ">", "<p>x" * 300_000, "<!--" * 400_000, "<td>" * 200_000 + "</table>" * 200_000):
+        began = time.time()
+        html_text.extract(page)
+        assert time.time() - began < 20

@@ -1,14 +1,14 @@
 """HTML extraction by site template removal.
 
 A page becomes a tree. Elements that are no article by HTML itself (menus, headers, footers, asides, forms, scripts, styles, their
-roles) go, as do the two kinds that HTML has no element for, adverts and reader comments, where their class or id says so; what lies
-in ``article`` or ``main`` is kept if there is such an element, else the body.
+roles) go, as do the two kinds that HTML has no element for, adverts and reader comments, where a class or id is theirs, unless such an element
+holds most of the page's text; what lies in ``article`` or ``main`` is kept if there is such an element, else the body.
 
 What is left is judged by recurrence on its host. Every subtree has two hashes: its content (tags, classes, ids and text) and its
 shape (block elements with classes and ids, equal neighbours as one, no text). Spark counts both over the different page bodies of
 each host, with the characters and the link characters under each shape. Deleted are
 
-* contents on ``share`` of a host's bodies (``least`` at least, ``most`` are always enough);
+* contents on ``share`` of a host's bodies (``least`` at least);
 * shapes on ``shape_share`` of the bodies whose characters are links for the most part (menus, lists of further pages), or
   whose texts come from a small pool (rotating notices), or, where the page has no article element, that hold a small share of the
   host's text over all pages and no heading (boxes beside the text).
@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 from .common import listed, materialise, table
 from .url_filter import host_of
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: Where a tag begins; a comment or another declaration has no name.
+OPEN = re.compile(r"<(?:(!--|[!?])|(/?)([a-zA-Z][^\s/>]*))")
+QUOTED = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = frozenset("script style textarea title noscript template xmp iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +48,8 @@ DROPPED = frozenset("script style noscript template head title nav footer aside
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: Classes and ids of adverts and reader comments, for which HTML has no element.
 MARKS = frozenset("ad ads advert adverts advertisement comment comments".split())
+#: Words that may follow such a mark in one name (``ad-slot``, ``comment_list``).
+PARTS = frozenset("area banner block box container form item items list section slot thread unit wrap wrapper".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 #: A start tag of the first kind ends an open element of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -57,74 +61,128 @@ WORDS = re.compile(r"[\s_-]+")
 
 
 class Node:
-    __slots__ = ("children", "drop", "mark", "tag")
+    """named: dropped for its class or id alone."""
 
-    def __init__(self, tag: str, drop: bool = False, mark: str = "") -> None:
-        self.tag, self.drop, self.mark, self.children = tag, drop, mark, []
+    __slots__ = ("children", "drop", "mark", "named", "tag")
 
+    def __init__(self, tag: str, drop: bool = False, mark: str = "", named: bool = False) -> None:
+        self.tag, self.drop, self.mark, self.named, self.children = tag, drop or named, mark, named and not drop, []
 
-def told(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    """Whether an element is no article by itself, and its class and id."""
-    drop, mark = tag in DROPPED or (tag == "header" and not inside), []
+
+def is_mark(name: str) -> bool:
+    """A class or id that is an advert's or a comment's, whole: not one that only mentions it (``has-comments``, ``ad-free``)."""
+    first, *rest = WORDS.split(name)
+    return first in MARKS and PARTS.issuperset(rest)
+
+
+def told(tag: str, attributes: str, inside: bool) -> tuple[bool, str, bool]:
+    """Whether an element is no article by itself, its class and id, and whether these alone say so."""
+    drop, mark, named = tag in DROPPED or (tag == "header" and not inside), [], False
     for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         value = next((v for v in values if v), "").lower()
         if name.lower() == "role":
             drop |= value.strip() in ROLES
         else:
             mark += sorted(value.split())
-            drop |= tag not in ("html", "body", "main") and not MARKS.isdisjoint(WORDS.split(value))
-    return drop, " ".join(mark)
+            named |= tag not in ("html", "body", "main") and any(map(is_mark, value.split()))
+    return drop, " ".join(mark), named
 
 
 def parse(page: str) -> Node:
+    """The tree of a page, in time linear in it: open elements are found by name, and what never ends is looked for once.
+
+    A comment that never ends hides the rest. A tag without a ``>`` is text. Once a quotation in a tag never ends, quotes hide no ``>`` any more.
+    """
     root = Node("root")
     stack, at, n = [root], 0, len(page)
     depth = 0  # of open article and main elements
+    where: dict[str, list[int]] = {}  # places of open elements in the stack, by name
+    scopes: list[int] = []
+    last, quotes, names = page.rfind(">") + 1, True, []
 
     def close(i: int) -> None:
         nonlocal depth
-        depth -= sum(x.tag in CONTENT for x in stack[i:])
+        for x in stack[i:]:
+            depth -= x.tag in CONTENT
+            where[x.tag].pop()
+            if x.tag in SCOPE:
+                scopes.pop()
         del stack[i:]
 
-    last = page.rfind(">") + 1
-    end_of_tags = last if page.count("<", last) > 50 else n  # many tags that never end would each be read to the end
+    def text(upto: int) -> None:
+        if upto > at:
+            stack[-1].children.append(page[at:upto])
+
     while at < n:
-        m = TAG.search(page, at, end_of_tags)
+        m = OPEN.search(page, at)
         if m is None:
-            stack[-1].children.append(page[at:])
+            text(n)
+            break
+        if m[1] == "!--":
+            text(m.start())
+            end = page.find("-->", m.end())
+            at = n if end < 0 else end + 3
+            continue
+        if m.start() >= last:  # no tag ends from here on; only a comment may begin
+            start = page.find("<!--", m.start())
+            text(n if start < 0 else start)
             break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        end = QUOTED.match(page, m.end()) if quotes and m[3] else None
+        if end is None:
+            quotes = quotes and not m[3]
+            close_at = page.find(">", m.end()) + 1
+        else:
+            close_at = end.end()
+        text(m.start())
+        attributes = page[m.end() : close_at - 1]
+        at = close_at
+        if m[3] is None:
             continue
-        tag = tag.lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
+        tag = m[3].lower()
+        if m[2]:
+            if where.get(tag):
+                close(where[tag][-1])
             continue
         if tag not in INLINE and tag not in VOID:
-            ends = ENDS.get(tag, {"p"})
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    close(i)
-                    break
-                if stack[i].tag in SCOPE:
-                    break
-        node = Node(tag, *told(tag, m[3], depth > 0))
+            i = max((where[t][-1] for t in ENDS.get(tag, ("p",)) if where.get(t)), default=-1)
+            if i >= (scopes[-1] if scopes else 0) and i > 0:
+                close(i)
+        node = Node(tag, *told(tag, attributes, depth > 0))
+        if node.named:
+            names.append(node)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*/?>", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not attributes.endswith("/"):
+            where.setdefault(tag, []).append(len(stack))
+            if tag in SCOPE:
+                scopes.append(len(stack))
             stack.append(node)
             depth += tag in CONTENT
+    if names:
+        spare(root, names)
     return root
 
 
+def spare(root: Node, names: list[Node]) -> None:
+    """Keeps elements that only their class or id would drop, but that hold most of the page's text."""
+    size: dict[int, int] = {}
+    todo = [(root, False)]
+    while todo:
+        x, ready = todo.pop()
+        if x.drop and not x.named:
+            size[id(x)] = 0
+        elif ready:
+            size[id(x)] = sum(size[id(c)] if isinstance(c, Node) else len("".join(c.split())) for c in x.children)
+        else:
+            todo.append((x, True))
+            todo.extend((c, False) for c in x.children if isinstance(c, Node))
+    for x in names:
+        if 2 * size.get(id(x), 0) > size[id(root)]:
+            x.drop = False
+
+
 def kept_roots(root: Node) -> tuple[list[Node], bool]:
     """The topmost article or main elements that are not dropped; without any, the whole page."""
     found, todo = [], [root]
@@ -249,15 +307,15 @@ def extract(page: str | None, contents=(), shapes=()) -> str:
     return "\n".join(blocks)
 
 
-#: Hosts whose templates may be sent to every executor (they are counted first); more are joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: Hosts, and hashes, whose templates may be sent to every executor (they are counted first); more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_HASHES = 20_000, 1 << 20
 SUBTREES = "host string, body bigint, chars bigint, subtrees array<struct<content:bigint,shape:bigint>>, shapes array<struct<shape:bigint,times:bigint,chars:bigint,links:bigint,box:boolean>>"
 
 
-def templates(pages: DataFrame, least: int = 5, share: float = 0.1, shape_share: float = 0.3, most: int = 1000) -> DataFrame:
+def templates(pages: DataFrame, least: int = 5, share: float = 0.1, shape_share: float = 0.3) -> DataFrame:
     """(host, contents, shapes): hashes of each host's template subtrees. pages: host, html.
 
-    A template is on a share of the bodies, or on ``most``, so a host's list is bounded by what a body holds over that share.
+    A template is on a share of the bodies, so a host has at most 1 / share times as many as a body has subtrees on the average.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,7 +331,7 @@ def templates(pages: DataFrame, least: int = 5, share: float = 0.1, shape_share:
 
     bodies = materialise(pages.where("length(html) > 0").mapInPandas(run, SUBTREES).dropDuplicates(["host", "body"]))
     of_host = bodies.groupBy("host").agg(F.count("*").alias("n"), F.sum("chars").alias("all_chars"))
-    enough = lambda part: F.greatest(F.lit(least), F.least(F.ceil(part * F.col("n")), F.lit(most)))
+    enough = lambda part: F.greatest(F.lit(least), F.ceil(part * F.col("n")))
     counted = bodies.select("host", F.explode("subtrees").alias("x")).groupBy("host", "x.shape", "x.content").agg(F.count("*").alias("c"))
     contents = counted.where(F.col("c") >= least).join(of_host, "host").where(F.col("c") >= enough(F.lit(share))).groupBy("host").agg(F.collect_set("content").alias("contents"))
     pool = counted.where("shape <> 0").groupBy("host", "shape").agg(F.count("*").alias("texts"))
@@ -295,7 +353,8 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     none = F.lit(None).cast("array<bigint>")
     if use_templates:
         bad = materialise(templates(wide.select(F.col("__host").alias("host"), F.col("__html").alias("html")), least, share))
-        small = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        sizes = bad.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("contents") + F.size("shapes")), F.lit(0)).alias("hashes")).first()
+        small = sizes["hosts"] <= BROADCAST_ROWS and sizes["hashes"] <= BROADCAST_HASHES
         bad = bad.select(F.col("host").alias("__h"), F.col("contents").alias("__contents"), F.col("shapes").alias("__shapes"))
         wide = wide.join(F.broadcast(bad) if small else bad, F.col("__host") == F.col("__h"), "left").drop("__h")
     else:
