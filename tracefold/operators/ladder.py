@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate, token_units, tokens_of, truncate_chars
+from ..sources.tables import written
 from .render import CEILING, DEFAULT_BUDGET, FLOOR, MOST_CHARS, SECTIONS
 
 LINE = "session_id string, section string, part string, n bigint, text string"
@@ -112,7 +113,7 @@ def render(lines: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
     place = F.create_map(*[F.lit(x) for i, (s, _) in enumerate(SECTIONS) for x in (s, i)])
     order_of = F.create_map(*[F.lit(x) for i, s in enumerate(DROPPED) for x in (s, i)])
     part_of = F.create_map(*[F.lit(x) for i, p in enumerate(("command", "named", "", "replaced", "attempted", "detail", "observed", "omitted")) for x in (p, i)])
-    standing = weighed(spark, lines)
+    standing = written(weighed(spark, lines))
     pick = chosen(standing, budget, lines.select("session_id").distinct())
     left = standing.join(pick, ["session_id", "rung"]).withColumns({"place": place[F.col("section")], "class": order_of[F.col("section")], "sub": part_of[F.col("part")]})
     # the hard stop: over the lines in the order in which they stay longest, a line goes if it and those before it do not fit

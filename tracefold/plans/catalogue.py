@@ -16,9 +16,10 @@ from ..functions import text as tx
 from ..functions.redact import redact
 from ..operators import analytics as an
 from ..operators import checkpoints as ck
-from ..operators import delivery, folds, ladder, lineage, lookups, order, ranking, render, views
+from ..operators import delivery, folds, ladder, lineage, lookups, order, ranking, record, views
 from ..operators import edits as life
 from ..sources import ledger
+from ..sources.tables import written
 from .adapter import CMDS, EDITS, LED, TL, events, flat, told, told_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -408,20 +409,27 @@ def staged_claim(spark, sf_dir):
 
 @query()
 def capsules(spark, sf_dir):
-    """The bounded record of every session's last epoch."""
-    timeline = told_once(spark, sf_dir)
-    last = timeline.groupBy("session_id").agg(F.max("epoch").alias("epoch"))
-    runs = folds.commands(timeline)
-    asked = ranking.objective(folds.intents(timeline)).join(last, ["session_id", "epoch"]).withColumn("n", F.lit(0))
-    files = ranking.working_files(folds.file_stats(timeline, runs)).join(last, ["session_id", "epoch"])
-    broken = ranking.top(lookups.open_failures(runs).join(last, ["session_id", "epoch"]), ["session_id"], [F.desc("ts_ms"), F.desc("event_id")], 6)
-    touched = F.concat_ws(" ", "path", F.format_string("(%d edits, %d reads)", "edits", "reads"))
-    lines = (
-        render.lines_of(asked, "FIRST_MESSAGE", F.col("objective"), "n").unionByName(render.lines_of(asked, "LATEST", F.col("latest"), "n"))
-        .unionByName(render.lines_of(asked, "SUBTASK", F.col("subtask"), "n")).unionByName(render.lines_of(files, "FILE_ACTIVITY", touched, "rank"))
-        .unionByName(render.lines_of(broken, "TEST_RESULT", F.concat_ws(" ", "command_text", "excerpt"), "rank"))
-    )
-    return render.render(lines, 200)
+    """The bounded record of every session's last epoch, all sections, default budget."""
+    excerpt = F.when(F.col("post_hash").isNotNull(), F.concat(F.lit("- value = "), F.substring("post_hash", 3, 4), F.lit("\n+ value = "), F.substring("post_hash", 1, 4)))
+    timeline = written(with_git(told(spark, sf_dir)).withColumn("excerpt", excerpt))
+    return record.records(timeline)
+
+
+@query(
+    "with d as (select *, regexp_replace(regexp_replace(text, '(^|[^A-Za-z0-9_])AKIA[0-9A-Z]{16}($|[^0-9A-Z])', '\\1[REDACTED:aws_access_key]\\2', 'g'), '((?i:(?:api[_-]?key|secret|token|passw(?:or)?d|auth)[\"'']?\\s*[:=]\\s*[\"'']?))[^\\s\"'',;]{8,}', '\\1[REDACTED:generic_secret]', 'g') as clean from documents)"
+    ", o as (select *, case when doc_id % 5 = 0 then 'UNKNOWN_SESSION' when doc_id % 7 = 0 or text is null then 'NO_STATE' else 'STAGED' end as outcome from d)"
+    " select doc_id as request_id, outcome, case when outcome = 'STAGED' then left(sha256(clean), 32) end as content_hash, case when outcome = 'STAGED' and doc_id % 3 = 0 then doc_id + 2 when outcome = 'STAGED' then doc_id end as source_checkpoint_id, outcome = 'STAGED' and clean <> text as redacted_again from o"
+)
+def restore_requests(spark, sf_dir):
+    """Documents as records that were rendered before: some asked for from another workspace, some of sessions without state."""
+    rows = docs(spark, sf_dir).withColumn("session_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    k = F.col("doc_id")
+    requests = rows.select(k.alias("request_id"), F.when(k % 5 == 0, "other").otherwise(F.col("source")).alias("workspace_id"), "session_id", F.lit(1).cast("long").alias("now_ms"))
+    sessions = rows.select("session_id", F.col("source").alias("project_id"), (k % 7 != 0).alias("has_state"))
+    made = rows.select("session_id", F.explode(F.when(k % 3 == 0, F.array(k, k + 2)).otherwise(F.array(k))).alias("checkpoint_id"), F.lit(5).cast("long").alias("created_ms"))
+    texts = rows.select("session_id", F.col("text").alias("capsule"), F.lit(10_000_000).cast("long").alias("tokens"))
+    out = record.restored(requests, sessions, texts, made).join(rows.select(k.alias("request_id"), "text"), "request_id")
+    return out.select("request_id", "outcome", "content_hash", "source_checkpoint_id", F.coalesce((F.col("outcome") == "STAGED") & (F.col("capsule") != F.col("text")), F.lit(False)).alias("redacted_again"))
 
 
 def units_sql(t: str) -> str:
