@@ -156,7 +156,27 @@ def test_commands(spark):
 def test_stated_rules(spark):
     text = "Rule: keep the API stable. You must not touch the lexer. Do not run it yet. Always sort output.\n\nThe dead end with regexes is closed. We have to ship soon enough."
     got = [(r.kind, r.cue) for r in one(spark, prompts.stated_rules, text)]
-    assert got == [("labelled", "rule:"), ("prohibition", "must not"), ("requirement", "always"), ("rejection", "dead end")]
+    assert got == [("labelled", "rule:"), ("prohibition", "must not"), ("requirement", "always")]
+    lists = "- Keep the names short\n- Never push to main"
+    assert [r.text for r in one(spark, prompts.stated_rules, lists)] == ["Keep the names short", "Never push to main"]
+
+
+def test_rejections(spark):
+    cases = {
+        "Caching the key in a global is a dead end.": ["Caching the key in a global is a dead end."],
+        "Rejected approach: caching the key in a global": ["Rejected approach: caching the key in a global"],
+        "Rejected approach: it": [], "Rejected approach: that one there": [], "Treat the lock file as a dead end.": ["Treat the lock file as a dead end."],
+        "Is caching in a global a dead end?": [], "If that fails, caching is a dead end.": [], "Caching was a dead end.": [], "Caching is not a dead end.": [], "Caching isn't really a dead end.": [], "Back then caching is a dead end.": [],
+        "We tried a workaround with a lock. Run the tests. That workaround is a rejected approach, do it another way.": ["We tried a workaround with a lock. Run the tests. That workaround is a rejected approach, do it another way."],
+        "One workaround locks. Another workaround waits. That workaround is a dead end.": [], "That workaround is a dead end.": [], "It locks the file. It is a dead end.": [],
+        "One fix locks.\n\nThat fix is a dead end.": [], "Is there a fix? That fix is considered a dead end.": [], 'We saw "a fix" there. That fix is a dead end.': [], "Some hacks lock the file. Those hacks are a dead end.": ["Some hacks lock the file. Those hacks are a dead end."],
+        "The patch a. b c. d e. f g. That patch is a dead end.": [], "Consider that hack as a dead end for us.": [], "This hack locks. Consider that hack as a dead end for us.": ["This hack locks. Consider that hack as a dead end for us."],
+        "That's a dead end, clearly so.": [], "A lock's a dead end for this work.": ["A lock's a dead end for this work."], "Waiting is a dead end. Locking is a dead end. Polling is a dead end.": ["Waiting is a dead end.", "Locking is a dead end."],
+        "We tried a fix " + "x" * 320 + ". That fix is a dead end.": [], "Use `dead end` as the name of it": [],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "x string")
+    got = {r.x: [c.text for c in r.y if c.kind == "rejection"] for r in df.select("x", prompts.stated_rules(F.col("x")).alias("y")).collect()}
+    assert got == cases
 
 
 # --- folds

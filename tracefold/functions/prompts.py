@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Cues, in the order in which they win; longer ones first within a class.
 LABELS = ("constraint", "invariant", "non-negotiable", "nonnegotiable", "hard rule", "ground rule", "requirement:", "rule:")
 PROHIBITIONS = (
@@ -21,26 +23,84 @@ CLASSES = (("labelled", LABELS), ("prohibition", PROHIBITIONS), ("requirement",
 MOST_RULES, MOST_REJECTIONS = 3, 2
 
 
-def sentences(s: Column) -> Column:
-    """Sentences of prose: paragraphs, list items and ends of sentences part them; code in fences is left out."""
+#: Words that point back, what they may point to, what makes a statement no decision, and what stands between a verb and a label.
+POINTERS = "that this these those such it".split()
+APPROACHES = "workaround approach fix change attempt route idea hack solution patch edit".split()
+HEDGES = "if whether unless might may could would maybe perhaps possibly probably suppose supposing assuming previously historically originally formerly".split()
+HEDGE_PHRASES = ("in case", "last year", "last time", "back then", "in the past", "years ago", "at the time", "used to")
+FILLERS = "a an the considered definitely clearly now also already really basically simply just officially our my another".split()
+LOOK_BACK, SHORTEST, LONGEST = 3, 12, 320
+
+
+def paragraphs(s: Column) -> Column:
+    """Sentences by paragraph: blank lines and list items part paragraphs, ends of sentences part sentences; code in fences is left out."""
     prose = F.regexp_replace(s, r"(?s)```.*?(?:```|\z)", "\n")
-    marked = F.regexp_replace(prose, r"(?m)\n\s*\n|\n\s*(?=[-*+] |\d+[.)] )|(?<=[.!?])\s+", "\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^\s*(?:[-*+]|\d+[.)])\s+", ""))), lambda x: x != "")
+    parts = F.split(F.regexp_replace(prose, r"(?m)\n\s*\n|\n\s*(?=[-*+] |\d+[.)] )", "\u0001"), "\u0001")
+    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^\s*(?:[-*+]|\d+[.)])\s+", ""))
+    return F.transform(parts, lambda p: F.filter(F.transform(F.split(p, r"(?<=[.!?])\s+"), bare), lambda x: x != ""))
+
+
+def sentences(s: Column) -> Column:
+    return F.flatten(paragraphs(s))
+
+
+def unquoted(x: Column) -> Column:
+    """Lower case, without what stands in quotes or code marks."""
+    return F.regexp_replace(F.lower(x), r"`[^`]*`|\"[^\"]*\"", " ")
+
+
+def words(low: Column) -> Column:
+    return F.filter(F.split(low, "[^a-z0-9']+"), lambda w: w != "")
+
+
+def rejection(paragraph: Column, k: Column, cue: Column) -> Column:
+    """What a sentence (from 0) of a paragraph that carries a rejection label rejects, in the user's words; null if it asserts nothing.
+
+    The label must open the sentence as a heading, or be said of something by ``is``, ``are``, ``as`` or ``'s``; questions, hedges, history and negations
+    assert nothing. A subject that points back counts only if exactly one of the three sentences before names the kind of thing that it points to, and is
+    quoted from there on.
+    """
+    text = F.get(paragraph, k)
+    inside = lambda w, listed: w.isin(*listed)
+
+    def judged(low: Column) -> Column:
+        at = F.position(cue, low)
+        head, tail = words(F.substr(low, F.lit(1), at - 1)), F.ltrim(F.substr(low, at + F.char_length(cue)))
+        hedged = F.exists(words(F.lower(text)), lambda w: inside(w, HEDGES)) | F.lower(text).rlike("|".join(HEDGE_PHRASES))
+        negated = F.exists(F.slice(F.reverse(head), 1, 5), lambda w: w.isin("not", "no", "never", "longer") | w.endswith("n't"))
+        core = F.regexp_replace(F.array_join(head, " "), r"(?:(?:^| )(?:" + "|".join(FILLERS) + r"))+$", "")
+        verb = F.substring_index(core, " ", -1)
+        said = verb.isin("is", "are", "as") | verb.endswith("'s")
+        subject = F.trim(F.concat(F.regexp_replace(core, r"(?:^| )\S*$", ""), F.when(verb.endswith("'s"), F.concat(F.lit(" "), F.regexp_replace(verb, "'s$", ""))).otherwise("")))
+        of = F.split(subject, " ")
+        back = F.when(inside(F.get(of, F.lit(0)), POINTERS) | low.startswith("the above "), 0).when((verb == "as") & inside(F.get(of, F.lit(1)), POINTERS), 1)
+        named = F.get(F.filter(F.slice(of, back + 2, 3), lambda w: inside(w, [*APPROACHES, *(f"{n}s" for n in APPROACHES)])), F.lit(0))
+        noun = F.when(inside(named, APPROACHES), named).otherwise(F.regexp_replace(named, "s$", ""))
+        names = lambda x: ~x.endswith("?") & F.exists(words(unquoted(x)), lambda w: (w == noun) | (w == F.concat(noun, F.lit("s"))))
+        before = F.filter(F.sequence(F.greatest(k - LOOK_BACK, F.lit(0)), F.greatest(k - 1, F.lit(0))), lambda j: (j < k) & names(F.get(paragraph, j)))
+        whole = F.array_join(F.slice(paragraph, F.get(before, F.lit(0)) + 1, k - F.get(before, F.lit(0)) + 1), " ")
+        pointing = F.when(noun.isNotNull() & (F.size(before) == 1) & (F.char_length(whole) <= LONGEST), whole)
+        heading = F.when(tail.startswith(":") & (F.size(words(tail)) >= 2) & ~inside(F.get(words(tail), F.lit(0)), POINTERS), text)
+        predicate = F.when(said & (subject != ""), F.when(back.isNull(), text).otherwise(pointing))
+        return F.when((at > 0) & ~F.lower(text).endswith("?") & ~hedged & ~negated, F.when(F.size(head) == 0, heading).otherwise(predicate))
+
+    return let(unquoted(text), judged)
 
 
 def stated_rules(s: Column) -> Column:
     """array<struct<text, cue, kind>>: at most three rules and two rejections, in the order they are stated."""
-    def one(x: Column) -> Column:
-        low = F.concat(F.lower(F.regexp_replace(x, r"`[^`]*`|\"[^\"]*\"", "")), F.lit(" "))
+    def one(paragraph: Column, x: Column, k: Column) -> Column:
+        low = F.concat(unquoted(x), F.lit(" "))
         cue, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
         for name, cues in reversed(CLASSES):
             for c in reversed(cues):
                 hit = low.rlike(r"(?<![a-z])" + re.escape(c).replace("\\ ", " "))
                 cue, kind = F.when(hit, F.lit(c.strip())).otherwise(cue), F.when(hit, F.lit(name)).otherwise(kind)
         now = low.rlike("|".join(re.escape(c) for c in TIME_SCOPED))
-        ok = F.char_length(x).between(12, 320) & ~now
-        return F.struct(x.alias("text"), F.when(ok, cue).alias("cue"), F.when(ok, kind).alias("kind"))
+        ok = F.char_length(x).between(SHORTEST, LONGEST) & ~now
+        found = F.struct(F.when(ok, cue).alias("cue"), F.when(ok, kind).alias("kind"))
+        return let(found, lambda r: F.struct(F.when(r["kind"] == "rejection", rejection(paragraph, k, r["cue"])).otherwise(x).alias("text"), r["cue"].alias("cue"), r["kind"].alias("kind")))
 
-    found = F.filter(F.transform(sentences(s), one), lambda r: r["cue"].isNotNull())
-    rules = F.slice(F.filter(found, lambda r: r["kind"] != "rejection"), 1, MOST_RULES)
-    return F.concat(rules, F.slice(F.filter(found, lambda r: r["kind"] == "rejection"), 1, MOST_REJECTIONS))
+    by_paragraph = F.transform(paragraphs(s), lambda p: F.transform(p, lambda x, k: one(p, x, k)))
+    found = F.filter(F.flatten(by_paragraph), lambda r: r["cue"].isNotNull() & r["text"].isNotNull())
+    return let(found, lambda all_: F.concat(F.slice(F.filter(all_, lambda r: r["kind"] != "rejection"), 1, MOST_RULES), F.slice(F.filter(all_, lambda r: r["kind"] == "rejection"), 1, MOST_REJECTIONS)))

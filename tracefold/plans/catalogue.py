@@ -470,6 +470,30 @@ def record_rungs(spark, sf_dir):
     return ladder.chosen(ladder.weighed(spark, lines), RUNG_BUDGET, lines.where(F.trim("text") != "").select("session_id").distinct())
 
 
+# --- stated rules and rejections
+
+RULES = ("", "Rule: keep the parser stable. ", "You must not touch the lexer. ", "Always sort the output. ", "We tried a workaround with a lock. That workaround is a rejected approach. ", "If it fails it is a dead end. ", "Caching the key is a dead end. ", "That fix is a dead end. ", 'Never say "always". ')
+#: What each of RULES states, as (text, kind).
+RULED = {
+    1: ("Rule: keep the parser stable.", "labelled"), 2: ("You must not touch the lexer.", "prohibition"), 3: ("Always sort the output.", "requirement"),
+    4: ("We tried a workaround with a lock. That workaround is a rejected approach.", "rejection"), 6: ("Caching the key is a dead end.", "rejection"), 8: ('Never say "always".', "prohibition"),
+}
+
+
+@query(
+    f"with {TL}, said as (select *, unnest([1, 2]) as n from tl where prompt is not null), k as (select *, cast(case when n = 1 then id % 9 else (id * 5 + 1) % 9 end as integer) as r from said)"
+    ", t(r, text, kind) as (values " + ", ".join(f"({r}, '{t.replace(chr(39), chr(39) * 2)}', '{k}')" for r, (t, k) in RULED.items()) + ")"
+    " select session_id, epoch, position, prompt_ordinal, id as source_event_id, text, kind from k join t using (r) qualify row_number() over (partition by session_id, epoch, text order by position, n) = 1"
+)
+def constraints(spark, sf_dir):
+    """Two statements put after every prompt, in a paragraph of their own each."""
+    rows = flat(spark, sf_dir)
+    rule = lambda r: F.get(F.array(*[F.lit(x) for x in RULES]), r.cast("int"))
+    more = F.concat(F.col("prompt"), F.lit("\n\n"), rule(F.col("id") % 9), F.lit("\n\n"), rule((F.col("id") * 5 + 1) % 9))
+    timeline = order.timeline(rows.withColumn("prompt", more))
+    return folds.constraints(timeline).select("session_id", "epoch", "position", "prompt_ordinal", "source_event_id", "text", "kind")
+
+
 # --- sections as of a time
 
 THEN = 1704100000000 + 86400000 * 3
