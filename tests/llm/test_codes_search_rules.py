@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.llm import common, html_text, lexical, quality_rules, vector_codes
+from tracefold.llm import common, html_text, jaccard_join, lexical, quality_rules, url_filter, vector_codes
 
 # --- 11
 
@@ -243,3 +243,28 @@ def test_long_broken_pages_take_seconds():
         began = time.time()
         html_text.extract(page)
         assert time.time() - began < 20
+
+
+# --- 4 and 1
+
+
+def test_a_cycle_of_hosts_settles_or_says_that_it_does_not(spark):
+    n, damping = 5, 0.5
+    edges = spark.createDataFrame([("trust", f"h{i}", f"h{(i + 1) % n}", 1.0) for i in range(n)], "kind string, src string, dst string, share double")
+    seeds = spark.createDataFrame([("trust", "h0", 0.7), ("trust", "h2", 0.3)], "kind string, host string, seed double")
+    move = np.zeros((n, n))
+    for i in range(n):
+        move[(i + 1) % n, i] = damping
+    seed = (1 - damping) * np.array([0.7, 0, 0.3, 0, 0])
+    want = np.linalg.solve(np.eye(n) - move, seed) - seed  # what arrives over links
+    got = {r.host: r.received for r in url_filter.propagate(edges, seeds, damping=damping).collect()}
+    assert max(abs(got[f"h{i}"] - want[i]) for i in range(n)) < 1e-6
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(edges, seeds, rounds=8)
+
+
+def test_a_repeated_id_with_other_texts_is_two_documents(spark):
+    a, b = "one two three four five six seven", "a b c d e f g h"
+    rows = [(7, a), (7, b), (3, a), (9, b)]
+    got = sorted(tuple(r)[:3] for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(3, 3, 3), (7, 3, 3), (7, 4, 7), (9, 4, 7)]

@@ -19,7 +19,7 @@ cased), as 64-bit hashes. Two sets link when ``den * intersection >= num * union
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; with fewer words than n the whole
 sequence is the one shingle; rows with a null id are returned unlinked, with a null component; equal texts are each
-other's links; a repeated id counts as one node, its rows each return; an empty table gives an empty table.
+other's links; the rows of a repeated id are nodes of their own where their texts differ, and each returns; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -64,7 +64,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 60, damping: float = 0.85, settled: float = 1e-6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 400, damping: float = 0.85, settled: float = 1e-6) -> DataFrame:
     """(kind, host, received): what each host receives over edges (kind, src, dst, share) from seeds (kind, host, seed).
 
     The mass that seeds send is followed link by link: a pass moves ``damping`` of what came last, and received sums the passes. That is
@@ -80,10 +80,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 60, damping: flo
             moving, total = materialise(moving), materialise(total)
             if (moving.agg(F.sum("rank")).first()[0] or 0.0) <= settled:
                 break
+    else:
+        raise RuntimeError(f"trust and distrust did not settle in {rounds} passes")
     return total.withColumnRenamed("rank", "received")
 
 
-def blocked_hosts(pages: DataFrame, rules, rounds: int = 60, threshold: float = 0.5) -> DataFrame | None:
+def blocked_hosts(pages: DataFrame, rules, rounds: int = 400, threshold: float = 0.5) -> DataFrame | None:
     """Hosts that the link graph blocks; None where no host links to another. pages: host, path, html."""
     edges = materialise(host_edges(pages))
     if edges.isEmpty():
@@ -107,7 +109,7 @@ def blocked_hosts(pages: DataFrame, rules, rounds: int = 60, threshold: float =
     return materialise(one.where((F.col("distrust") * hosts > threshold) & (F.col("distrust") > F.col("trust"))).select("host"))
 
 
-def judge(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "html", rounds: int = 60, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "html", rounds: int = 400, threshold: float = 0.5) -> DataFrame:
     """pages with __host, __path, __rule and __verdict."""
     wide = pages.withColumns({"__host": host_of(F.col(url_col)), "__path": path_of(F.col(url_col))})
     bad = blocked_hosts(wide.select(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col(html_col).alias("html")), rules, rounds, threshold)
