@@ -57,6 +57,17 @@ def validity(gates: dict[str, Column]) -> dict[str, Column]:
     return {"valid": F.size(failed) == 0, "failed_gates": F.array_join(failed, ",")}
 
 
+def excluded(df: DataFrame, keys: list[str], gates: dict[str, Column], measures: dict[str, list[str]]) -> DataFrame:
+    """(keys, excluded, runs_excluded): the measures that some run's failed gates make unfit, sorted, and how many runs fail a gate. measures: gate to what it spoils."""
+    failed = [(g, F.coalesce(~c, F.lit(True))) for g, c in gates.items()]
+    spoiled = F.flatten(F.array(*[F.when(bad, F.array(*[F.lit(m) for m in measures[g]])).otherwise(F.array().cast("array<string>")) for g, bad in failed]))
+    any_bad = F.coalesce(F.array_max(F.array(*[bad for _, bad in failed])), F.lit(False))
+    one = df.select(*keys, F.array_distinct(spoiled).alias("m"), any_bad.alias("bad"))
+    counts = one.groupBy(*keys).agg(F.count_if("bad").alias("runs_excluded"))
+    sets = one.select(*keys, F.explode("m").alias("m")).groupBy(*keys).agg(F.array_sort(F.collect_set("m")).alias("excluded"))  # as many as there are measures
+    return counts.join(sets, keys, "left").select(*keys, F.coalesce("excluded", F.array().cast("array<string>")).alias("excluded"), "runs_excluded")
+
+
 def median(value: str | Column) -> Column:
     return F.percentile(value, 0.5)
 

@@ -102,6 +102,31 @@ def resolve_prefix(sessions: DataFrame, events: DataFrame, prefix: str) -> DataF
     return found.orderBy("session_id").limit(3)
 
 
+#: Fixed value: a shorter prefix names no session.
+SHORTEST_PREFIX = 8
+
+
+def resolve_prefixes(prefixes: DataFrame, sessions: DataFrame, events: DataFrame) -> DataFrame:
+    """(prefix, outcome, session_id): each prefix names NONE, ONE (then which) or AMBIGUOUS sessions of either table; one of fewer than eight characters is TOO_SHORT.
+
+    Ids meet prefixes on their first eight characters, so no prefix is held against every id. Case counts, and no character is a wildcard.
+    """
+    asked = prefixes.select("prefix").where("prefix is not null").distinct().withColumn("__head", F.when(F.char_length("prefix") >= SHORTEST_PREFIX, F.substring("prefix", 1, SHORTEST_PREFIX)))
+    known = sessions.select("session_id").union(events.select("session_id")).where("session_id is not null").distinct().withColumn("__head", F.substring("session_id", 1, SHORTEST_PREFIX))
+    met = asked.join(known, "__head").where(F.col("session_id").startswith(F.col("prefix"))).groupBy("prefix").agg(F.count("*").alias("n"), F.min("session_id").alias("first"))
+    out = asked.join(met, "prefix", "left")
+    outcome = F.when(F.col("__head").isNull(), "TOO_SHORT").when(F.col("n").isNull(), "NONE").when(F.col("n") == 1, "ONE").otherwise("AMBIGUOUS")
+    return out.select("prefix", outcome.alias("outcome"), F.when(F.col("n") == 1, F.col("first")).alias("session_id"))
+
+
+def latest_sessions(sessions: DataFrame) -> DataFrame:
+    """(project_id, session_id, last_event_ms, latest_of_all): the session of latest activity of every workspace, and whether it is the latest of all."""
+    newest = F.max(F.struct("last_event_ms", "session_id"))
+    by = sessions.groupBy("project_id").agg(newest.alias("n"))
+    top = sessions.agg(newest.alias("n")).first()["n"]  # one row
+    return by.select("project_id", "n.session_id", "n.last_event_ms", (F.col("n.session_id") == F.lit(top["session_id"] if top else None)).alias("latest_of_all"))
+
+
 def backlog(events: DataFrame, cursor: int) -> DataFrame:
     """One row of counts over the ledger and what lies beyond the cursor."""
     return events.agg(F.count("*").alias("events"), F.countDistinct("session_id").alias("sessions"), F.sum((F.col("id") > cursor).cast("int")).alias("backlog"), F.max("ts_ms").alias("last_ms"))

@@ -494,6 +494,38 @@ def constraints(spark, sf_dir):
     return folds.constraints(timeline).select("session_id", "epoch", "position", "prompt_ordinal", "source_event_id", "text", "kind")
 
 
+@query(
+    f"with {LED}, s as (select distinct concat('session-', right(concat('000', substr(session_id, 2)), 3)) as id from led), p as (select unnest(['session', 'session-', 'session-0', 'session-012', 'session-1', 'session-100', 'Session-012', 'session-9%', 'session-999', 'sessi_n-012']) as prefix)"
+    " select prefix, case when length(prefix) < 8 then 'TOO_SHORT' when count(id) = 0 then 'NONE' when count(id) = 1 then 'ONE' else 'AMBIGUOUS' end as outcome, case when length(prefix) >= 8 and count(id) = 1 then min(id) end as session_id from p left join s on starts_with(id, prefix) group by prefix"
+)
+def session_prefixes(spark, sf_dir):
+    rows = events(spark, sf_dir).select(F.concat(F.lit("session-"), F.lpad(F.substring("session_id", 2, 9), 3, "0")).alias("session_id"))
+    asked = ["session", "session-", "session-0", "session-012", "session-1", "session-100", "Session-012", "session-9%", "session-999", "sessi_n-012"]
+    prefixes = rows.limit(1).select(F.explode(F.array(*[F.lit(x) for x in asked])).alias("prefix"))
+    return lookups.resolve_prefixes(prefixes, rows.where("session_id < 'session-1'"), rows)
+
+
+@query(
+    f"with {TL}, s as (select session_id, min_by(project_id, position) as project_id, max(logical_ms) as last_event_ms from tl group by 1)"
+    " select project_id, session_id, last_event_ms, session_id = (select max_by(session_id, (last_event_ms, session_id)) from s) as latest_of_all from s qualify row_number() over (partition by project_id order by last_event_ms desc, session_id desc) = 1"
+)
+def latest_sessions(spark, sf_dir):
+    return lookups.latest_sessions(folds.sessions(told_once(spark, sf_dir)))
+
+
+@query(
+    "with g as (select o_custkey, o_orderstatus <> 'P' as finished, o_totalprice > 1000 as priced, case when o_orderkey % 9 <> 0 then o_orderkey % 4 <> 0 end as measured from orders)"
+    ", f as (select o_custkey, unnest(case when finished then [] else ['cost', 'duration'] end || case when priced then [] else ['cost'] end || case when measured is true then [] else ['tokens'] end) as m from g)"
+    ", r as (select o_custkey, count(*) filter (not finished or not priced or measured is not true) as runs_excluded from g group by 1)"
+    " select o_custkey, coalesce((select string_agg(distinct m, ',' order by m) from f where f.o_custkey = r.o_custkey), '') as excluded, runs_excluded from r"
+)
+def excluded_measures(spark, sf_dir):
+    k = F.col("o_orderkey")
+    gates = {"finished": F.col("o_orderstatus") != "P", "priced": F.col("o_totalprice") > 1000, "measured": F.when(k % 9 != 0, k % 4 != 0)}
+    out = an.excluded(docs(spark, sf_dir, "orders"), ["o_custkey"], gates, {"finished": ["cost", "duration"], "priced": ["cost"], "measured": ["tokens"]})
+    return out.select("o_custkey", F.array_join("excluded", ",").alias("excluded"), "runs_excluded")
+
+
 # --- sections as of a time
 
 THEN = 1704100000000 + 86400000 * 3
