@@ -10,9 +10,11 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.git import reached, restore_targets
+
 SETTLED = frozenset(("post_edit", "git_post", "turn_scan"))
 HISTORY = 256
 DIGEST = re.compile(r"[0-9a-f]{32}")
@@ -105,18 +107,24 @@ def fold_file(rows: list[dict]) -> tuple[list[dict], list[dict]]:
     return list(fold.edits.values()), fold.dead
 
 
-def observations(timeline: DataFrame) -> DataFrame:
-    """What each event says about a file's content: states before and after edits, after git commands, and at turn ends."""
+def observations(timeline: DataFrame, root: Column | None = None) -> DataFrame:
+    """What each event says about a file's content: states before and after edits, after git commands, and at turn ends.
+
+    A git command restores only the files that its words are sure to reach. root: the project's folder, by default the first working folder of the session.
+    """
     base = ["session_id", "position", F.col("id").alias("event_id"), F.col("logical_ms").alias("ts_ms"), F.col("ts_ms").alias("raw_ms"), F.col("tool_name").alias("tool")]
     none = F.lit(False)
     one = lambda df, path, source, h, restore=none, commit=none, n=0: df.select(*base, path.alias("path"), F.lit(source).alias("source"), h.alias("hash"), restore.alias("restore"), commit.alias("commit"), F.lit(n).alias("n"))
     edit = timeline.where("path is not null")
-    git = timeline.where("git is not null").withColumn("__f", F.explode("git.files"))
+    first = Window.partitionBy("session_id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    calls = timeline.where("git is not null or cwd is not null").withColumn("__root", F.first("cwd", ignorenulls=True).over(first) if root is None else root).where("git is not null")
+    calls = calls.withColumn("__to", F.when(F.col("git.restore").isNotNull(), restore_targets(F.col("command"), F.col("cwd"), F.col("__root"))))
+    git = calls.withColumn("__f", F.explode("git.files")).withColumn("__reached", reached(F.col("__to"), F.col("__f.path"), F.col("__root")))
     scan = timeline.where("turn_scan is not null").withColumn("__f", F.explode("turn_scan"))
     parts = [
         one(edit.where("pre_hash is not null"), F.col("path"), "pre_edit", F.col("pre_hash")),
         one(edit.where("post_hash is not null"), F.col("path"), "post_edit", F.col("post_hash"), n=1),
-        one(git, F.col("__f.path"), "git_post", F.col("__f.hash"), F.coalesce(F.col("git.restore").isNotNull(), none), F.coalesce(F.col("git.commit"), none), 2),
+        one(git, F.col("__f.path"), "git_post", F.col("__f.hash"), F.col("__reached"), F.coalesce(F.col("git.commit"), none), 2),
         one(scan, F.col("__f.path"), "turn_scan", F.col("__f.hash"), n=3),
     ]
     out = parts[0]

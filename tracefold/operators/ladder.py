@@ -8,6 +8,8 @@ the first that fits is taken. Units of the estimate add up over lines, so that t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,13 +59,20 @@ def limits() -> list[tuple]:
     return out
 
 
-def weighed(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """(session_id, rung, section, part, n, line, units, chars): the variants that stand at each rung; a longer variant that costs no more stays in its place."""
+def cut_off(section: Column, text: Column, cap: int) -> Column:
+    return truncate_chars(text, cap)
+
+
+def weighed(spark: SparkSession, lines: DataFrame, shorten: Callable[[Column, Column, int], Column] = cut_off) -> DataFrame:
+    """(session_id, rung, section, part, n, line, units, chars): the variants that stand at each rung; a longer variant that costs no more stays in its place.
+
+    shorten: a line of a section in at most so many characters.
+    """
     table = limits()
     lengths = spark.createDataFrame(sorted({(s, p, c) for _, s, p, _, c, _ in table}), "section string, part string, cap int")
     rungs = spark.createDataFrame([(r, s, p, n, c, o) for r, s, p, n, c, o in table], "rung int, section string, part string, entries int, cap int, oldest int")  # some thousand rows, as many whatever the input
     own = lines.where(F.col("text").isNotNull() & (F.trim("text") != "")).withColumn("last", F.max("n").over(Window.partitionBy("session_id", "section", "part")))
-    shown = F.concat(F.lit("- "), F.coalesce(*[F.when(F.col("cap") == c, F.col("text") if c == WHOLE else truncate_chars(F.col("text"), c)) for c in sorted({x[4] for x in table})]))
+    shown = F.concat(F.lit("- "), F.coalesce(*[F.when(F.col("cap") == c, F.col("text") if c == WHOLE else shorten(F.col("section"), F.col("text"), c)) for c in sorted({x[4] for x in table})]))
     each = own.join(F.broadcast(lengths), ["section", "part"]).withColumn("line", shown)
     each = each.withColumns({"units": token_units(F.col("line")), "chars": F.char_length("line").cast("long")})
     longer = Window.partitionBy("session_id", "section", "part", "n").orderBy(F.desc("cap")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -102,7 +111,7 @@ def longest_that_fits(text: Column, budget: int) -> Column:
     return F.rtrim(F.substr(text, F.lit(1), F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, half)["lo"]))
 
 
-def render(lines: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
+def render(lines: DataFrame, budget: int = DEFAULT_BUDGET, shorten: Callable[[Column, Column, int], Column] = cut_off) -> DataFrame:
     """(session_id, rung, dropped, trimmed, capsule, tokens) of every session that has a line; tokens and characters never exceed their limits.
 
     dropped: lines that went after the last rung, by class of section, the last ones first; a header goes with its section's last line. trimmed: what is left,
@@ -113,7 +122,7 @@ def render(lines: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
     place = F.create_map(*[F.lit(x) for i, (s, _) in enumerate(SECTIONS) for x in (s, i)])
     order_of = F.create_map(*[F.lit(x) for i, s in enumerate(DROPPED) for x in (s, i)])
     part_of = F.create_map(*[F.lit(x) for i, p in enumerate(("command", "named", "", "replaced", "attempted", "detail", "observed", "omitted")) for x in (p, i)])
-    standing = written(weighed(spark, lines))
+    standing = written(weighed(spark, lines, shorten))
     pick = chosen(standing, budget, lines.select("session_id").distinct())
     left = standing.join(pick, ["session_id", "rung"]).withColumns({"place": place[F.col("section")], "class": order_of[F.col("section")], "sub": part_of[F.col("part")]})
     # the hard stop: over the lines in the order in which they stay longest, a line goes if it and those before it do not fit

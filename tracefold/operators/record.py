@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import commands as cmd
+from ..functions.prompts import REJECTIONS
+from ..functions.quotes import quote_rejection, through_code_sentence
 from ..functions.redact import redact
-from ..functions.text import is_incidental, is_outside, let, rfc3339, token_estimate
+from ..functions.text import is_incidental, is_outside, let, rfc3339, token_estimate, truncate_chars
 from ..sources.tables import written
 from . import checkpoints as ck
 from . import edits as life
@@ -102,8 +104,16 @@ def activity() -> Column:
     return F.concat_ws(" ", located(F.col("path")), F.format_string("(%d edits, %d reads)", "edits", "reads"), F.when(F.col("in_failure"), "in failure output"))
 
 
+def shortened(section: Column, text: Column, cap: int) -> Column:
+    """A line in at most cap characters: a rejection keeps the approach and the clause that rejects it, an earlier message its sentence that names code."""
+    low = F.lower(text)
+    cue = F.coalesce(*[F.when(low.contains(c), F.lit(c)) for c in REJECTIONS])
+    said = F.when(section == "EARLIER", through_code_sentence(text)).otherwise(text)
+    return F.when(F.char_length(text) <= cap, text).when((section == "REJECTED_APPROACHES") & cue.isNotNull(), quote_rejection(text, cue, cap)).otherwise(truncate_chars(said, cap))
+
+
 def records(timeline: DataFrame, budget: int = ladder.DEFAULT_BUDGET) -> DataFrame:
-    return ladder.render(written(lines(timeline)), budget)
+    return ladder.render(written(lines(timeline)), budget, shortened)
 
 
 def restored(requests: DataFrame, sessions: DataFrame, texts: DataFrame, checkpoints: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import commands as cmd
-from ..functions import ingest
+from ..functions import ingest, quotes
 from ..functions import text as tx
+from ..functions.authored import authored
+from ..functions.git import reached, restore_targets
 from ..functions.redact import redact
 from ..operators import analytics as an
 from ..operators import checkpoints as ck
@@ -354,11 +356,14 @@ def dead_ends(spark, sf_dir):
 
 
 def with_git(timeline: DataFrame) -> DataFrame:
-    """Every eleventh command is a restore of a file to its first content, every thirteenth a commit."""
+    """Every eleventh command restores a file, a folder, another file or the tree, every thirteenth commits; then a file has its first content."""
     path = F.concat(F.lit("src/f"), (F.col("id") * 7 % 23).cast("string"), F.lit(".py"))
     files = F.array(F.struct(path.alias("path"), F.md5(F.concat(F.lit("f"), (F.col("id") * 7 % 23).cast("string"), F.lit("-0"))).alias("hash"), F.lit(1).cast("bigint").alias("size")))
     git = F.struct(F.when(F.col("id") % 11 == 0, "checkout").alias("restore"), (F.col("id") % 13 == 0).alias("commit"), files.alias("files"))
-    return timeline.withColumn("git", F.when(F.col("command").isNotNull() & ((F.col("id") % 11 == 0) | (F.col("id") % 13 == 0)), git))
+    restore = F.element_at(F.array(F.concat(F.lit("git checkout -- "), path), F.lit("git stash"), F.lit("git restore docs"), F.lit("cd src && git restore 'f1*.py'")), (F.col("id") % 4 + 1).cast("int"))
+    command = F.concat_ws(" && ", F.when(F.col("id") % 13 == 0, "git commit -am part"), F.when(F.col("id") % 11 == 0, restore))
+    called = F.col("command").isNotNull() & ((F.col("id") % 11 == 0) | (F.col("id") % 13 == 0))
+    return timeline.withColumn("git", F.when(called, git)).withColumn("command", F.when(F.col("git").isNotNull(), command).otherwise(F.col("command")))
 
 
 DELIVERY = f"""with recursive {LED}, ops as (
@@ -526,6 +531,79 @@ def excluded_measures(spark, sf_dir):
     return out.select("o_custkey", F.array_join("excluded", ",").alias("excluded"), "runs_excluded")
 
 
+# --- what is quoted, what the user wrote, what a restore reaches
+
+IDENTIFIER = "[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+|^[A-Za-z0-9_-]+\\.[A-Za-z]{1,5}$|[A-Za-z0-9]+_[A-Za-z0-9]+|[a-z]+[A-Z][A-Za-z0-9]*|::|[A-Za-z0-9_]+\\(\\)"
+SAID = "concat(text, case turn % 3 when 0 then ' Is it so? See `a` or `b`! And more.' when 1 then ' Then run fix_it() now. Later, not yet.' else '' end)"
+REJECTED = "That way is a Rejected Approach, so leave it alone."
+QUOTED = 120
+
+
+@query(
+    f"with s as (select conv_id, turn, {SAID} as t from conversations), p as (select *, string_split(regexp_replace(t, '([.?!])(\\s)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) as parts from s)"
+    ", h as (select *, list_position(list_transform(parts, lambda x: length(x) - length(replace(x, '`', '')) >= 2 or len(list_filter(string_split_regex(x, '\\s+'), lambda w: regexp_matches(regexp_replace(regexp_replace(w, '^[`''\"(\\[{<,;:!?.]+', ''), '[`''\"\\]}>,;:!?.]+$', ''), '"
+    + IDENTIFIER + "'))) > 0), true) as k from p) select conv_id, turn, md5(case when k > 0 then array_to_string(parts[1:k], '') else t end) as quoted from h"
+)
+def code_sentences(spark, sf_dir):
+    """What is said up to the first sentence that names code; some turns get such a sentence."""
+    return docs(spark, sf_dir, "conversations").withColumn("t", F.expr(SAID)).select("conv_id", "turn", F.md5(quotes.through_code_sentence(F.col("t"))).alias("quoted"))
+
+
+@query(
+    f"with s as (select conv_id, turn, concat(text, '. {REJECTED}') as t from conversations), c as (select *, trim(regexp_extract(t, '(?s)^(.*?[.?!])(\\s|$)', 1)) as first from s)"
+    f" select conv_id, turn, case when length(t) <= {QUOTED} then t when length(first) + 40 <= {QUOTED} then concat(first, ' ... That way is a Rejected Approach ...') else concat(left(first, {QUOTED} - 43), '... That way is a Rejected Approach ...') end as quoted from c"
+)
+def rejection_quotes(spark, sf_dir):
+    """Every message, rejected at its end, in 120 characters: how it begins, and the clause that rejects it."""
+    t = F.concat("text", F.lit(f". {REJECTED}"))
+    return docs(spark, sf_dir, "conversations").select("conv_id", "turn", quotes.quote_rejection(t, F.lit("rejected approach"), QUOTED).alias("quoted"))
+
+
+LINE = "concat('- ', case when id % 4 = 0 then 'lib/' else '' end, path, case id % 3 when 0 then 'c' when 1 then '.' else ' | 1' end)"
+
+
+@query(
+    f"with {LED}, l as (select id, path, {LINE} as line, split_part(path, '/', -1) as tail from led where path is not null), n as (select *, unnest([path, tail]) as p, unnest([1, 2]) as k from l)"
+    ", c as (select *, substr(line, position(p in line) - 1, 1) as before, substr(line, position(p in line) + length(p), 1) as after from n)"
+    ", r as (select *, not regexp_matches(before, '[\\pL\\pN_/.\\\\-]') and not regexp_matches(after, '[\\pL\\pN_/-]') as ok from c)"
+    " select id, line, bool_or(ok) filter (k = 1) as named, bool_or(ok) filter (k = 2) as tail_named from r group by all"
+)
+def path_mentions(spark, sf_dir):
+    """Lines that print a path whole, as part of a longer one, or as its head."""
+    rows = flat(spark, sf_dir).where("path is not null").select("id", "path", F.expr(LINE).alias("line"))
+    return rows.select("id", "line", quotes.names_path(F.col("line"), F.col("path")).alias("named"), quotes.names_path(F.col("line"), F.substring_index("path", "/", -1)).alias("tail_named"))
+
+
+#: Elements that clients put around prompts, as (before, after); the last one never ends and so stays.
+AROUND = (
+    ("", ""), ("<system-reminder>note</system-reminder>", ""), ("", "<ide_opened_file>x.py</ide_opened_file> "), ("<bash-input>a<bash-input>b</bash-input></bash-input> <command-name>/x</command-name>", "<Task-Notification a='1'>done</Task-Notification>"),
+    ("<system-reminder>open ", ""),
+)
+
+
+@query(f"with {LED} select id, case when id % 5 = 4 then concat('<system-reminder>open ', prompt) else trim(prompt) end as authored from led where prompt is not null")
+def authored_prompts(spark, sf_dir):
+    """Prompts with what clients put around them, and what of it the user wrote."""
+    side = lambda k: F.element_at(F.array(*[F.lit(a[k]) for a in AROUND]), (F.col("id") % 5 + 1).cast("int"))
+    rows = flat(spark, sf_dir).where("prompt is not null")
+    return rows.select("id", authored(F.concat(side(0), "prompt", side(1))).alias("authored"))
+
+
+#: Commands, and in SQL whether each reaches a path.
+RESTORING = (
+    ("git checkout -- src", "path like 'src/%'"), ("cd src && git restore 'f1*.py'", "path like 'src/f1%.py'"), ("git stash", "path not like '../%'"), ("git restore --staged src", "false"),
+    ("cd $D && git clean -f", "false"), ("git checkout -b src", "false"), ("git reset --hard HEAD~1; git clean -n", "path not like '../%'"), ("FOO=1 git -C node_modules checkout HEAD -- f3.py", "path = 'node_modules/f3.py'"),
+)
+
+
+@query(f"with {LED} select id, path, case " + " ".join(f"when id % {len(RESTORING)} = {i} then {ok}" for i, (_, ok) in enumerate(RESTORING)) + " end as reached from led where path is not null")
+def restore_reach(spark, sf_dir):
+    """Which touched files a restore of each kind would reach."""
+    called = F.element_at(F.array(*[F.lit(c) for c, _ in RESTORING]), (F.col("id") % len(RESTORING) + 1).cast("int"))
+    rows = flat(spark, sf_dir).where("path is not null").select("id", "path", restore_targets(called, F.lit("/w/p"), F.lit("/w/p")).alias("to"))
+    return rows.select("id", "path", reached(F.col("to"), F.col("path"), F.lit("/w/p")).alias("reached"))
+
+
 # --- sections as of a time
 
 THEN = 1704100000000 + 86400000 * 3

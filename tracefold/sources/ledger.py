@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ingest
+from ..functions.authored import authored
 from ..functions.redact import redact
 from ..functions.text import let, truncate_chars
 from .heads import read_heads
@@ -44,12 +45,13 @@ def append(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def parsed(events: DataFrame) -> DataFrame:
-    """events with payload fields as columns; a payload that is not JSON is an empty one."""
+    """events with payload fields as columns; a payload that is not JSON is an empty one, and a prompt is what the user wrote of it."""
     p = F.from_json("payload", PAYLOAD)
     mentioned = F.from_json(F.get_json_object("payload", "$.mentioned"), MENTIONED)
     wide = events.withColumns({"__p": p, "mentioned": mentioned})
     names = [f.split(" ")[0] for f in ("prompt,prompt_id,source,transcript_path,reason,trigger,summary,path,pre_hash,post_hash,size,lines_added,lines_removed,excerpt,command,cwd,exit_code,interrupted,stdout_tail,stderr_tail,error,git,turn_scan").split(",")]
-    return wide.withColumns({n: F.col(f"__p.{n}") for n in names} | {"spooled": F.coalesce(F.col("__p.spooled"), F.lit(False))}).drop("__p")
+    read = {n: F.col(f"__p.{n}") for n in names}
+    return wide.withColumns(read | {"prompt": authored(read["prompt"]), "spooled": F.coalesce(F.col("__p.spooled"), F.lit(False))}).drop("__p")
 
 
 def read_hooks(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +68,7 @@ def read_hooks(spark: SparkSession, path: str) -> DataFrame:
     error = at("error", "error_message")
     response = lambda n: at(f"tool_response.{n}", f"tool_output.{n}")
     fields = {
-        "prompt": ingest.redact_head(at("prompt"), ingest.PROMPT_BYTES), "prompt_id": at("prompt_id"), "source": at("source"), "model": at("model"), "transcript_path": at("transcript_path"),
+        "prompt": ingest.redact_head(authored(at("prompt")), ingest.PROMPT_BYTES), "prompt_id": at("prompt_id"), "source": at("source"), "model": at("model"), "transcript_path": at("transcript_path"),
         "reason": at("reason"), "trigger": at("trigger"), "summary": ingest.redact_head(at("compact_summary", "summary"), ingest.SUMMARY_BYTES),
         "path": at("tool_input.file_path", "tool_input.path", "tool_input.notebook_path"), "pattern": let(let(at("tool_input.pattern"), redact), lambda x: truncate_chars(x, ingest.PATTERN_CHARS)),
         "command": ingest.redact_head(at("tool_input.command"), ingest.COMMAND_BYTES), "cwd": at("cwd"), "error": ingest.redact_head(error, ingest.ERROR_BYTES),
