@@ -44,9 +44,9 @@ def test_rejections_keep_approach_and_clause(spark):
     assert whole(60, "Caching is a rejected approach, because it was slow and it ate all of the memory.") == "Caching is a rejected approach ..."
     assert " ... " in whole(40, "no label at all in this text that is far too long to be shown whole")
     section, text = F.col("s"), F.col("t")
-    rows = [("REJECTED_APPROACHES", REJECTED), ("EARLIER", "Right. See a_b now. " + "More of it. " * 9), ("LATEST", "x" * 90)]
-    got = column(spark, "s string, t string", rows, record.shortened(section, text, 80))
-    assert got == [whole(80), "Right. See a_b now.", "x" * 77 + "..."]
+    rows = [("REJECTED_APPROACHES", REJECTED), ("EARLIER", "Right. See a_b now. " + "More of it. " * 9), ("LATEST", "x" * 110)]
+    got = column(spark, "s string, t string", rows, record.shortened(section, text, 100))
+    assert got == [whole(100), "Right. See a_b now.", "x" * 97 + "..."]
 
 
 def test_prompts_without_what_clients_put_around_them(spark):

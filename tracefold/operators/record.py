@@ -16,6 +16,7 @@ from . import edits as life
 from . import folds, ladder, lookups, ranking
 
 KEYS = ["session_id", "epoch"]
+LENGTHS = {s: {c for _, t, _, _, c, _ in ladder.limits() if t == s} for s in ("REJECTED_APPROACHES", "EARLIER")}
 
 
 def test_runs(timeline: DataFrame, runs: DataFrame) -> DataFrame:
@@ -105,11 +106,18 @@ def activity() -> Column:
 
 
 def shortened(section: Column, text: Column, cap: int) -> Column:
-    """A line in at most cap characters: a rejection keeps the approach and the clause that rejects it, an earlier message its sentence that names code."""
-    low = F.lower(text)
-    cue = F.coalesce(*[F.when(low.contains(c), F.lit(c)) for c in REJECTIONS])
-    said = F.when(section == "EARLIER", through_code_sentence(text)).otherwise(text)
-    return F.when(F.char_length(text) <= cap, text).when((section == "REJECTED_APPROACHES") & cue.isNotNull(), quote_rejection(text, cue, cap)).otherwise(truncate_chars(said, cap))
+    """A line in at most cap characters: a rejection keeps the approach and the clause that rejects it, an earlier message its sentence that names code.
+
+    Only at lengths that some rung gives such a section; at others nothing stands.
+    """
+    out = F.when(F.char_length(text) <= cap, text)
+    if cap in LENGTHS["REJECTED_APPROACHES"]:
+        low = F.lower(text)
+        cue = F.coalesce(*[F.when(low.contains(c), F.lit(c)) for c in REJECTIONS])
+        out = out.when((section == "REJECTED_APPROACHES") & cue.isNotNull(), quote_rejection(text, cue, cap))
+    if cap in LENGTHS["EARLIER"]:
+        out = out.when(section == "EARLIER", truncate_chars(through_code_sentence(text), cap))
+    return out.otherwise(truncate_chars(text, cap))
 
 
 def records(timeline: DataFrame, budget: int = ladder.DEFAULT_BUDGET) -> DataFrame:
