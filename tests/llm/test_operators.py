@@ -580,6 +580,26 @@ def test_decontaminate_paraphrases(spark):
     assert len(got & planted) >= 0.9 * len(planted) and len(got - planted) <= 0.02 * len(planted)
 
 
+def test_decontaminate_space_is_fitted_on_every_passage(spark, monkeypatch):
+    """80,000 passages, against dense rows; long and short texts, repeated words, a part among them."""
+    rng, n = np.random.default_rng(14), 90
+    texts = [rng.integers(0, n - 1, size).astype(np.uint16) for size in [*rng.integers(1, 70, 3000), *[120_000] * 10]]
+    texts[7][:] = n - 1  # one text alone holds this column
+    part, idf = np.arange(20).astype(np.uint16), rng.random(n) + 0.1
+    rows = [t[k : k + 32].tobytes() for t in texts for k in range(0, max(1, 16 * (-(-len(t) // 16) - 1)), 16)]
+    dense = np.array([np.bincount(np.frombuffer(b, np.uint16), minlength=n) for b in rows]) * idf
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    gram = dense.T @ dense
+    row = np.bincount(part, minlength=n) * idf
+    gram += 25 * max(1.0, len(rows) / decontaminate.EVEN) * np.outer(row, row) / (row @ row)
+    values, vectors = np.linalg.eigh(gram)
+    monkeypatch.setattr(decontaminate, "BATCH", 20_000)
+    cols = spark.createDataFrame([(k, t.tobytes()) for k, t in enumerate(texts)] + [(-1, b"")], "i bigint, cols binary").repartition(5)
+    space = decontaminate.latent_space(cols, len(rows), [part], idf)
+    whole = (vectors / values) @ vectors.T * np.outer(idf, idf)  # start has n columns here, so nothing is cut
+    assert len(rows) > 75_000 and space.shape == (n, n) and np.abs(space @ space.T - whole).max() < 1e-3 * np.abs(whole).max()
+
+
 def test_decontaminate_blocks_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "TERMS", 80)
     monkeypatch.setattr(decontaminate, "BATCH", 500)

@@ -6,9 +6,8 @@ Documents are tiled into passages of ``WINDOW`` words, ``STRIDE`` apart, all of
 1. Words become columns of a term table: each term of the benchmark its own, all others one of ``HASHED`` classes. Texts are read once
    and written as columns (two bytes a word). Document counts over all documents give the IDF.
 2. Latent space. The singular vectors of TF-IDF rows, by a randomised range finder whose sums Spark adds up over tasks. The rows
-   are the parts, ``WEIGHT`` times, and a bounded sample of ``SAMPLE`` passages (chosen by hash from all documents): it fits the space, as an
-   index may be fitted; every passage is searched in it. Directions are divided by their singular values, so what all texts of a
-   language share counts little.
+   are all passages of all documents and the parts, ``WEIGHT`` times where there are up to ``EVEN`` passages and in proportion where there
+   are more. Directions are divided by their singular values, so what all texts of a language share counts little.
 3. Search. Every passage of every document is projected, and held against every part by cosine, in blocks; what reaches ``LATENT`` is a
    candidate. Nothing else makes one.
 4. Checks of a candidate on its words and ``AROUND`` more on either side: ``share``, the chunk's longest common subsequence, and
@@ -41,8 +40,8 @@ from .common import listed, materialise, table
 
 WORD = re.compile(r"\w+")
 STRIDE, WINDOW, CHUNK, AROUND = 16, 32, 64, 64
-HASHED, RANK, EXTRA, WEIGHT, SAMPLE = 8192, 112, 16, 5.0, 60_000
-PARTS, TERMS, SAMPLE_TASKS = 512, 50_000, 6
+HASHED, RANK, EXTRA, WEIGHT, EVEN = 8192, 112, 16, 5.0, 60_000
+PARTS, TERMS, SUMMED = 512, 50_000, 2_000_000
 LATENT = 0.4
 SAME, EITHER, ANSWER = 0.8, 0.35, 0.4
 SCALE = float(1 << 24)
@@ -154,70 +153,101 @@ def document_counts(cols: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return out[:n], int(out[n])
 
 
-def sampled(cols: DataFrame, passages: int) -> DataFrame:
-    """(cols) of some SAMPLE passages, chosen by a hash of document and place."""
-    rate = min(1.0, SAMPLE / max(1, passages))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for i, b in zip(frame["i"].tolist(), frame["cols"], strict=True):
-                tiles = np.arange(len(b) // 2 // STRIDE + 1, dtype=np.uint64)
-                h = (tiles + np.uint64(i % (1 << 40)) * np.uint64(0x9E3779B1)) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                for k in np.flatnonzero((h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < rate).tolist():
-                    piece = b[2 * k * STRIDE : 2 * (k * STRIDE + WINDOW)]
-                    if piece:
-                        out.append(bytes(piece))
-            yield pd.DataFrame({"cols": listed(out)})
-
-    return materialise(cols.mapInPandas(run, "cols binary").repartition(SAMPLE_TASKS))
-
-
-def range_sums(rows: list[np.ndarray], times: float, idf: np.ndarray, start: np.ndarray, total: np.ndarray) -> None:
-    """Adds A'(A start) of unit TF-IDF rows (columns of their words) to total."""
-    for lo in range(0, len(rows), 2000):
-        some = [r for r in rows[lo : lo + 2000] if len(r)]
-        if not some:
-            continue
-        flat, ends = np.concatenate(some), np.cumsum([0] + [len(r) for r in some])
-        row, n = np.repeat(np.arange(len(some)), np.diff(ends)), len(idf)
-        pair, tf = np.unique(row * n + flat, return_counts=True)  # repeated words add up
-        row, col = pair // n, pair % n
-        w = tf * idf[col]
-        w = w * (times / np.maximum(np.sqrt(np.bincount(row, w * w)), 1e-12))[row]
-        first = np.searchsorted(row, np.arange(len(some)))
-        y = np.add.reduceat(w[:, None] * start[col], first, axis=0)
-        order = np.argsort(col, kind="stable")
-        at = np.flatnonzero(np.concatenate(([True], np.diff(col[order]) > 0)))
-        total[col[order][at]] += np.add.reduceat((w[:, None] * y[row])[order], at, axis=0)
-
-
-def latent_space(sample: DataFrame, parts: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+def batches(frames: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Ids and columns of texts that hold a word, some `most` words at once, never across frames."""
+    for frame in frames:
+        ids, texts, size = [], [], 0
+        for i, b in zip(frame["i"].tolist(), frame["cols"], strict=True):
+            if len(b):
+                ids.append(i)
+                texts.append(np.frombuffer(b, np.uint16))
+                size += len(b) // 2
+            if size > most:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        if texts:
+            yield ids, texts
+
+
+def tiled(texts: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tiles of texts (tiles x STRIDE columns, the last of a text filled up with pad), which text each is of, its place there, and whether one follows.
+
+    A tile and the one that follows are a passage; the last of a text is one by itself only where it is the first.
+    """
+    sizes = np.array([len(x) for x in texts])
+    count = -(-sizes // STRIDE)
+    first = np.cumsum(count) - count
+    out = np.full(int(count.sum()) * STRIDE, pad, np.uint16)
+    out[np.arange(int(sizes.sum())) + np.repeat(first * STRIDE - (np.cumsum(sizes) - sizes), sizes)] = np.concatenate(texts)
+    of = np.repeat(np.arange(len(texts)), count)
+    return out.reshape(-1, STRIDE), of, np.arange(len(of)) - first[of], np.append(of[1:] == of[:-1], False)
+
+
+def tile_sums(tiles: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of rows (a zero one for the pad) over the columns of each tile."""
+    out = np.empty((len(tiles), rows.shape[1]), np.float32)
+    for lo in range(0, len(tiles), 128):
+        rows[tiles[lo : lo + 128]].sum(axis=1, out=out[lo : lo + 128])
+    return out
+
+
+def padded(rows: np.ndarray) -> np.ndarray:
+    return np.concatenate((rows, np.zeros((1, *rows.shape[1:])))).astype(np.float32)
+
+
+def range_sums(texts: list[np.ndarray], idf: np.ndarray, start: np.ndarray, total: np.ndarray) -> None:
+    """Adds A'(A start), but for the IDF of A', to total (width x columns): A has a unit TF-IDF row for each passage of texts. idf, start: padded."""
+    tiles, _, place, more = tiled(texts, len(idf) - 1)
+    y = tile_sums(tiles, start * idf[:, None])
+    y[:-1][more[:-1]] += y[1:][more[:-1]]
+    both = np.full((len(tiles), 2 * STRIDE), len(idf) - 1, np.uint16)
+    both[:, :STRIDE] = tiles
+    both[:-1, STRIDE:][more[:-1]] = tiles[1:][more[:-1]]
+    both = np.sort(both, axis=1).T
+    nth, square = np.ones(len(tiles), np.float32), idf[both[0]] ** 2
+    for before, now in zip(both, both[1:], strict=False):  # a word that occurs n times adds n * n in all: 1 + 3 + 5 ...
+        nth = np.where(now == before, nth + 1, np.float32(1))
+        square += (2 * nth - 1) * idf[now] ** 2
+    y *= (np.where(more | (place == 0), 1, 0) / np.maximum(square, 1e-24)).astype(np.float32)[:, None]
+    y[1:][more[:-1]] += y[:-1][more[:-1]].copy()
+    order = np.argsort(tiles.ravel(), kind="stable")
+    column = tiles.ravel()[order]
+    words = int(np.searchsorted(column, len(idf) - 1))
+    at, tile = np.flatnonzero(np.concatenate(([True], column[1:words] != column[: words - 1]))), order[:words] // STRIDE
+    some, distinct = np.empty(words, np.float32), column[at]
+    for j, of_tile in enumerate(np.ascontiguousarray(y.T)):
+        np.take(of_tile, tile, mode="clip", out=some)
+        total[j, distinct] += np.add.reduceat(some, at)
+
+
+def latent_space(cols: DataFrame, passages: int, parts: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
     """Columns x RANK: IDF times the right singular vectors over their singular values, by a randomised range finder (Nystroem form, one pass)."""
     n = len(idf)
     rng = np.random.Generator(np.random.Philox(key=23))
-    start = rng.normal(size=(n, min(n, RANK + EXTRA)))
-    width = start.shape[1]
+    start = rng.normal(size=(n, min(n, RANK + EXTRA))).astype(np.float32)
+    width, weights, starts = start.shape[1], padded(idf), padded(start)
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(start.shape)
-        for frame in frames:
-            range_sums([np.frombuffer(b, np.uint16).astype(np.int64) for b in frame["cols"]], 1.0, idf, start, total)
-        whole = np.rint(total * SCALE).astype(np.int64)  # exact sums: the order of tasks changes nothing
+        total = np.zeros((width, n))
+        for _, texts in batches(frames, BATCH):
+            range_sums(texts, weights, starts, total)
+        whole = np.rint(total.T * idf[:, None] * SCALE).astype(np.int64)  # exact sums: the order of tasks changes nothing
         used = np.flatnonzero(whole.any(axis=1))
         for lo in range(0, len(used), 1024):
             some = used[lo : lo + 1024]
             yield pd.DataFrame({"r": some, "v": listed(whole[some])})
 
-    added = sample.mapInPandas(sums, "r bigint, v array<bigint>").groupBy("r").agg(F.array(*[F.sum(F.col("v")[j]) for j in range(width)]).alias("v"))
+    tasks = max(cols.sparkSession.sparkContext.defaultParallelism, -(-passages // SUMMED))  # each returns columns x width numbers
+    added = cols.coalesce(tasks).mapInPandas(sums, "r bigint, v array<bigint>").groupBy("r").agg(F.array(*[F.sum(F.col("v")[j]) for j in range(width)]).alias("v"))
     spanned = np.zeros(start.shape)
     for r in added.toLocalIterator():  # n rows at most
         spanned[r["r"]] = np.asarray(r["v"], np.float64) / SCALE
-    range_sums(parts, WEIGHT, idf, start, spanned)
-    core = start.T @ spanned
+    of_parts = np.zeros((width, n))
+    range_sums(parts, weights, starts, of_parts)
+    spanned += WEIGHT**2 * max(1.0, passages / EVEN) * of_parts.T * idf[:, None]
+    core = start.T.astype(np.float64) @ spanned
     values, turn = np.linalg.eigh((core + core.T) / 2)
-    keep = values > max(values.max(), 1e-12) * 1e-9
+    keep = values > max(values.max(), 1e-12) * 1e-7
     if not keep.any():
         return np.zeros((n, 1), np.float32)
     vectors, singular, _ = np.linalg.svd(spanned @ (turn[:, keep] / np.sqrt(values[keep])), full_matrices=False)
@@ -230,17 +260,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def passage_vectors(texts: list[np.ndarray], space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit vectors of the passages of texts, which text each is of, and at which tile it begins."""
-    tiles = np.array([-(-len(x) // STRIDE) for x in texts])
-    flat, offset = np.concatenate(texts), np.cumsum([0] + [len(x) for x in texts[:-1]])
-    of = np.repeat(np.arange(len(texts)), tiles)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
-    first = offset[of] + place * STRIDE
-    sums = np.empty((len(of), space.shape[1]), np.float32)
-    for lo in range(0, len(of), 1024):
-        a, b = first[lo], first[lo + 1024] if lo + 1024 < len(of) else len(flat)
-        sums[lo : lo + 1024] = np.add.reduceat(space[flat[a:b]], first[lo : lo + 1024] - a, axis=0)
-    more = np.append(of[1:] == of[:-1], False)
+    """Unit vectors of the passages of texts, which text each is of, and at which tile it begins. space: padded."""
+    tiles, of, place, more = tiled(texts, len(space) - 1)
+    sums = tile_sums(tiles, space)
     sums[:-1][more[:-1]] += sums[1:][more[:-1]]
     keep = more | (place == 0)  # the last tile of a text is in the passage before
     return unit(sums[keep]), of[keep], place[keep]
@@ -270,35 +292,21 @@ def matches(docs: DataFrame, cuts: list[tuple[int, list[str], list[str]]]) -> Da
     idf = np.log((docs.count() + 1) / (counts + 1.0)) + 0.05
     chunks = [Chunk(i, [known[w] for w in words], [known[w] for w in answer], idf) for i, words, answer in cuts]
     parts = [(c, np.array(piece)) for c, chunk in enumerate(chunks) for piece in cut(chunk.terms, WINDOW)]
-    space = latent_space(sampled(cols, passages), [p for _, p in parts], idf)
+    space = padded(latent_space(cols, passages, [p for _, p in parts], idf))
     asked, of_part = unit(np.array([space[p].sum(axis=0) for _, p in parts])).T, np.array([c for c, _ in parts])
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for ids, batch in batches(frames, BATCH):
             best: dict[tuple[int, int], tuple[float, float]] = {}
-            ids, batch, size = [], [], 0
-
-            def flush() -> None:
-                vectors, of, tile = passage_vectors(batch, space)
-                for lo in range(0, len(vectors), 4096):
-                    row, part = np.nonzero(vectors[lo : lo + 4096] @ asked >= LATENT)
-                    for r, c in np.unique(np.stack((row + lo, of_part[part]), axis=1), axis=0).tolist():
-                        at = int(tile[r]) * STRIDE
-                        got = chunks[c].check(batch[of[r]][max(0, at - AROUND) : at + WINDOW + AROUND].tolist())
-                        if got:
-                            key = ids[of[r]], chunks[c].item
-                            best[key] = max(best.get(key, (0.0, 0.0)), got)
-
-            for i, b in zip(frame["i"].tolist(), frame["cols"], strict=True):
-                if len(b):
-                    ids.append(i)
-                    batch.append(np.frombuffer(b, np.uint16))
-                    size += len(b) // 2
-                if size > BATCH:
-                    flush()
-                    ids, batch, size = [], [], 0
-            if batch:
-                flush()
+            vectors, of, tile = passage_vectors(batch, space)
+            for lo in range(0, len(vectors), 4096):
+                row, part = np.nonzero(vectors[lo : lo + 4096] @ asked >= LATENT)
+                for r, c in np.unique(np.stack((row + lo, of_part[part]), axis=1), axis=0).tolist():
+                    at = int(tile[r]) * STRIDE
+                    got = chunks[c].check(batch[of[r]][max(0, at - AROUND) : at + WINDOW + AROUND].tolist())
+                    if got:
+                        key = ids[of[r]], chunks[c].item
+                        best[key] = max(best.get(key, (0.0, 0.0)), got)
             yield pd.DataFrame([(*k, *v) for k, v in best.items()], columns=["doc_id", "item_id", "lcs", "mass"])
 
     return cols.mapInPandas(search, "doc_id bigint, item_id bigint, lcs double, mass double")
