@@ -1,6 +1,7 @@
 """The library's operators on small tables: properties, folds against restatements, and the catalogue against DuckDB."""
 
 import json
+import math
 import os
 import random
 
@@ -13,6 +14,7 @@ from tracefold.functions import commands as cmd
 from tracefold.functions import prompts
 from tracefold.functions import text as tx
 from tracefold.functions.redact import redact
+from tracefold.operators import analytics as an
 from tracefold.operators import edits, folds, order, render
 from tracefold.plans import catalogue
 from tracefold.sources import ledger
@@ -296,6 +298,30 @@ def test_only_sessions_with_an_event_out_of_order_are_folded_anew(spark, tmp_pat
     assert sorted(map(str, stream.held_rows(spark, base, "timeline").collect())) == before
 
 
+def test_exact_p_of_small_and_large_tables(spark):
+    """Against fractions; and tables of a million, which once took a step for every pair of counts."""
+    import time
+    from fractions import Fraction
+    from math import comb
+
+    rng = random.Random(16)
+    small = [tuple(rng.randrange(m) for _ in range(4)) for m in (1, 2, 3, 9, 30, 150) for _ in range(12)] + [(0, 5, 0, 0), (7, 0, 0, 0), (0, 0, 3, 0), (40, 0, 0, 60), (0, 40, 60, 0)]
+    large = [(250_400, 249_600, 249_600, 250_400), (250_000, 250_000, 250_000, 250_000), (0, 400_000, 400_000, 200_000), (500_000, 0, 0, 500_000)]
+    table = [F.col(x) for x in "abcd"]
+    both = lambda rows: spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a bigint, b bigint, c bigint, d bigint").select("k", an.fisher_one_sided(*table).alias("p"), an.best_p(*table).alias("best"))
+    got = {r.k: (r.p, r.best) for r in both(small).collect()}
+    for k, (a, b, c, d) in enumerate(small):
+        row, col, n = a + b, a + c, a + b + c + d
+        at_least = lambda x: float(Fraction(sum(comb(row, i) * comb(n - row, col - i) for i in range(x, min(row, col) + 1)), comb(n, col)))  # noqa: E731, B023
+        assert got[k] == pytest.approx((at_least(a), at_least(min(row, col))), rel=1e-11), small[k]
+    began = time.time()
+    p = {r.k: r.p for r in both(large).collect()}
+    z = 400 / (0.5e6**4 / 1e6**2 / (1e6 - 1)) ** 0.5
+    normal = lambda z: math.erfc(z / 2**0.5) / 2
+    assert p[0] == pytest.approx(normal(z * 399.5 / 400), rel=1e-4) and p[1] == pytest.approx(normal(-z * 0.5 / 400), rel=1e-6) and (p[2], p[3]) == (1.0, 0.0)
+    assert time.time() - began < 20
+
+
 # --- catalogue
 
 

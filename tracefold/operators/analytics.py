@@ -6,27 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def log_factorial(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda acc, i: acc + F.log(i.cast("double")))
+def upper_tail(x: Column, row: Column, col: Column, n: Column) -> Column:
+    """P of a hypergeometric count (col of n are marked, row are drawn) of at least x.
+
+    Weights relative to the likeliest count follow from one another, so the sum over all of them scales them and no factorial occurs. By Hoeffding's bound
+    all counts farther from it than REACH times the root of the smallest margin have a probability below the smallest double together: they are zero
+    in any case, and the steps grow with the root of n.
+    """
+    row, col, n = (c.cast("double") for c in (row, col, n))
+    rest = n - row - col
+    low, high = F.greatest(-rest, F.lit(0.0)), F.least(row, col)
+    mode = F.least(F.greatest(F.floor((row + 1) * (col + 1) / (n + 2)).cast("double"), low), high)
+    reach = F.ceil(REACH * F.sqrt(F.least(row, col, n - row, n - col))) + 2
+
+    def steps(last: Column, ratio) -> Column:
+        some = F.when(last != mode, F.slice(F.sequence(mode.cast("long"), last.cast("long")), 2, 1 << 30)).otherwise(F.array().cast("array<bigint>"))
+
+        def add(acc: Column, at: Column) -> Column:
+            w = acc["w"] * ratio(at.cast("double"))
+            return F.struct(w.alias("w"), (acc["all"] + w).alias("all"), (acc["tail"] + F.when(at >= x, w).otherwise(0.0)).alias("tail"))
+
+        zero = F.lit(0.0)
+        return F.aggregate(some, F.struct(F.lit(1.0).alias("w"), zero.alias("all"), zero.alias("tail")), add)
+
+    up = steps(F.least(high, mode + reach), lambda k: (row - k + 1) * (col - k + 1) / (k * (rest + k)))
+    down = steps(F.greatest(low, mode - reach), lambda k: (k + 1) * (rest + k + 1) / ((row - k) * (col - k)))
+    return (up["tail"] + down["tail"] + F.when(mode >= x, 1.0).otherwise(0.0)) / (up["all"] + down["all"] + 1)
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+#: 2 * REACH ** 2 is 750, and exp(-750) is no double.
+REACH = 375**0.5
 
 
 def fisher_one_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
     """P of a table at least as extreme as [[a, b], [c, d]] towards large a, margins fixed."""
-    row, col, n = a + b, a + c, a + b + c + d
-    terms = F.sequence(a.cast("int"), F.least(row, col).cast("int"))
-    p = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + F.exp(log_choose(row, x) + log_choose(n - row, col - x) - log_choose(n, col)))
-    return F.least(p, F.lit(1.0))
+    return F.least(upper_tail(a, a + b, a + c, a + b + c + d), F.lit(1.0))
 
 
 def best_p(a: Column, b: Column, c: Column, d: Column) -> Column:
     """The smallest p that the margins allow: could any outcome have been significant?"""
-    row, col, n = a + b, a + c, a + b + c + d
-    x = F.least(row, col)
-    return F.exp(log_choose(row, x) + log_choose(n - row, col - x) - log_choose(n, col))
+    return upper_tail(F.least(a + b, a + c), a + b, a + c, a + b + c + d)
 
 
 def nearest_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float], half_even: bool = True) -> DataFrame:
