@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracefold.operators import edits, folds, lineage, views
@@ -82,3 +83,27 @@ def test_markers_through_layers(spark):
         seen = [(layer, got[s, m, layer][0]) for layer in "abcd" if got[s, m, layer][0] is not None]
         lost = next((b[0] for a, b in zip(seen, seen[1:], strict=False) if a[1] and not b[1]), None)
         assert traced[s, m] == (lost, lost and f"r-{lost}")
+
+
+@pytest.mark.parametrize("few", [2, 64])
+def test_markers_are_traced_with_nothing_kept_of_texts(spark, monkeypatch, few):
+    """Sessions with few and with many markers, some without a text; no text is sorted, joined twice or gathered for few ones."""
+    monkeypatch.setattr(lineage, "FEW", few)
+    rng = random.Random(3)
+    words, layers = ["src/a.py", "Parse", "x", "\u00e91", "t\\1", "run", ""], ["a", "b", "c", "d"]
+    texts = [(f"s{s}", rng.choice("abcde"), "r", rng.choice([None, " ".join(rng.choice(words) for _ in range(3))])) for s in range(40) for _ in range(rng.randrange(8))]
+    markers = [(f"s{s}", m) for s in range(45) for m in rng.sample(["SRC/a", "parse", "x", "\u00c91", "t/1", "never", "n x", None, ""], rng.randrange(1, 9))]
+    asked = spark.createDataFrame(markers + markers[:9], "session_id string, marker string")
+    traced = lineage.trace(spark.createDataFrame(texts, "session_id string, layer string, row string, text string"), asked, {k: f"r-{k}" for k in layers})
+    norm = lambda x: x.replace("\\", "/").lower()
+    want = {}
+    for s, m in markers:
+        if m:
+            by = [[norm(m) in norm(t) for s2, l2, _, t in texts if (s2, l2) == (s, layer) and t is not None] for layer in layers]
+            seen = [(layer, any(x)) for layer, x in zip(layers, by, strict=True) if x]
+            lost = next((b[0] for a, b in zip(seen, seen[1:], strict=False) if a[1] and not b[1]), None)
+            want[s, m] = (lost, any(x for _, x in seen), lost and f"r-{lost}")
+    rows = traced.collect()
+    assert {(r.session_id, r.marker): (r.lost_at, r.ever_present, r.reason) for r in rows} == want and len(rows) == len(want)
+    plan = traced._jdf.queryExecution().optimizedPlan().toString()
+    assert few == 2 or ("substr" not in plan and "collect_list(row" not in plan and plan.count("Join") == 1)
