@@ -298,6 +298,15 @@ def test_only_sessions_with_an_event_out_of_order_are_folded_anew(spark, tmp_pat
     assert sorted(map(str, stream.held_rows(spark, base, "timeline").collect())) == before
 
 
+def test_stated_rules_name_each_step_once(spark):
+    """What a column expression names twice is computed twice; it once grew to 653 replacements and 455 splits of one prompt."""
+    plan = spark.createDataFrame([("a",)], "t string").select(prompts.stated_rules(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") < 30 and plan.count("split(") < 20
+    text = "We tried a workaround with a lock. That workaround is a rejected approach. Never say `always`."
+    got = [(r.text, r.cue, r.kind) for r in one(spark, prompts.stated_rules, text)]
+    assert got == [("Never say `always`.", "never", "prohibition"), (text.rsplit(" Never", 1)[0], "rejected approach", "rejection")]
+
+
 def test_exact_p_of_small_and_large_tables(spark):
     """Against fractions; and tables of a million, which once took a step for every pair of counts."""
     import time

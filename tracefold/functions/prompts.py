@@ -65,41 +65,61 @@ def rejection(paragraph: Column, k: Column, cue: Column) -> Column:
 
     def judged(low: Column) -> Column:
         at = F.position(cue, low)
-        head, tail = words(F.substr(low, F.lit(1), at - 1)), F.ltrim(F.substr(low, at + F.char_length(cue)))
-        hedged = F.exists(words(F.lower(text)), lambda w: inside(w, HEDGES)) | F.lower(text).rlike("|".join(HEDGE_PHRASES))
+        parts = F.struct(at.alias("at"), words(F.substr(low, F.lit(1), at - 1)).alias("head"), F.ltrim(F.substr(low, at + F.char_length(cue))).alias("tail"), F.lower(text).alias("whole"))
+        return let(parts, lambda p: asserted(low, p["at"], p["head"], p["tail"], p["whole"]))
+
+    def asserted(low: Column, at: Column, head: Column, tail: Column, plain: Column) -> Column:
+        hedged = F.exists(words(plain), lambda w: inside(w, HEDGES)) | plain.rlike("|".join(HEDGE_PHRASES))
         negated = F.exists(F.slice(F.reverse(head), 1, 5), lambda w: w.isin("not", "no", "never", "longer") | w.endswith("n't"))
         core = F.regexp_replace(F.array_join(head, " "), r"(?:(?:^| )(?:" + "|".join(FILLERS) + r"))+$", "")
-        verb = F.substring_index(core, " ", -1)
+        predicate = let(core, lambda c: let(F.substring_index(c, " ", -1), lambda verb: predicated(low, c, verb)))
+        heading = let(words(tail), lambda t: F.when(tail.startswith(":") & (F.size(t) >= 2) & ~inside(F.get(t, F.lit(0)), POINTERS), text))
+        return F.when((at > 0) & ~plain.endswith("?") & ~hedged & ~negated, F.when(F.size(head) == 0, heading).otherwise(predicate))
+
+    def predicated(low: Column, core: Column, verb: Column) -> Column:
         said = verb.isin("is", "are", "as") | verb.endswith("'s")
         subject = F.trim(F.concat(F.regexp_replace(core, r"(?:^| )\S*$", ""), F.when(verb.endswith("'s"), F.concat(F.lit(" "), F.regexp_replace(verb, "'s$", ""))).otherwise("")))
-        of = F.split(subject, " ")
-        back = F.when(inside(F.get(of, F.lit(0)), POINTERS) | low.startswith("the above "), 0).when((verb == "as") & inside(F.get(of, F.lit(1)), POINTERS), 1)
+
+        def told(subject: Column) -> Column:
+            of = F.split(subject, " ")
+            back = F.when(inside(F.get(of, F.lit(0)), POINTERS) | low.startswith("the above "), 0).when((verb == "as") & inside(F.get(of, F.lit(1)), POINTERS), 1)
+            return F.when(subject != "", let(back, lambda k: F.when(k.isNull(), text).otherwise(let(of, lambda o: pointed(o, k)))))
+
+        return F.when(said, let(subject, told))
+
+    def pointed(of: Column, back: Column) -> Column:
         named = F.get(F.filter(F.slice(of, back + 2, 3), lambda w: inside(w, [*APPROACHES, *(f"{n}s" for n in APPROACHES)])), F.lit(0))
-        noun = F.when(inside(named, APPROACHES), named).otherwise(F.regexp_replace(named, "s$", ""))
+        return let(named, lambda w: let(F.when(inside(w, APPROACHES), w).otherwise(F.regexp_replace(w, "s$", "")), antecedent))
+
+    def antecedent(noun: Column) -> Column:
         names = lambda x: ~x.endswith("?") & F.exists(words(unquoted(x)), lambda w: (w == noun) | (w == F.concat(noun, F.lit("s"))))
         before = F.filter(F.sequence(F.greatest(k - LOOK_BACK, F.lit(0)), F.greatest(k - 1, F.lit(0))), lambda j: (j < k) & names(F.get(paragraph, j)))
-        whole = F.array_join(F.slice(paragraph, F.get(before, F.lit(0)) + 1, k - F.get(before, F.lit(0)) + 1), " ")
-        pointing = F.when(noun.isNotNull() & (F.size(before) == 1) & (F.char_length(whole) <= LONGEST), whole)
-        heading = F.when(tail.startswith(":") & (F.size(words(tail)) >= 2) & ~inside(F.get(words(tail), F.lit(0)), POINTERS), text)
-        predicate = F.when(said & (subject != ""), F.when(back.isNull(), text).otherwise(pointing))
-        return F.when((at > 0) & ~F.lower(text).endswith("?") & ~hedged & ~negated, F.when(F.size(head) == 0, heading).otherwise(predicate))
+        whole = lambda b: F.array_join(F.slice(paragraph, F.get(b, F.lit(0)) + 1, k - F.get(b, F.lit(0)) + 1), " ")
+        once = let(before, lambda b: F.when(F.size(b) == 1, let(whole(b), lambda x: F.when(F.char_length(x) <= LONGEST, x))))
+        return F.when(noun.isNotNull(), once)
 
     return let(unquoted(text), judged)
 
 
+def cue_pattern(*cues: str) -> str:
+    return r"(?<![a-z])(?:" + "|".join(re.escape(c).replace("\\ ", " ") for c in cues) + ")"
+
+
 def stated_rules(s: Column) -> Column:
     """array<struct<text, cue, kind>>: at most three rules and two rejections, in the order they are stated."""
     def one(paragraph: Column, x: Column, k: Column) -> Column:
-        low = F.concat(unquoted(x), F.lit(" "))
-        cue, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for name, cues in reversed(CLASSES):
-            for c in reversed(cues):
-                hit = low.rlike(r"(?<![a-z])" + re.escape(c).replace("\\ ", " "))
-                cue, kind = F.when(hit, F.lit(c.strip())).otherwise(cue), F.when(hit, F.lit(name)).otherwise(kind)
-        now = low.rlike("|".join(re.escape(c) for c in TIME_SCOPED))
-        ok = F.char_length(x).between(SHORTEST, LONGEST) & ~now
-        found = F.struct(F.when(ok, cue).alias("cue"), F.when(ok, kind).alias("kind"))
-        return let(found, lambda r: F.struct(F.when(r["kind"] == "rejection", rejection(paragraph, k, r["cue"])).otherwise(x).alias("text"), r["cue"].alias("cue"), r["kind"].alias("kind")))
+        def found(low: Column) -> Column:
+            first = None
+            for name, cues in CLASSES:
+                for c in cues:
+                    hit, what = low.rlike(cue_pattern(c)), F.struct(F.lit(c.strip()).alias("cue"), F.lit(name).alias("kind"))
+                    first = F.when(hit, what) if first is None else first.when(hit, what)
+            some = low.rlike(cue_pattern(*[c for _, cues in CLASSES for c in cues]))  # most sentences have none
+            now = low.rlike("|".join(re.escape(c) for c in TIME_SCOPED))
+            return F.when(some & ~now, first)
+
+        cue = F.when(F.char_length(x).between(SHORTEST, LONGEST), let(F.concat(unquoted(x), F.lit(" ")), found))
+        return let(cue, lambda r: F.struct(F.when(r["kind"] == "rejection", rejection(paragraph, k, r["cue"])).otherwise(x).alias("text"), r["cue"].alias("cue"), r["kind"].alias("kind")))
 
     by_paragraph = F.transform(paragraphs(s), lambda p: F.transform(p, lambda x, k: one(p, x, k)))
     found = F.filter(F.flatten(by_paragraph), lambda r: r["cue"].isNotNull() & r["text"].isNotNull())
