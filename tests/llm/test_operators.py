@@ -612,6 +612,17 @@ def test_decontaminate_blocks_and_long_texts(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in found} == want and (100, 3) in want and len(found) == len(want)
 
 
+def test_words_and_document_counts(spark):
+    rng = random.Random(15)
+    marks = [chr(k) for k in range(256)] + ["\u0130", "\u2028", "\u4e2d", "\U0001d400", "\ud800"]
+    for _ in range(300):
+        text = "".join(rng.choice(marks if rng.random() < 0.5 else marks[:256]) for _ in range(60))
+        assert decontaminate.words_of(text) == re.findall(r"\w+", text.lower()), text
+    texts = [np.array([rng.randrange(50) for _ in range(n)], np.uint16) for n in (0, 1, 5, 16, 400, 33)]
+    counts, tiles = decontaminate.document_counts(spark.createDataFrame([(x.tobytes(),) for x in texts], "cols binary"), 60)
+    assert counts.tolist() == [sum(k in x for x in texts) for k in range(60)] and tiles == sum(len(x) // 16 + 1 for x in texts)
+
+
 def test_subsequence():
     rng = random.Random(1)
     for _ in range(50):

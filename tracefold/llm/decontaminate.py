@@ -48,8 +48,17 @@ SCALE = float(1 << 24)
 CACHE, BATCH = 200_000, 500_000
 
 
+#: What is no part of a word in Latin-1 becomes a blank.
+BLANKED = bytes(k if WORD.match(chr(k)) else 32 for k in range(256))
+
+
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """The matches of WORD in lower case; by bytes where one holds a character, which is faster."""
+    low = (text or "").lower()
+    try:
+        return low.encode("latin-1").translate(BLANKED).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(low)
 
 
 def answer_of(text: str) -> list[str]:
@@ -138,11 +147,13 @@ def document_counts(cols: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """The number of documents that hold each column, and the number of all passages."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, tiles = np.zeros(n, np.int64), 0
+        count, tiles, place = np.zeros(n, np.int64), 0, np.zeros(n, np.int64)
         for frame in frames:
             for b in frame["cols"]:
                 x = np.frombuffer(b, np.uint16)
-                count[np.unique(x)] += 1
+                at = np.arange(len(x))
+                place[x] = at
+                count[x[place[x] == at]] += 1  # one place of each column
                 tiles += len(x) // STRIDE + 1
         used = np.flatnonzero(count)
         yield pd.DataFrame({"at": np.append(used, n), "c": np.append(count[used], tiles)})
@@ -186,8 +197,8 @@ def tiled(texts: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray, np
 def tile_sums(tiles: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of rows (a zero one for the pad) over the columns of each tile."""
     out = np.empty((len(tiles), rows.shape[1]), np.float32)
-    for lo in range(0, len(tiles), 128):
-        rows[tiles[lo : lo + 128]].sum(axis=1, out=out[lo : lo + 128])
+    for lo in range(0, len(tiles), 256):
+        np.take(rows, tiles[lo : lo + 256], axis=0, mode="clip").sum(axis=1, out=out[lo : lo + 256])
     return out
 
 
