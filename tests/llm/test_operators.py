@@ -9,10 +9,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.llm import catalogue, decontaminate, html_text, jaccard_join, katz, language, mixing, neighbours, quality, secrets, url_filter
+from tracefold.llm import catalogue, common, decontaminate, html_text, jaccard_join, katz, language, mixing, neighbours, quality, secrets, url_filter
 from tracefold.llm.graph import components
 
 
@@ -623,6 +624,29 @@ def test_words_and_document_counts(spark):
     assert counts.tolist() == [sum(k in x for x in texts) for k in range(60)] and tiles == sum(len(x) // 16 + 1 for x in texts)
 
 
+def test_decontaminate_columns(monkeypatch):
+    """Columns of many texts at once against one word after the other; pieces cut anywhere, words of one byte and of many, other scripts."""
+    rng = random.Random(16)
+    marks = [chr(k) for k in range(256)] + ["\u0130", "\u2028", "\u212a", "\u03a3", "\u4e2d", "\U0001d400"]
+    one = lambda: "".join(rng.choice("abcXYZ09_\u00e9\u00c9\u4e2d" if rng.random() < 0.1 else "abcXYZ\u00e9\u00c9") for _ in range(rng.choice([1, 2, 3, 9, 63, 64, 65, 300])))
+    texts = ["", " ", "a", " a ", "\u00c9", ", .", "\u4e2d", *("".join(rng.choice(marks) for _ in range(rng.randrange(80))) for _ in range(200)), *(" ".join(one() for _ in range(40)) for _ in range(40)), "x" * 5000, ""]
+    every = [decontaminate.words_of(t) for t in texts]
+    known = {w: k for k, w in enumerate(sorted({w for words in every[::3] for w in words[::2]}))}
+    own = pa.array([w.encode() for w in known], pa.large_binary())
+    want = [[known.get(w, len(known) + zlib.crc32(w.encode()) % decontaminate.HASHED) for w in words] for words in every]
+    for most in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(common, "PIECE_BYTES", most)
+        assert [x.tolist() for x in decontaminate.columns_of(texts, own)] == want
+    assert decontaminate.columns_of([], own) == [] and [x.tolist() for x in decontaminate.columns_of(["", "?"], own)] == [[], []]
+
+
+def test_decontaminate_rows_are_stretches_of_memory():
+    """Rows by columns, as an SVD returns them, make every look-up copy the whole table."""
+    rows = np.asfortranarray(np.arange(12.0).reshape(4, 3))
+    got = decontaminate.padded(rows)
+    assert got.flags.c_contiguous and got.tolist() == [*rows.tolist(), [0.0, 0.0, 0.0]]
+
+
 def test_subsequence():
     rng = random.Random(1)
     for _ in range(50):

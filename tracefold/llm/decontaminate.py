@@ -33,10 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import listed, materialise, table
+from .common import listed, materialise, pieces, table
 
 WORD = re.compile(r"\w+")
 STRIDE, WINDOW, CHUNK, AROUND = 16, 32, 64, 64
@@ -45,11 +47,16 @@ PARTS, TERMS, SUMMED = 512, 50_000, 2_000_000
 LATENT = 0.4
 SAME, EITHER, ANSWER = 0.8, 0.35, 0.4
 SCALE = float(1 << 24)
-CACHE, BATCH = 200_000, 500_000
+BATCH, LONG = 500_000, 64
 
 
 #: What is no part of a word in Latin-1 becomes a blank.
 BLANKED = bytes(k if WORD.match(chr(k)) else 32 for k in range(256))
+#: The same, and what is one in lower case.
+FOLDED = BLANKED.translate(bytes(ord(chr(k).lower()) for k in range(256)))
+BLANK = re.compile(rb" ")
+#: What a byte changes in a CRC-32.
+CRC = np.array([~zlib.crc32(bytes([k]), 0xFFFFFFFF) & 0xFFFFFFFF for k in range(256)], np.uint32)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -91,19 +98,50 @@ def subsequence(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-class Columns(dict):
-    """Columns of words: the benchmark's own, then the classes of all others; what is kept of these has a bound."""
+def folded(text: str) -> bytes:
+    """The words of text in UTF-8, with blanks between them."""
+    try:
+        return text.encode("latin-1").translate(FOLDED).decode("latin-1").encode()
+    except UnicodeEncodeError:
+        return " ".join(words_of(text)).encode("utf-8", "surrogatepass")
+
+
+def word_crcs(data: bytes, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRC-32 of each word: the k-th bytes of all at once, words of more than LONG bytes one by one."""
+    order = np.argsort(np.maximum(LONG + 1 - sizes, 0).astype(np.uint8), kind="stable")  # long ones first
+    at, sizes, chars, state = at[order], sizes[order], np.frombuffer(data, np.uint8), np.full(len(at), 0xFFFFFFFF, np.uint32)
+    n_long = int(np.count_nonzero(sizes > LONG))
+    for k, m in enumerate(np.searchsorted(-sizes[n_long:], -np.arange(LONG)).tolist()):  # words of more than k bytes
+        if m == 0:
+            break
+        some = state[n_long : n_long + m]
+        some[:] = CRC[(some ^ chars[at[n_long : n_long + m] + k]) & 0xFF] ^ (some >> 8)
+    out = np.empty_like(state)
+    out[order] = ~state
+    out[order[:n_long]] = [zlib.crc32(data[a : a + n]) for a, n in zip(at[:n_long].tolist(), sizes[:n_long].tolist(), strict=True)]
+    return out
 
-    def __init__(self, known: dict[str, int]) -> None:
-        super().__init__(known)
-        self.known = known
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE + len(self.known):
-            self.clear()
-            self.update(self.known)
-        self[word] = at = len(self.known) + zlib.crc32(word.encode("utf-8", "replace")) % HASHED
-        return at
+def columns_of(texts: list[str], known: pa.Array) -> list[np.ndarray]:
+    """Columns of the words of each text: the benchmark's own terms (known, in UTF-8), then the classes of all others."""
+    each = [folded(t) + b" " for t in texts]
+    cols, ends, lo = [], [], 0
+    for piece in pieces(b"".join(each), BLANK):
+        inside = np.concatenate(([False], np.frombuffer(piece, np.uint8) != 32, [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        sizes, data = edges[1::2] - edges[::2], piece.translate(None, b" ")
+        at = np.append(0, np.cumsum(sizes))
+        words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(data)])
+        col = pc.index_in(words, value_set=known).fill_null(-1).to_numpy()
+        other = np.flatnonzero(col < 0)
+        col = col.astype(np.uint16)
+        col[other] = len(known) + word_crcs(data, at[other], sizes[other]) % HASHED
+        cols.append(col)
+        ends.append(edges[1::2] + lo)
+        lo += len(piece)
+    if not cols:
+        return []
+    return np.split(np.concatenate(cols), np.searchsorted(np.concatenate(ends), np.cumsum([len(x) for x in each]))[:-1])
 
 
 class Chunk:
@@ -130,14 +168,14 @@ class Chunk:
 
 def column_table(docs: DataFrame, known: dict[str, int]) -> DataFrame:
     """(i, cols): every text as two bytes a word. docs: i, t."""
+    terms = [w.encode("utf-8", "surrogatepass") for w in sorted(known, key=known.__getitem__)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = Columns(known)
+        own = pa.array(terms, pa.large_binary())
         for frame in frames:
             for lo in range(0, len(frame), 500):
                 part = frame.iloc[lo : lo + 500]
-                words = map(words_of, part["t"])
-                cols = [np.fromiter(map(at.__getitem__, w), np.uint16, len(w)).tobytes() for w in words]
+                cols = [x.tobytes() for x in columns_of(part["t"].tolist(), own)]
                 yield pd.DataFrame({"i": part["i"].to_numpy(), "cols": listed(cols)})
 
     return materialise(docs.where("i is not null and t is not null").mapInPandas(run, "i bigint, cols binary"))
@@ -203,7 +241,8 @@ def tile_sums(tiles: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def padded(rows: np.ndarray) -> np.ndarray:
-    return np.concatenate((rows, np.zeros((1, *rows.shape[1:])))).astype(np.float32)
+    """rows and a zero one, each in one stretch of memory: np.take copies the whole table first where they aren't (those of an SVD aren't)."""
+    return np.concatenate((rows, np.zeros((1, *rows.shape[1:])))).astype(np.float32, order="C")
 
 
 def range_sums(texts: list[np.ndarray], idf: np.ndarray, start: np.ndarray, total: np.ndarray) -> None:
@@ -211,7 +250,7 @@ def range_sums(texts: list[np.ndarray], idf: np.ndarray, start: np.ndarray, tota
     tiles, _, place, more = tiled(texts, len(idf) - 1)
     y = tile_sums(tiles, start * idf[:, None])
     y[:-1][more[:-1]] += y[1:][more[:-1]]
-    both = np.full((len(tiles), 2 * STRIDE), len(idf) - 1, np.uint16)
+    both = np.full((len(tiles), 2 * STRIDE), len(idf) - 1, np.int32)  # numpy sorts these faster than shorter ones
     both[:, :STRIDE] = tiles
     both[:-1, STRIDE:][more[:-1]] = tiles[1:][more[:-1]]
     both = np.sort(both, axis=1).T
@@ -311,7 +350,7 @@ def matches(docs: DataFrame, cuts: list[tuple[int, list[str], list[str]]]) -> Da
             best: dict[tuple[int, int], tuple[float, float]] = {}
             vectors, of, tile = passage_vectors(batch, space)
             for lo in range(0, len(vectors), 4096):
-                row, part = np.nonzero(vectors[lo : lo + 4096] @ asked >= LATENT)
+                row, part = np.divmod(np.flatnonzero(vectors[lo : lo + 4096] @ asked >= LATENT), len(of_part))
                 for r, c in np.unique(np.stack((row + lo, of_part[part]), axis=1), axis=0).tolist():
                     at = int(tile[r]) * STRIDE
                     got = chunks[c].check(batch[of[r]][max(0, at - AROUND) : at + WINDOW + AROUND].tolist())
