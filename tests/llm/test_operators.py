@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -90,6 +91,25 @@ def test_jaccard_hot_cluster_and_long_lists(spark, monkeypatch):
     assert got == brute_join(rows, 4, 85, 100)
 
 
+def test_heavy_shingles_reach_the_driver_as_arrays(spark, monkeypatch):
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randrange(10**9)}" for _ in range(40_000))
+    docs = spark.createDataFrame([(text,)] * 3 + [(text + " again",)] + [(f"rare {k} of its own",) for k in range(9)] + [(None,)], "t string").coalesce(1)
+    expected = jaccard_join.shingles(text, 4)
+    jaccard_join.heavy_shingles(docs.limit(1), 4)  # what is imported or kept for good
+    tracemalloc.start()
+    heavy, count = jaccard_join.heavy_shingles(docs, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert heavy.tolist() == expected.tolist() and (count == 4).all()
+    assert peak < 100 * len(heavy)  # rows of Python objects take some 500 bytes each
+    monkeypatch.setattr(jaccard_join, "HEAVIEST", 1000)  # all in one class of frequency
+    heavy, count = jaccard_join.heavy_shingles(docs, 4)
+    assert len(heavy) == 1000 == len(np.unique(heavy)) and np.isin(heavy, expected).all() and (count == 4).all()
+    none = jaccard_join.heavy_shingles(docs.where("t is null"), 4)
+    assert [len(x) for x in none] == [0, 0] and [x.dtype for x in none] == [heavy.dtype, count.dtype]
+
+
 def test_jaccard_empty_null_ids_and_repeats(spark):
     assert jaccard_join.join(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (3, "q r s t u v")]

@@ -98,15 +98,12 @@ def heavy_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     often = materialise(rows.groupBy("token").agg(F.sum("c").alias("c")).where("c >= 3"))
     least, total = 3, 0
     for r in often.groupBy(F.floor(F.log2(F.col("c").cast("double")) * 4).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("b")).collect():  # some 160 rows at most
-        total += r["n"]
-        if total > HEAVIEST:
+        if total + r["n"] > HEAVIEST:
             break
+        total += r["n"]
         least = r["c"]
-    else:
-        least = 3
-    got = often.where(F.col("c") >= least).limit(HEAVIEST).toPandas() if total else None
-    if got is None or not len(got):
-        return np.empty(0, U), np.empty(0, np.int64)
+    top = often.where(F.col("c") >= least)
+    got = (top if total else top.limit(HEAVIEST)).toArrow()  # HEAVIEST rows at most, 16 bytes each; as Python objects some 500
     tokens, c = got["token"].to_numpy().view(U), got["c"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], c[order]
